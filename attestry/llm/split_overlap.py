@@ -90,7 +90,6 @@ def _key_rows(blocks: Callable[[list[str]], list[int]]) -> Callable[[Iterator[pa
     return rows
 
 
-WORD = re.compile(r"\w+")
 MARKS = re.compile(r"-[LR]RB-", re.I)
 
 
@@ -145,19 +144,26 @@ def word_edits(a: list[str], b: list[str], most: int) -> list[tuple[int, int]] |
     return edits
 
 
-def _names(words: list[str]) -> set[str]:
-    """Words written with a capital inside a text of mixed case."""
+def _mixed(words: list[str]) -> bool:
     letters = "".join(words)
-    if letters == letters.lower() or letters == letters.upper():
-        return set()
-    return {_fold(w) for w in words[1:] if w[0].isupper() and not w.isupper() or w[0].isupper() and len(w) > 1}
+    return letters != letters.lower() and letters != letters.upper()
 
 
-def same_record(claim_a: str, premise_a: str, claim_b: str, premise_b: str) -> bool:
-    """Both fields within the bound, and no edit touches a name or figure.
+def _touches_name(sides: list[tuple[list[str], int]], names: set[str]) -> bool:
+    """Whether an edit, given as (words as written, place or -1) of each side, touches a name or figure.
 
-    A name is a word written with a capital, not at the start, in any mixed-case text of the pair.
+    Inside a text of mixed case the capital decides; for a first word, or where the case is lost,
+    the words written with a capital elsewhere in the pair do.
     """
+    sides = [(w, k) for w, k in sides if k >= 0]
+    if any(c.isdigit() for w, k in sides for c in w[k]):
+        return True
+    sure = [w[k][0].isupper() for w, k in sides if k and _mixed(w)]
+    return any(sure) if sure else any(_fold(w[k]) in names for w, k in sides)
+
+
+def same_record(claim_a: str, premise_a: str, claim_b: str, premise_b: str) -> bool:
+    """Both fields within the bound, and no edit touches a name or figure."""
     fields = [(_tokens(claim_a), _tokens(claim_b)), (_tokens(premise_a), _tokens(premise_b))]
     names: set[str] | None = None
     for a, b in fields:
@@ -168,11 +174,9 @@ def same_record(claim_a: str, premise_a: str, claim_b: str, premise_b: str) -> b
         if edits is None:
             return False
         if names is None:
-            names = set().union(*(_names(x) for pair in fields for x in pair))
-        for i, j in edits:
-            for words, k in ((fa, i), (fb, j)):
-                if k >= 0 and (words[k] in names or any(c.isdigit() for c in words[k])):
-                    return False
+            names = {_fold(w) for pair in fields for x in pair if _mixed(x) for w in x[1:] if w[0].isupper()}
+        if any(_touches_name([(a, i), (b, j)], names) for i, j in edits):
+            return False
     return True
 
 
