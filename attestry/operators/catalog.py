@@ -1,4 +1,4 @@
-"""Queries on the core's general problems."""
+"""Queries on the general problems of the core, and their SQL."""
 
 from __future__ import annotations
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.operators import catalog
+from attestry.plans import dataset_catalog, evidence_catalog
 
-CATALOGS = [catalog]
+CATALOGS = [catalog, dataset_catalog, evidence_catalog]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
