@@ -73,19 +73,32 @@ def sought_blocks(words: list[str]) -> list[int]:
     return sorted(out)
 
 
-def _key_rows(blocks: Callable[[list[str]], list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, k): the hash of every claim block with every premise block of a record."""
+Blocks = Callable[[list[str]], list[int]]
+Batches = Iterator[pa.RecordBatch]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _claim_rows(blocks: Blocks) -> Callable[[Batches], Batches]:
+    """Rows (id, c): the hash of every claim block of a record."""
+
+    def rows(batches: Batches) -> Batches:
         for batch in batches:
-            ids, keys = [], []
-            for rid, record in zip(batch["example_id"].to_pylist(), batch["record"].to_pylist()):
-                claim, premise = (np.array(blocks(f.split(" ")), "uint64") for f in record.split("\n"))
-                mixed = np.add.outer(claim * np.uint64(0x9E3779B97F4A7C15), premise).ravel()
-                keys.append(mixed)
-                ids.append(np.full(len(mixed), rid, "int64"))
-            if ids:
-                yield pa.record_batch({"id": np.concatenate(ids), "k": np.concatenate(keys).view("int64")})
+            each = [blocks(record.partition("\n")[0].split(" ")) for record in batch["record"].to_pylist()]
+            ids = np.repeat(batch["example_id"].to_numpy(), [len(x) for x in each])
+            yield pa.record_batch({"id": ids, "c": np.array([h for x in each for h in x], "uint64").view("int64")})
+
+    return rows
+
+
+def _record_rows(blocks: Blocks) -> Callable[[Batches], Batches]:
+    """Rows (id, k): the hash of a claim block with every premise block of the record."""
+
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            each = [np.array(blocks(record.partition("\n")[2].split(" ")), "uint64") for record in batch["record"].to_pylist()]
+            sizes = [len(x) for x in each]
+            claim = np.repeat(batch["c"].to_numpy().view("uint64"), sizes) * np.uint64(0x9E3779B97F4A7C15)
+            keys = claim + np.concatenate([np.zeros(0, "uint64"), *each])
+            yield pa.record_batch({"id": np.repeat(batch["id"].to_numpy(), sizes), "k": keys.view("int64")})
 
     return rows
 
@@ -212,11 +225,19 @@ def representative_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     width = shuffle_width(rows.sparkSession)
     texts = chosen.select("example_id", "in_train", "record").repartition(width, "example_id")
-    stored = texts.where("in_train").select("example_id", "record").mapInArrow(_key_rows(stored_blocks), "id long, k long")
-    sought = texts.where("not in_train").select("example_id", "record").mapInArrow(_key_rows(sought_blocks), "id long, k long")
-    candidates = (
-        sought.withColumnRenamed("id", "eval_id").join(stored.withColumnRenamed("id", "train_id"), "k").select("eval_id", "train_id").distinct()
-    )
+    train, evaluation = texts.where("in_train").drop("in_train"), texts.where("not in_train").drop("in_train")
+    stored_claims = train.mapInArrow(_claim_rows(stored_blocks), "id long, c long")
+    sought_claims = evaluation.mapInArrow(_claim_rows(sought_blocks), "id long, c long")
+    # Claim blocks that the other side doesn't have are dropped before premise blocks are set beside them.
+    sought_kept = sought_claims.join(stored_claims.select("c"), "c", "left_semi")
+    stored_kept = stored_claims.join(sought_claims.select("c"), "c", "left_semi")
+
+    def keys(kept: DataFrame, of: DataFrame, blocks: Blocks) -> DataFrame:
+        return kept.join(of, kept.id == of.example_id).select("id", "c", "record").mapInArrow(_record_rows(blocks), "id long, k long")
+
+    sought = keys(sought_kept, evaluation, sought_blocks).withColumnRenamed("id", "eval_id")
+    stored = keys(stored_kept, train, stored_blocks).withColumnRenamed("id", "train_id")
+    candidates = sought.join(stored, "k").select("eval_id", "train_id").distinct()
     left = chosen.select(F.col("example_id").alias("eval_id"), F.col("claim").alias("ca"), F.col("premise").alias("pa"))
     right = chosen.select(F.col("example_id").alias("train_id"), F.col("claim").alias("cb"), F.col("premise").alias("pb"))
     pairs = (
