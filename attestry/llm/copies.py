@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.text import bare, is_blank
 
 
+def digest(c: Column) -> Column:
+    """Sixteen bytes that stand for a text in shuffles."""
+    return F.unhex(F.md5(c))
+
+
 def value_dictionary(rows: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """(``value``, ``code``): each distinct raw value with the integer code of its canonical form.
+    """(``value``, ``code``): the digest of each distinct raw value with the integer code of its canonical form.
 
     A value is canonicalised once however often it occurs. The code is the smallest
     ``row_id * fields + field`` at which the form occurs: unique to the form, and the same
@@ -20,9 +25,9 @@ def value_dictionary(rows: DataFrame, row_id: str, fields: list[str]) -> DataFra
     n = len(fields)
     cells = reduce(
         DataFrame.unionByName,
-        [rows.select(F.col(f).alias("value"), (F.col(row_id) * n + i).alias("place")) for i, f in enumerate(fields)],
+        [rows.select(F.col(f).alias("text"), (F.col(row_id) * n + i).alias("place")) for i, f in enumerate(fields)],
     )
-    raw = cells.groupBy("value").agg(F.min("place").alias("place")).withColumn("form", bare(F.col("value")))
+    raw = cells.groupBy("text").agg(F.min("place").alias("place")).select(digest(F.col("text")).alias("value"), "place", digest(bare(F.col("text"))).alias("form"))
     forms = raw.groupBy("form").agg(F.min("place").alias("code"))
     return raw.join(forms, "form").select("value", "code")
 
@@ -35,9 +40,9 @@ def encoded(rows: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
     whole = reduce(lambda a, b: a & b, [~is_blank(F.col(f)) for f in fields])
     rows = rows.select(row_id, *fields).where(whole)
     codes = value_dictionary(rows, row_id, fields)
-    out = rows
-    for i, f in enumerate(fields):
-        out = out.join(codes.select(F.col("value").alias(f), F.col("code").alias(f"code_{i}")), f)
+    out = rows.select(row_id, *[digest(F.col(f)).alias(f"value_{i}") for i, f in enumerate(fields)])
+    for i in range(len(fields)):
+        out = out.join(codes.select(F.col("value").alias(f"value_{i}"), F.col("code").alias(f"code_{i}")), f"value_{i}")
     return out.select(row_id, F.array_sort(F.array(*[f"code_{i}" for i in range(len(fields))])).alias("codes"))
 
 
