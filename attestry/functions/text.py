@@ -7,6 +7,7 @@ import hmac
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,10 +61,15 @@ def nfkc(c: Column) -> Column:
 
 
 def shingles(words: Column, width: int = 5) -> Column:
-    """Distinct runs of ``width`` words, joined by spaces (F3). Fewer words: an empty array."""
-    n = F.size(words)
-    starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).when(n >= 0, F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
+    """Distinct runs of ``width`` words, joined by spaces (F3). Fewer words: an empty array.
+
+    Made of shifted slices side by side: a lambda that took slices itself would work out ``words`` anew for each run.
+    """
+    n = F.greatest(F.size(words) - width + 1, F.lit(0))
+    runs = reduce(
+        lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), [F.slice(words, k + 1, n) for k in range(width)]
+    )
+    return F.array_distinct(runs)
 
 
 def unmark(c: Column, ignore_case: bool = False) -> Column:

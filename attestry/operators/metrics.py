@@ -98,6 +98,30 @@ def gold_set_hits(gold: DataFrame, observed: DataFrame, case: list[str], set_key
     return sets.groupBy(*case).agg(F.bool_or("p").alias("any_page"), F.bool_or("s").alias("any_sentence"), F.bool_or("c").alias("complete_set"))
 
 
+def failure_rows(cases: DataFrame, hits: DataFrame, evidence: DataFrame, case: str) -> DataFrame:
+    """Cases predicted otherwise than labelled, with a failure type and flags joined by ';' (M8).
+
+    ``cases`` has case, label, predicted; ``hits`` as of gold_set_hits; ``evidence`` case, nli_label, accepted.
+    A decisive label that was not accepted is flagged whatever kept it from being accepted.
+    """
+    decisive = F.col("nli_label").isin("ENTAILMENT", "CONTRADICTION")
+    e = evidence.groupBy(case).agg(F.bool_or(decisive & F.col("accepted")).alias("_yes"), F.bool_or(decisive & ~F.col("accepted")).alias("_no"))
+    x = cases.where(~F.col("label").eqNullSafe(F.col("predicted"))).join(hits, case, "left").join(e, case, "left")
+    kind = (
+        F.when(F.col("predicted") == "CONFLICT", "CONFLICTING_PREDICTION")
+        .when(F.col("predicted").isin("SUPPORTS", "REFUTES"), "WRONG_DECISIVE_VERDICT")
+        .when(F.col("label") != "NOT ENOUGH INFO", "ABSTENTION_ON_DECISIVE_GOLD")
+        .otherwise("NEI_ABSTENTION")
+    )
+    flags = F.concat_ws(
+        ";",
+        F.when(~F.col("any_page"), "GOLD_PAGE_NOT_ASSESSED").when(~F.col("any_sentence"), "GOLD_SENTENCE_NOT_ASSESSED").when(~F.col("complete_set"), "GOLD_SET_INCOMPLETE_IN_ASSESSED"),
+        F.when(~F.coalesce("_yes", F.lit(False)), "NO_ACCEPTED_DECISIVE_NLI"),
+        F.when(F.col("_no"), "DECISIVE_LABEL_BELOW_THRESHOLD"),
+    )
+    return x.select(case, "label", "predicted", kind.alias("failure_type"), flags.alias("flags"))
+
+
 def calibration_bins(df: DataFrame, confidence: str, correct: Column, bins: int = 15) -> DataFrame:
     """(bin, n, accuracy, confidence) of equal-width bins; confidence 1 falls in the last."""
     b = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1)).cast("int")
@@ -137,7 +161,7 @@ def selective_accuracy(df: DataFrame, confidence: str, correct: str, thresholds:
     )
 
 
-def fit_temperature(df: DataFrame, logits: list[str], gold_id: str, low: float = 0.05, high: float = 10.0, rounds: int = 4, points: int = 33) -> float:
+def fit_temperature(df: DataFrame, logits: list[str], gold_id: str, low: float = 0.05, high: float = 10.0, rounds: int = 6, points: int = 13) -> float:
     """Temperature of least negative log likelihood (M13): grids in log T, narrowed round by round.
 
     Each round is one aggregate that evaluates all its points in a single pass over the data. Where rows have a

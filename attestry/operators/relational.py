@@ -92,6 +92,12 @@ def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(position).alias("first_position"))
 
 
+def of_first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows of the ``n`` smallest keys (J10, O2): keys by an ordered limit, rows by a semi join."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
+    return df.join(keys, key, "left_semi")
+
+
 def not_matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Anti join on keys (J6, J8). Rows with a null key match nothing and stay."""
     return df.join(other.select(*keys).distinct(), keys, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import identity, labels, text
 from attestry.operators import dataset as d
-from attestry.operators import families, layout, metrics, retrieval, usage, verify, versions
+from attestry.operators import families, layout, metrics, relational, retrieval, usage, verify, versions
 from attestry.sources.tables import table
 
 EVERY = 50
@@ -313,7 +313,64 @@ def public_urls(spark, folder):
     return docs.select("doc_id", identity.public_url(raw).alias("url"), identity.article_identity(raw)["domain"].alias("domain"))
 
 
+def hybrid_retrieval(spark, folder):
+    """BM25 beside a lexical stand-in for vectors, fused and reranked."""
+    def length_free(claim, passage):
+        return retrieval.overlap_scorer(passage, claim)
+
+    x = retrieval.hybrid(_candidates(spark, folder), "qid", ["page_id", "sentence_id"], length_free, retrieval.overlap_scorer)
+    return x.select("qid", "page_id", "sentence_id", "rank", "input_rank", "rrf_score", "bm25_score", "dense_score")
+
+
+def failure_rows(spark, folder):
+    scored = _scored(spark, folder)
+    return metrics.failure_rows(_judged(spark, folder), gold_set_hits(spark, folder), scored.select("qid", "nli_label", "accepted"), "qid")
+
+
+def first_claims_evidence(spark, folder):
+    """Evidence of the hundred smallest claim ids (J10): the limit is the feature."""
+    return relational.of_first_keys(table(spark, folder, "evidence"), "claim_id", 100).select("evidence_row_id", "claim_id")
+
+
+def upserted_pages(spark, folder):
+    """Pages of withdrawn sentences to insert into the pages of live ones: absent ones, earliest row first."""
+    s = table(spark, folder, "wiki_sentences")
+    new = versions.new_rows(s.where("removed_at is not null"), s.where("removed_at is null"), ["page_id"], [F.col("loaded_at"), F.col("row_id")])
+    return new.select("page_id", "row_id")
+
+
+def connector_hits(spark, folder):
+    """First documents of each title per source, at most five."""
+    docs = table(spark, folder, "documents").withColumn("at", F.struct("retrieved_at", "doc_id"))
+    x = versions.connector_hits(docs, "source", F.lower("title"), "at", 5)
+    return x.select("source", "doc_id", "canonical_url", "rank")
+
+
+def actor_fingerprints(spark, folder):
+    """Keyed pseudonyms of users with their events."""
+    f = text.actor_fingerprint(b"key of the test")
+    users = table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return users.select(f(F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("actor"), "n")
+
+
+def table_manifest(spark, folder):
+    """Manifest of the final pairs."""
+    from attestry.sources.sinks import manifest
+
+    return manifest(table(spark, folder, "nli_pairs_final").select("example_id", "split", "nli_label"), "nli_pairs_final", ["split", "nli_label"])
+
+
+def parsed_page_lines(spark, folder):
+    """Sentence lines put together to pages and parsed again."""
+    from attestry.sources.records import page_lines
+
+    s = table(spark, folder, "wiki_sentences").where("raw_line is not null")
+    pages = s.groupBy("page_id", "source_member").agg(relational.ordered_text("raw_line", "row_id", "\n").alias("lines"))
+    return page_lines(pages).select("page_id", "sentence_id", "text", "source_member")
+
+
 NAMES = [
+    hybrid_retrieval, failure_rows, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
     page_bm25, sentence_bm25, dense_top, fused_pages, page_metrics, sentence_metrics, expanded_pages, reranked, contribution_roles, page_verdicts,
     evidence_screening, evidence_screening_windowed, grounded_evidence, verdict_confusion, verdict_classes, verdict_selective, gold_set_hits, softmax_labels,
     probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, family_votes,

@@ -88,7 +88,35 @@ def _summary() -> str:
       SELECT count(*) AS queries, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, {hits} FROM m"""
 
 
+_REVERSE = f"len(list_intersect(list_distinct({_tok('claim')}), list_distinct({_tok('text')}))) / nullif(len(list_distinct({_tok('text')})), 0)"
+_HITS = f"""{_GOLD}, {_SCORED.replace(_CANON + ", ", "")}, g AS (SELECT q.qid, evidence_set_id, wiki_page, sentence_id FROM gold JOIN q USING (claim_id, split)),
+  x AS (SELECT qid, evidence_set_id, EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page) AS p,
+    EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page AND r.sentence_id = g.sentence_id) AS s FROM g),
+  z AS (SELECT qid, evidence_set_id, bool_or(p) AS p, bool_or(s) AS s, bool_and(s) AS c FROM x GROUP BY ALL),
+  hi AS (SELECT qid, bool_or(p) AS any_page, bool_or(s) AS any_sentence, bool_or(c) AS complete_set FROM z GROUP BY qid)"""
+
 SQL = {
+    "hybrid_retrieval": f"""WITH {_SENT.replace("WHERE rank <= 50)", "WHERE rank <= 100)")},
+      dv AS (SELECT * FROM (SELECT qid, page_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, sentence_id) AS rank
+        FROM (SELECT qid, page_id, sentence_id, round(coalesce({_REVERSE}, 0.0), 6) AS score FROM ca)) WHERE rank <= 100),
+      rf AS (SELECT qid, page_id, sentence_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (SELECT qid, page_id, sentence_id, rank FROM sr UNION ALL
+        SELECT qid, page_id, sentence_id, rank FROM dv) GROUP BY ALL),
+      rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, page_id, sentence_id) AS input_rank FROM rf) WHERE input_rank <= 50),
+      fi AS (SELECT rr.*, CAST({_OVERLAP} AS FLOAT) AS f FROM rr JOIN ca USING (qid, page_id, sentence_id))
+      SELECT * FROM (SELECT fi.qid, fi.page_id, fi.sentence_id, row_number() OVER (PARTITION BY fi.qid ORDER BY f DESC, input_rank) AS rank, input_rank, rrf_score,
+        sr.score AS bm25_score, dv.score AS dense_score FROM fi LEFT JOIN sr USING (qid, page_id, sentence_id) LEFT JOIN dv USING (qid, page_id, sentence_id)) WHERE rank <= 10""",
+    "failure_rows": f"""WITH {_HITS}, {_JUDGED[len(_SCORED) + 2:]}, ev AS (SELECT qid, bool_or(nli_label <> 'NEUTRAL' AND accepted) AS yes, bool_or(nli_label <> 'NEUTRAL' AND NOT accepted) AS no FROM r3 GROUP BY 1)
+      SELECT ju.qid, label, predicted, CASE WHEN predicted = 'CONFLICT' THEN 'CONFLICTING_PREDICTION' WHEN predicted IN ('SUPPORTS', 'REFUTES') THEN 'WRONG_DECISIVE_VERDICT'
+        WHEN label <> 'NOT ENOUGH INFO' THEN 'ABSTENTION_ON_DECISIVE_GOLD' ELSE 'NEI_ABSTENTION' END AS failure_type,
+        concat_ws(';', CASE WHEN NOT any_page THEN 'GOLD_PAGE_NOT_ASSESSED' WHEN NOT any_sentence THEN 'GOLD_SENTENCE_NOT_ASSESSED' WHEN NOT complete_set THEN 'GOLD_SET_INCOMPLETE_IN_ASSESSED' END,
+          CASE WHEN NOT coalesce(yes, false) THEN 'NO_ACCEPTED_DECISIVE_NLI' END, CASE WHEN no THEN 'DECISIVE_LABEL_BELOW_THRESHOLD' END) AS flags
+      FROM ju LEFT JOIN hi USING (qid) LEFT JOIN ev USING (qid) WHERE label <> predicted""",
+    "first_claims_evidence": "SELECT evidence_row_id, claim_id FROM evidence WHERE claim_id IN (SELECT DISTINCT claim_id FROM evidence ORDER BY claim_id LIMIT 100)",
+    "upserted_pages": """SELECT page_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY loaded_at, row_id) AS k FROM wiki_sentences WHERE removed_at IS NOT NULL)
+      WHERE k = 1 AND page_id NOT IN (SELECT page_id FROM wiki_sentences WHERE removed_at IS NULL AND page_id IS NOT NULL)""",
+    "connector_hits": """WITH o AS (SELECT * FROM (SELECT source, doc_id, retrieved_at, lower(title) AS canonical_url, row_number() OVER (PARTITION BY source, lower(title) ORDER BY retrieved_at, doc_id) AS k
+      FROM documents WHERE title IS NOT NULL) WHERE k = 1)
+      SELECT * FROM (SELECT source, doc_id, canonical_url, row_number() OVER (PARTITION BY source ORDER BY retrieved_at, doc_id) AS rank FROM o) WHERE rank <= 5""",
     "page_bm25": f"WITH {_PAGES} SELECT * FROM pt",
     "sentence_bm25": f"WITH {_SENT} SELECT * FROM sr",
     "dense_top": """SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score,
