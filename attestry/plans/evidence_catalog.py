@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestry.functions import identity, labels, text
 from attestry.operators import dataset as d
 from attestry.operators import families, layout, metrics, relational, retrieval, usage, verify, versions
+from attestry.session import shared_checkpoint
 from attestry.sources.tables import table
 
 EVERY = 50
@@ -40,12 +41,13 @@ def _gold(spark, folder):
 
 def _candidates(spark, folder):
     pages = _page_top(spark, folder).select("qid", "page_id")
-    s = d.stored_sentences(table(spark, folder, "wiki_sentences")).select("page_id", "sentence_id", "text")
-    return pages.join(s, "page_id").join(_queries(spark, folder).select("qid", "claim"), "qid")
+    s = d.stored_sentences(table(spark, folder, "wiki_sentences")).select("page_id", "sentence_id", "text", text.tokens(F.col("text")).alias("words"))
+    # Read by several steps of a ranking: written once.
+    return shared_checkpoint(pages.join(s, "page_id").join(_queries(spark, folder).select("qid", "claim"), "qid"))
 
 
 def _ranked(spark, folder, k=50):
-    return retrieval.rank_sentences(_candidates(spark, folder), "qid", "claim", ["page_id", "sentence_id"], "text", k)
+    return retrieval.rank_sentences(_candidates(spark, folder), "qid", "claim", ["page_id", "sentence_id"], "text", k, words="words")
 
 
 def page_bm25(spark, folder):
@@ -90,13 +92,14 @@ def expanded_pages(spark, folder):
 
 def _scored(spark, folder):
     """Reranked sentences with a lexical stand-in for the neural scorer: confidence is word overlap."""
-    r = _ranked(spark, folder, 20).join(_candidates(spark, folder), ["qid", "page_id", "sentence_id"])
+    c = _candidates(spark, folder)
+    r = retrieval.rank_sentences(c, "qid", "claim", ["page_id", "sentence_id"], "text", 20, words="words").join(c, ["qid", "page_id", "sentence_id"])
     r = retrieval.rerank(r, "qid", retrieval.overlap_scorer, "claim", "text", 10)
     c = F.round(retrieval.overlap_scorer(F.col("claim"), F.col("text")), 6)
     label = F.when(c >= 0.5, "ENTAILMENT").when(c >= 0.35, "CONTRADICTION").otherwise("NEUTRAL")
     x = r.withColumn("confidence", c).withColumn("nli_label", label)
     a = verify.acceptance(F.col("nli_label"), F.col("confidence"), F.lit(True), 0.4)
-    return x.withColumn("a", a).select("qid", "page_id", "sentence_id", "text", "claim", "rank", "input_rank", "confidence", "nli_label", "a.*")
+    return shared_checkpoint(x.withColumn("a", a).select("qid", "page_id", "sentence_id", "text", "claim", "rank", "input_rank", "confidence", "nli_label", "a.*"))
 
 
 def reranked(spark, folder):
@@ -125,8 +128,9 @@ def grounded_evidence(spark, folder):
     return s.select("qid", "rank", verify.grounded(F.col("claim"), F.col("page_id"), F.col("text")).alias("grounded"), verify.externally_grounded(F.col("claim"), F.col("text")).alias("externally_grounded"))
 
 
-def _judged(spark, folder):
-    v = page_verdicts(spark, folder).join(_queries(spark, folder), "qid").where(F.col("label").isin(*labels.CLAIM_LABELS))
+def _judged(spark, folder, scored=None):
+    scored = _scored(spark, folder) if scored is None else scored
+    v = verify.page_verdicts(_queries(spark, folder), scored, "qid").join(_queries(spark, folder), "qid").where(F.col("label").isin(*labels.CLAIM_LABELS))
     return v.select("qid", "label", labels.remap(F.col("verdict"), labels.VERDICT_TO_CLAIM).alias("predicted"))
 
 
@@ -143,9 +147,13 @@ def verdict_selective(spark, folder):
 
 
 def gold_set_hits(spark, folder):
+    return _set_hits(spark, folder, _scored(spark, folder))
+
+
+def _set_hits(spark, folder, scored):
     q = _queries(spark, folder).select("qid")
     gold = _gold(spark, folder).join(q, "qid", "left_semi").select("qid", "evidence_set_id", F.col("wiki_page").alias("page_id"), "sentence_id")
-    return metrics.gold_set_hits(gold, _scored(spark, folder), ["qid"], "evidence_set_id", "page_id", "sentence_id")
+    return metrics.gold_set_hits(gold, scored, ["qid"], "evidence_set_id", "page_id", "sentence_id")
 
 
 def _probabilities(spark, folder):
@@ -324,7 +332,7 @@ def hybrid_retrieval(spark, folder):
 
 def failure_rows(spark, folder):
     scored = _scored(spark, folder)
-    return metrics.failure_rows(_judged(spark, folder), gold_set_hits(spark, folder), scored.select("qid", "nli_label", "accepted"), "qid")
+    return metrics.failure_rows(_judged(spark, folder, scored), _set_hits(spark, folder, scored), scored.select("qid", "nli_label", "accepted"), "qid")
 
 
 def first_claims_evidence(spark, folder):
