@@ -37,8 +37,8 @@ def host_name(value: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def public_domain(s: pd.Series) -> pd.Series:
     """``host_name`` of a column (F14), worked out once per distinct value of a batch."""
-    names = {x: host_name(x) for x in s.dropna().unique()}
-    return s.map(names.get, na_action="ignore")
+    names = {x: host_name(x) for x in set(s)}
+    return pd.Series([names[x] for x in s], dtype=object)
 
 
 def public_url(c: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Bracket marks of the page dump.
 BRACKET_MARKS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}"}
@@ -44,15 +44,20 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def each_value(s: pd.Series, f) -> pd.Series:
+    """``f`` of every value, null for null; object values also where all are null."""
+    return pd.Series([None if x is None else f(x) for x in s], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    return each_value(s, lambda x: unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def folded_tokens(s: pd.Series) -> pd.Series:
     """Words after NFKC and case folding (F2)."""
-    return s.map(lambda x: re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold()), na_action="ignore")
+    return each_value(s, lambda x: re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold()))
 
 
 def nfkc(c: Column) -> Column:
@@ -221,11 +226,7 @@ def actor_fingerprint(key: bytes, prefix: int = 24):
 
     @F.pandas_udf(StringType())
     def fingerprint(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest()[:prefix], na_action="ignore")
+        return each_value(s, lambda x: hmac.new(key, x.encode(), hashlib.sha256).hexdigest()[:prefix])
 
     return fingerprint
 
-
-@F.pandas_udf(BooleanType())
-def is_nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.is_normalized("NFKC", x), na_action="ignore").astype("boolean")

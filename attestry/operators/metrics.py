@@ -93,9 +93,9 @@ def gold_set_hits(gold: DataFrame, observed: DataFrame, case: list[str], set_key
     pages = observed.select(*case, page).distinct().withColumn("_p", F.lit(1))
     x = gold.join(seen, [*case, page, sentence], "left").join(pages, [*case, page], "left")
     sets = x.groupBy(*case, set_key).agg(
-        F.bool_or(F.col("_p").isNotNull()).alias("p"), F.bool_or(F.col("_s").isNotNull()).alias("s"), F.bool_and(F.col("_s").isNotNull()).alias("c")
+        F.bool_or(F.col("_p").isNotNull()).alias("any_page"), F.bool_or(F.col("_s").isNotNull()).alias("any_sentence"), F.bool_and(F.col("_s").isNotNull()).alias("complete_set")
     )
-    return sets.groupBy(*case).agg(F.bool_or("p").alias("any_page"), F.bool_or("s").alias("any_sentence"), F.bool_or("c").alias("complete_set"))
+    return sets.groupBy(*case).agg(*[F.bool_or(x).alias(x) for x in ("any_page", "any_sentence", "complete_set")])
 
 
 def failure_rows(cases: DataFrame, hits: DataFrame, evidence: DataFrame, case: str) -> DataFrame:

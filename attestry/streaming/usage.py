@@ -11,10 +11,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def daily_usage_stream(events: DataFrame, user: str, at: str, status: str, latency: str, late: str = "1 day") -> DataFrame:
-    """Per user and day as ``operators.usage.daily_usage``, for append output once a day is past the watermark."""
+    """Per user and day as ``operators.usage.daily_usage``, for append output once a day is past the watermark.
+
+    Watermarks need an instant: zone-less times are read in the session's zone.
+    """
     code = F.col(status)
     return (
-        events.withWatermark(at, late)
+        events.withColumn(at, F.col(at).cast("timestamp"))
+        .withWatermark(at, late)
         .groupBy(user, F.window(at, "1 day").alias("w"))
         .agg(
             F.count("*").alias("requests"),

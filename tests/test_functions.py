@@ -56,6 +56,12 @@ def test_page_title_and_phrases(spark):
     assert [r[0] for r in df.select(text.contains_phrase(F.col("t"), F.col("p"))).collect()] == [True, False, False]
 
 
+def test_all_null_batches(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x string")
+    for f in (text.nfkc, text.folded_tokens, identity.public_domain, identity.public_url, text.actor_fingerprint(b"k")):
+        assert [r[0] for r in df.select(f(F.col("x"))).collect()] == [None, None]
+
+
 def test_shingles_and_ratio(spark):
     assert one(spark, "a b c d e f", lambda c: text.shingles(text.tokens(c))) == ["a b c d e", "b c d e f"]
     assert one(spark, "a b", lambda c: text.shingles(text.tokens(c))) == []
