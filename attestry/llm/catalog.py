@@ -112,7 +112,7 @@ QUERIES = {
 }
 
 _BARE = r"regexp_replace({}, '[\s\p{{Z}}\p{{P}}\x{{85}}]+', '', 'g')"
-_FORM = "lower(upper(" + _BARE + "))"
+_FORM = "lower(regexp_replace(upper(" + _BARE + "), '[ßẞ]', 'SS', 'g'))"
 _P4 = f"""
 WITH r AS (SELECT example_id, {_FORM.format("claim")} AS a, {_FORM.format("premise")} AS b FROM nli_pairs
   WHERE regexp_matches(claim, '[^\\s\\p{{Z}}\\x{{85}}]') AND regexp_matches(premise, '[^\\s\\p{{Z}}\\x{{85}}]')),

@@ -13,8 +13,8 @@ SPACE_AND_PUNCTUATION = r"(?U)[\s\p{P}]+"
 
 
 def caseless(c: Column) -> Column:
-    """Case-blind form. Upper then lower, so that ß and SS agree."""
-    return F.lower(F.upper(c))
+    """Case-blind form: upper then lower, with ß of either case as SS. The step between also keeps the optimizer from dropping the upper."""
+    return F.lower(F.regexp_replace(F.upper(c), "[ßẞ]", "SS"))
 
 
 def is_blank(c: Column) -> Column:
@@ -39,8 +39,7 @@ def strip(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    forms = {x: unicodedata.normalize("NFC", x) for x in s.dropna().unique()}
-    return s.map(forms, na_action="ignore")
+    return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in s], dtype=object)
 
 
 def composed(c: Column) -> Column:

@@ -130,7 +130,7 @@ PROSE = "The town of Brum is known for the tower that was built in 1880 by a man
         (PROSE, False), (PROSE * 2 + "and of the rest nothing is known", False), (PROSE.upper(), False), (PROSE.replace(" ", "\n"), False), (PROSE.replace(",", " ,"), False),
         ("- Ada Vell, potter\n- Tom Hale, cook\n- Brum, 33\n" * 4, True), ("| a | 1 | 2.5% |\n| --- | --- | --- |\n" * 9, True), ("free cheap best check " * 20, True),
         ("Please wait for the page to load. " * 12, True), ("if (!a) { b.push(c); }\nvar d = e.f(3);\n" * 6, True), ("🔥" * 50, True), ("0 " * 80, True),
-        (PROSE * 3 + "\n- x, 1\n- y, 2", False), (PROSE + "a8 4d be 3f c2 99 de " * 60, True), ("", False), (" \n", False), (None, False), ("这是在河上的一个小镇，他们在了那里是很好的。" * 2, False),
+        (PROSE + PROSE.replace("Brum", "Kett") + "\n- x, 1\n- y, 2", False), (PROSE + "a8 4d be 3f c2 99 de " * 60, True), ("", False), (" \n", False), (None, False), ("这是在河上的一个小镇，他们在了那里是很好的。" * 2, False),
     ],
 )
 def test_junk(spark, text, junk):
