@@ -8,7 +8,6 @@ the key of its parent and its ordinal within the parent.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +17,6 @@ KNOWN_LABELS = ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")
 ITEM_FIELDS = ("annotation_id", "evidence_id", "wiki_page", "sentence_id")
 
 
-@dataclass(frozen=True)
-class ArrayLevel:
-    """One array level: the child's table name, its ordinal column, and how a
-    parent value is turned into the array (``unwrap``: member that holds the array
-    when the value is an object)."""
-
-    name: str
-    ordinal: str
-    unwrap: str | None = None
-
-
 def is_list(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 

@@ -66,6 +66,18 @@ def test_sentence_bm25_keeps_zero_scores_and_order(spark):
     assert got[2].score == 0.0
 
 
+def test_index_and_page_search(spark):
+    pages = spark.createDataFrame([("a", "red fox", "the red fox ran"), ("b", "dog", "a red dog"), ("c", None, ""), (None, "red", "red"), ("d", "red fox", "the red fox ran")], "page string, title string, body string")
+    index = {(r.page, r.term): (r.tf, r.length) for r in retrieval.term_counts(pages.where("page is not null"), ["page"], F.col("body")).collect()}
+    assert index[("a", "the")] == (1, 4) and ("c", "") not in index and len(index) == 11
+    q = spark.createDataFrame([("1", "red fox"), ("2", "zebra"), ("3", ""), ("4", None)], "q string, claim string")
+    for block in (1, 10):
+        got = retrieval.search_pages(q, "q", "claim", pages, "page", {"title": 3.0, "body": 1.0}, 3, block=block).orderBy("q", "rank").collect()
+        assert [(r.q, r.page, r.rank) for r in got] == [("1", "a", 1), ("1", "d", 2), ("1", "b", 3)] and got[0].score == got[1].score > got[2].score > 0
+    assert retrieval.search_pages(q.where("false"), "q", "claim", pages, "page", {"body": 1.0}).count() == 0
+    assert retrieval.search_pages(q, "q", "claim", pages.where("false"), "page", {"body": 1.0}).count() == 0
+
+
 def test_dense_fuse_expand(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0])], "id long, v array<float>")
     for block in (1, 10):
