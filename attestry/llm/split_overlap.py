@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from attestry.llm.text import is_blank, words
+from attestry.llm.text import words
 from attestry.session import shared_checkpoint, shuffle_width
 
 TRAIN = "train"
@@ -200,13 +200,14 @@ def same_record_udf(ca: pd.Series, pa: pd.Series, cb: pd.Series, pb: pd.Series)
 
 def _records(rows: DataFrame) -> DataFrame:
     """Rows that take part, with their side and the hash pair of the canonical record."""
-    kept = rows.where(~is_blank(F.col("claim")) & ~is_blank(F.col("premise")) & F.col("split").isNotNull())
-    out = kept.select(
+    # A text with a word; told from the raw text, so that the canonical form is made once.
+    worded = [F.regexp_replace(F.col(f), "(?i)-[LR]RB-", " ").rlike(r"(?U)[^\s\p{P}\p{S}]") for f in ("claim", "premise")]
+    kept = rows.where(worded[0] & worded[1] & F.col("split").isNotNull())
+    return kept.select(
         "example_id", "split", "source_type", "claim", "premise",
         (F.col("split") == TRAIN).alias("in_train"),
         F.concat(words(F.col("claim")), F.lit("\n"), words(F.col("premise"))).alias("record"),
     )
-    return out.where(~F.col("record").startswith("\n") & ~F.col("record").endswith("\n"))
 
 
 def representative_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ SPACE_AND_PUNCTUATION = r"(?U)[\s\p{P}]+"
 
 def caseless(c: Column) -> Column:
     """Case-blind form: upper then lower, with ß of either case as SS. The step between also keeps the optimizer from dropping the upper."""
-    return F.lower(F.regexp_replace(F.upper(c), "[ßẞ]", "SS"))
+    return F.lower(F.replace(F.replace(F.upper(c), F.lit("ß"), F.lit("SS")), F.lit("ẞ"), F.lit("SS")))
 
 
 def is_blank(c: Column) -> Column:
@@ -29,8 +29,10 @@ def bare(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Canonical words, joined by single spaces: case ignored; punctuation, symbols, bracket marks and white space as breaks."""
-    plain = F.regexp_replace(c, r"(?i)-[LR]RB-", " ")
-    return F.trim(F.regexp_replace(caseless(plain), r"(?U)[\s\p{P}\p{S}]+", " "))
+    plain = caseless(c)
+    for mark in ("-lrb-", "-rrb-"):
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
+    return F.trim(F.regexp_replace(plain, r"(?U)[\s\p{P}\p{S}]+", " "))
 
 
 def strip(c: Column) -> Column:
