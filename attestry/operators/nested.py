@@ -17,6 +17,16 @@ KNOWN_LABELS = ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")
 ITEM_FIELDS = ("annotation_id", "evidence_id", "wiki_page", "sentence_id")
 
 
+def whole_json(text: Column) -> Column:
+    """The text as VARIANT, or null if it is not one JSON value from its start to its end.
+
+    The parser stops after the first value; what follows breaks one of the two wrappings.
+    """
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    closed = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
+    return F.when((F.size(inside) == 1) & closed, F.get(inside, F.lit(0)))
+
+
 def is_list(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
@@ -92,7 +102,7 @@ def evidence_variant(records: DataFrame, payload: str = "payload", key: str = "r
     A set that is null, empty or of another kind becomes an empty array; so does absent evidence.
     """
     sets = F.coalesce(as_array(F.try_variant_get(F.col("v"), "$.evidence", "variant")), F.array().cast("array<variant>"))
-    parsed = records.select(F.col(key), F.try_parse_json(F.col(payload)).alias("v")).where(is_object(F.col("v")))
+    parsed = records.select(F.col(key), whole_json(F.col(payload)).alias("v")).where(is_object(F.col("v")))
     claim = F.try_variant_get(F.col("v"), "$.claim", "variant")
     label = F.try_variant_get(F.col("v"), "$.label", "variant")
     parsed = parsed.where(

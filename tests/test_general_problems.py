@@ -37,7 +37,9 @@ def test_shapes_and_childless_parents(spark):
 
 
 def test_invalid_payloads_give_no_row(spark):
-    bad = [None, "", "{", "[]", "3", '"x"', json.dumps({"label": "OTHER", "claim": "a"}), json.dumps({"label": L, "claim": "  \t"}), json.dumps({"label": L, "claim": None}),
+    whole = json.dumps({"label": L, "claim": "a"})
+    assert found(nested.evidence_rows(rows(spark, [f" {whole}\n"]))) == [(0, -1, -1, "", -1)]
+    bad = [whole + " x", whole + "}", whole + "]", whole + "]}", whole + "}]", whole + "," + whole, None, "", "{", "[]", "3", '"x"', json.dumps({"label": "OTHER", "claim": "a"}), json.dumps({"label": L, "claim": "  \t"}), json.dumps({"label": L, "claim": None}),
            json.dumps({"label": L, "claim": 7}), json.dumps({"label": None, "claim": "a"}), json.dumps({"label": L, "claim": "a", "evidence": [[[1, 2, "P"]]]}),
            json.dumps({"label": L, "claim": "a", "evidence": [[{"wiki_page": "P"}], [[1, 2, "P", 3, 4]]]})]
     assert found(nested.evidence_rows(rows(spark, bad))) == []
