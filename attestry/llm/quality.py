@@ -3,8 +3,9 @@
 Prose shows in every language by a steady supply of the language's frequent words between few
 separators. Both are counted in a window that moves over the units of a text (a word, a number, or one
 sign of a script without spaces); characters around which frequent words are too thin for the
-separators are not prose. Sentences repeated over and over and long chains of frequent words without
-content are not prose either.
+separators are not prose. Sentences repeated over and over, further copies of a line or paragraph, word
+trigrams that recur and dominate a text, and long chains of frequent words without content are not prose
+either.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ class QualityRules:
     its further copies to count as filler. chain: frequent words in a row of which prose has few;
     chain_share, chain_gaps: least share of units in such chains, and most separators or figures per unit,
     that together mark words strung without sense, seen in chain_window units on either side.
+    trigram_share: share of a text's characters from which a trigram that occurs ``repeats`` times is filler;
+    the same share of a text's sentences makes forms of one or two signs filler. recurring_share: share from which all such trigrams together are. copied_units: least units of a line or
+    paragraph whose further copies are filler.
     junk_share: share of characters outside prose from which a text is junk."""
 
     half_window: int = 12
@@ -50,6 +54,9 @@ class QualityRules:
     chain_share: float = 0.1
     chain_window: int = 25
     chain_gaps: float = 0.03
+    trigram_share: float = 0.3
+    recurring_share: float = 0.9
+    copied_units: int = 3
     junk_share: float = 2 / 3
 
 
@@ -79,8 +86,11 @@ def _window_mean(values: np.ndarray, owner_start: np.ndarray, owner_end: np.ndar
     return (total[b] - total[a]) / (b - a)
 
 
-def _repeated_spans(text: str, least: int) -> list[tuple[int, int]]:
-    """Places of the sentences that occur ``least`` times or more in a text, case and outer space ignored."""
+def _repeated_spans(text: str, least: int, short_share: float) -> list[tuple[int, int]]:
+    """Places of the sentences that occur ``least`` times or more in a text, case and outer space ignored.
+
+    Forms of one or two signs, as single words on lines of their own are, must be ``short_share`` of all sentences.
+    """
     spans, start = [], 0
     for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
         if end > start:
@@ -90,7 +100,27 @@ def _repeated_spans(text: str, least: int) -> list[tuple[int, int]]:
         return []
     forms = [text[a:b].strip().lower() for a, b in spans]
     counts = Counter(forms)
-    return [x for x, f in zip(spans, forms) if len(f) > 2 and counts[f] >= least]
+    return [x for x, f in zip(spans, forms) if f and counts[f] >= (least if len(f) > 2 else max(least, short_share * len(spans)))]
+
+
+def _copied_spans(text: str, separator: str) -> list[tuple[int, int]]:
+    """Places of the second and later copies of a text's parts, outer space ignored."""
+    spans, seen, start = [], set(), 0
+    for part in text.split(separator):
+        form = part.strip()
+        if form and form in seen:
+            spans.append((start, start + len(part)))
+        seen.add(form)
+        start += len(part) + len(separator)
+    return spans
+
+
+def _under(places: np.ndarray, n: int) -> np.ndarray:
+    """The units of trigrams that begin at ``places``, out of ``n``."""
+    out = np.zeros(n, bool)
+    for k in range(3):
+        out[places + k] = True
+    return out
 
 
 STATS = (
@@ -202,39 +232,50 @@ def text_stats(texts: pa.Array, common: dict[str, set[str]], rules: QualityRules
         _window_mean(np.maximum(gap, ~is_word), lo, hi, rules.chain_window) <= rules.chain_gaps
     )
     outside = (score < rules.least_score) | salad
-    repeated = [_repeated_spans(v, rules.repeats) for v in values]
+    repeated = [_repeated_spans(v, rules.repeats, rules.trigram_share) for v in values]
     for k, spans in enumerate(repeated):
         for a, b in spans:
             outside[np.searchsorted(first, starts[k] + a) : np.searchsorted(first, starts[k] + b)] = True
+    line_end, marked, dup_line, dup_par = [], [], [], []
+    for k, v in enumerate(values):
+        rows = [r for r in (x.strip() for x in v.split("\n")) if r]
+        n_rows = max(len(rows), 1)
+        line_end.append(sum(r.endswith(LINE_END) for r in rows) / n_rows)
+        marked.append(sum(bool(MARKER.match(r)) for r in rows) / n_rows)
+        dup_line.append(_repeated_share(rows, 2))
+        dup_par.append(_repeated_share([p for p in (x.strip() for x in v.split("\n\n")) if p], 2))
+        for separator, copied in (("\n", dup_line[-1]), ("\n\n", dup_par[-1])):
+            for a, b in _copied_spans(v, separator) if copied else ():
+                i, j = np.searchsorted(first, [starts[k] + a, starts[k] + b])
+                if j - i >= rules.copied_units:
+                    outside[i:j] = True
+    out |= {"line_end_share": line_end, "marker_line_share": marked, "duplicate_line_share": dup_line}
     begin = np.where(np.concatenate([[True], owner[1:] != owner[:-1]]), starts[:-1][owner], first) if m else first
     weight = (after - begin) * 1.0
     covered = _sums(weight, edges)
-    share = np.where(covered > 0, _sums(weight * outside, edges) / np.maximum(covered, 1), 1.0)
 
-    # Dominant word trigram: characters under its occurrences.
+    # Word trigrams: characters under the occurrences of the dominant one; units under those that are filler.
     top = np.zeros(n_texts)
     if m >= 3:
         same = owner[2:] == owner[:-2]
         key = (number[:-2] * 1_000_003 + number[1:-1]) * 1_000_003 + number[2:]
+        place = np.flatnonzero(same)
         key, own, chars = key[same], owner[:-2][same], (end[2:] - first[:-2])[same]
         order = np.lexsort((key, own))
-        key, own, chars = key[order], own[order], chars[order]
+        key, own, chars, place = key[order], own[order], chars[order], place[order]
         change = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
         groups = np.flatnonzero(change)
         if len(groups):
             counts = np.diff(np.concatenate([groups, [len(key)]]))
             np.maximum.at(top, own[groups], np.where(counts > 1, counts * chars[groups], 0))
+            recurs = counts >= rules.repeats
+            dominant = recurs & (counts * chars[groups] >= rules.trigram_share * size[own[groups]])
+            under = _under(place[np.repeat(recurs, counts)], m)
+            whole = _sums(weight * under, edges) >= rules.recurring_share * np.maximum(covered, 1)
+            outside |= _under(place[np.repeat(dominant, counts)], m) | (under & whole[owner])
     out["top_trigram_share"] = np.minimum(1.0, top / size).tolist()
 
-    line_end, marked, dup_line, dup_par = [], [], [], []
-    for v in values:
-        rows = [r for r in (x.strip() for x in v.split("\n")) if r]
-        k = max(len(rows), 1)
-        line_end.append(sum(r.endswith(LINE_END) for r in rows) / k)
-        marked.append(sum(bool(MARKER.match(r)) for r in rows) / k)
-        dup_line.append(_repeated_share(rows, 2))
-        dup_par.append(_repeated_share([p for p in (x.strip() for x in v.split("\n\n")) if p], 2))
-    out |= {"line_end_share": line_end, "marker_line_share": marked, "duplicate_line_share": dup_line}
+    share = np.where(covered > 0, _sums(weight * outside, edges) / np.maximum(covered, 1), 1.0)
     dup_sent = [sum(b - a for a, b in spans) / max(len(v), 1) for v, spans in zip(values, repeated)]
     out |= {"duplicate_paragraph_share": dup_par, "duplicate_sentence_share": dup_sent}
     out["non_prose_share"] = share.tolist()

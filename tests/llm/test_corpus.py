@@ -138,6 +138,33 @@ def test_junk(spark, text, junk):
     assert quality.document_quality(df, COMMON).head().is_junk == junk
 
 
+SALAD = "~of~stone~the~river~and~to~light~in~a~winter~is~that~harbour~was~for~on"
+
+
+@pytest.mark.parametrize(
+    "text, junk",
+    [
+        ("~a" * 400, True), (".a" * 300, True), ("=a" * 300, True), (SALAD * 9, True), (SALAD.replace("~", " ") * 9, True),
+        (PROSE + "~a" * 400, True), (PROSE * 4 + "~a" * 20, True), (PROSE * 2 + "~a" * 20, False),
+        ((PROSE.replace(".", "") + "\n") * 5, True), ((PROSE + "\n\n") * 2, False), (PROSE + "One of the wells was dry, one of the mills burned, and one of the three was sold.", False),
+    ],
+)
+def test_repetition_decides(spark, text, junk):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality.document_quality(df, COMMON).head().is_junk == junk
+
+
+def test_short_repeated_forms_count():
+    assert quality._repeated_spans(".a" * 30, 3, 0.3) and not quality._repeated_spans("a\nof\n" + "x1\ny22\nz33\n" * 2 + "a\na\n" + "".join(f"w{i}\n" for i in range(100, 120)), 3, 0.3)
+
+
+def test_further_copies_of_lines_are_outside_prose():
+    two = PROSE.strip(" .") + "\nIn the year of the flood the bridge by which they came fell to the river and was lost\n"
+    one, copied, short = (quality.text_stats(pa.array([t]), COMMON) for t in (two, two * 2, PROSE.replace(" ", "\n")))
+    assert one["non_prose_share"] == [0.0] and copied["non_prose_share"] == pytest.approx([0.5], abs=0.01)
+    assert short["duplicate_line_share"][0] > 0 and short["non_prose_share"][0] < 0.2
+
+
 def test_stats_are_those_of_the_text(spark):
     df = spark.createDataFrame([(1, "Ab cd.\nAb cd.\n\n- e 5"), (2, None), (3, "x" * 100_000)], "doc_id long, text string")
     r = {x.doc_id: x for x in quality.document_quality(df, COMMON).collect()}
