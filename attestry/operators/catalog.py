@@ -18,11 +18,18 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_sets(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_evidence(table(spark, folder, "fever_records"))["sets"]
+    return nested.flatten_evidence(table(spark, folder, "fever_records"))["sets"].select("record_id", "evidence_set_id", "n_items")
 
 
 def p1_items(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_evidence(table(spark, folder, "fever_records"))["items"]
+    return nested.flatten_evidence(table(spark, folder, "fever_records"))["items"].select(
+        "record_id", "evidence_set_id", "evidence_item_position", *nested.ITEM_FIELDS
+    )
+
+
+def p1_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of every table, inferred columns and further arrays included."""
+    return nested.flat_cells(nested.flatten_evidence(table(spark, folder, "fever_records")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +51,7 @@ QUERIES = {
     "p1_records": p1_records,
     "p1_sets": p1_sets,
     "p1_items": p1_items,
+    "p1_cells": p1_cells,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_key_runs": p5_key_runs,

@@ -54,6 +54,26 @@ def test_tables_link_to_their_parents(spark):
     assert found(t["items"]) == [(0, 0, 0, 1, 2, "P", 3)]
 
 
+def test_every_member_and_array_gets_its_place(spark):
+    data = [
+        {"label": L, "claim": "a", "id": 7, "meta": {"batch": 3, "review": {"by": "x", "rounds": [1, 2]}}, "odd": 5,
+         "evidence": [{"note": "n", "items": [{"wiki_page": "P", "annotator": {"group": 8, "tags": ["t", "u"]}}]}, [[1, 2, "Q", 3]]]},
+        {"label": L, "claim": "b", "id": "8", "odd": {"k": 1}, "grid": [[1], [2, 3]]},
+        {"label": L, "claim": "c", "odd": ["z", {"k": 2}]},
+    ]
+    t = nested.flatten_evidence(rows(spark, map(json.dumps, data)))
+    by = {n: {tuple(r[c] for c in df.columns if c in r.asDict()): r.asDict() for r in df.collect()} for n, df in t.items()}
+    assert {(r["id"], r["meta_batch"], r["meta_review_by"], r["odd"], r["odd_k"]) for r in by["records"].values()} == {("7", 3, "x", "5", None), ("8", None, None, None, 1), (None, None, None, None, None)}
+    assert [r["note"] for r in by["sets"].values() if r["note"]] == ["n"]
+    assert sorted((r["evidence_set_id"], r["annotator_group"]) for r in by["items"].values()) == [(0, 8), (1, None)]
+    assert found(t["records.meta_review_rounds"]) == [(0, 0, 1), (0, 1, 2)]
+    assert found(t["items.annotator_tags"]) == [(0, 0, 0, 0, "t"), (0, 0, 0, 1, "u")]
+    assert found(t["records.grid.value"]) == [(1, 0, 0, 1), (1, 1, 0, 2), (1, 1, 1, 3)]
+    assert {(r["odd_position"], r["value"], r["k"]) for r in by["records.odd"].values()} == {(0, "z", None), (1, None, 2)}
+    cells = {tuple(r.ordinals) for r in nested.flat_cells(t).where("table_name = 'items.annotator_tags'").collect()}
+    assert cells == {(0, 0, 0), (0, 0, 1)}
+
+
 def test_empty_table(spark):
     t = nested.flatten_evidence(rows(spark, []))
     assert [t[k].count() for k in ("records", "sets", "items")] == [0, 0, 0]
