@@ -47,22 +47,24 @@ def source_families(docs: DataFrame, node: str, publisher: str, text: str, origi
     return connected_components(docs, links, node)
 
 
-def pair_relations(docs: DataFrame, group: str, node: str, publisher: str, text: str, least_same: int = 12, least_near: int = 80, near: float = 0.85) -> DataFrame:
+def pair_relations(docs: DataFrame, group: str, node: str, publisher: str, text: str, least_same: int = 12, least_near: int = 80, near: float = 0.85, origin: str | None = None) -> DataFrame:
     """Relation of every pair of documents of one assessment ``group``, which the caller keeps small.
 
-    Similarity is the Jaccard share of common five-word runs, worked out where both texts are long enough.
+    ``origin`` names the column of the declared origin, of one canonical form; null and empty declare none. Similarity is the Jaccard
+    share of common five-word runs, worked out where no other rule holds and both texts are long enough.
     """
-    x = docs.select(group, F.col(node).alias("n"), F.col(publisher).alias("p"), tokens(F.col(text)).alias("w"))
+    x = docs.select(group, F.col(node).alias("n"), F.col(publisher).alias("p"), (F.col(origin).cast("string") if origin else F.lit(None).cast("string")).alias("o"), tokens(F.col(text)).alias("w"))
     x = x.withColumn("s", F.when(F.size("w") >= least_near, shingles(F.col("w"))))
-    a = x.select(group, F.col("n").alias("left_id"), F.col("p").alias("pa"), F.col("w").alias("wa"), F.col("s").alias("sa"))
-    b = x.select(group, F.col("n").alias("right_id"), F.col("p").alias("pb"), F.col("w").alias("wb"), F.col("s").alias("sb"))
+    a = x.select(group, F.col("n").alias("left_id"), F.col("p").alias("pa"), F.col("o").alias("oa"), F.col("w").alias("wa"), F.col("s").alias("sa"))
+    b = x.select(group, F.col("n").alias("right_id"), F.col("p").alias("pb"), F.col("o").alias("ob"), F.col("w").alias("wb"), F.col("s").alias("sb"))
     y = a.join(b, group).where("left_id < right_id")
     j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     same = (F.col("wa") == F.col("wb")) & (F.size("wa") >= least_same)
     publisher_same = F.col("pa") == F.col("pb")
-    similarity = F.when(F.coalesce(publisher_same, F.lit(False)) | same, F.lit(None)).otherwise(F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), F.round(j, 6)))
+    origin_same = F.coalesce((F.col("oa") == F.col("ob")) & (F.col("oa") != ""), F.lit(False))
+    similarity = F.when(F.coalesce(publisher_same, F.lit(False)) | origin_same | same, F.lit(None)).otherwise(F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), F.round(j, 6)))
     y = y.withColumn("similarity", similarity)
-    relation = F.when(publisher_same, "SAME_PUBLISHER").when(same, "IDENTICAL_TEXT").when(F.col("similarity") >= near, "POSSIBLE_TEXT_REUSE").otherwise("UNDETERMINED")
+    relation = F.when(publisher_same, "SAME_PUBLISHER").when(origin_same, "DECLARED_COMMON_ORIGIN").when(same, "IDENTICAL_TEXT").when(F.col("similarity") >= near, "POSSIBLE_TEXT_REUSE").otherwise("UNDETERMINED")
     return y.select(group, "left_id", "right_id", relation.alias("relation"), "similarity")
 
 

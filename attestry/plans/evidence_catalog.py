@@ -212,6 +212,14 @@ def source_families(spark, folder):
     return families.source_families(docs, "doc_id", "publisher", "text")
 
 
+def pair_relations(spark, folder):
+    """Relations within groups of 25 documents, in order of their ids; a document's source stands in for its declared origin."""
+    docs = table(spark, folder, "documents").where(text.non_blank(F.col("text"))).select("doc_id", "source", "text", F.concat_ws("/", "source", "title").alias("name"), "title")
+    docs = docs.withColumn("publisher", F.when(F.col("title").isNotNull(), F.col("name")))
+    numbered = relational.number_rows(docs, ["doc_id"], "n", start=0).withColumn("case", F.floor(F.col("n") / 25))
+    return families.pair_relations(numbered, "case", "doc_id", "publisher", "text", origin="source")
+
+
 def family_votes(spark, folder):
     docs = table(spark, folder, "documents")
     stance = F.when(F.col("doc_id") % 3 == 0, "ENTAILMENT").when(F.col("doc_id") % 3 == 1, "CONTRADICTION").otherwise("NEUTRAL")
@@ -381,7 +389,7 @@ NAMES = [
     hybrid_retrieval, failure_rows, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
     page_bm25, sentence_bm25, dense_top, fused_pages, page_metrics, sentence_metrics, expanded_pages, reranked, contribution_roles, page_verdicts,
     evidence_screening, evidence_screening_windowed, grounded_evidence, verdict_confusion, verdict_classes, verdict_selective, gold_set_hits, softmax_labels,
-    probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, family_votes,
+    probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, pair_relations, family_votes,
     document_context, latest_as_of, version_history, snapshot_integrity, passages, content_hashes, daily_usage, usage_summary, latency_percentiles, quota_windows,
     log_counters, status_outcomes, retained_events, shingle_counts, canonical_claims, page_titles, subject_anchors, public_urls,
 ]

@@ -221,6 +221,15 @@ def test_pair_relations(spark):
     assert got[(1, 2)] == "POSSIBLE_TEXT_REUSE" and got[(1, 3)] == "SAME_PUBLISHER" and got[(1, 4)] == "IDENTICAL_TEXT" and got[(2, 3)] == "UNDETERMINED"
 
 
+def test_declared_origin_comes_after_the_publisher_and_before_the_text(spark):
+    same = " ".join(f"w{i}" for i in range(100))
+    data = [("g", 1, "p", "o", same), ("g", 2, "p", "o", same), ("g", 3, "q", "o", same), ("g", 4, "r", None, same), ("g", 5, "s", None, "z"), ("g", 6, "t", "", "z"), ("g", 7, "u", "", "y")]
+    docs = spark.createDataFrame(data, "g string, d long, pub string, org string, t string")
+    got = {(r.left_id, r.right_id): (r.relation, r.similarity) for r in families.pair_relations(docs, "g", "d", "pub", "t", origin="org").collect()}
+    assert got[(1, 2)] == ("SAME_PUBLISHER", None) and got[(1, 3)] == ("DECLARED_COMMON_ORIGIN", None) and got[(3, 4)] == ("IDENTICAL_TEXT", None)
+    assert got[(4, 5)][0] == got[(6, 7)][0] == "UNDETERMINED" and len(got) == 21
+
+
 def test_versions_and_integrity(spark):
     v = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("k", 4, "a"), ("k", 5, None), ("k", 6, None), ("j", 1, None)], "k string, o int, c string")
     got = sorted((r.k, r.o, r.version_number) for r in layout.content_versions(v, "k", "c", ["o"]).collect())
