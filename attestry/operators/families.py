@@ -53,6 +53,8 @@ def pair_relations(docs: DataFrame, group: str, node: str, publisher: str, text:
     ``origin`` names the column of the declared origin, of one canonical form; null and empty declare none. Similarity is the Jaccard
     share of common five-word runs, worked out where no other rule holds and both texts are long enough.
     """
+    # Texts are laid out by group before they are cut up, so that words and runs are not shuffled.
+    docs = docs.select(*dict.fromkeys(c for c in (group, node, publisher, text, origin) if c)).repartition(group)
     x = docs.select(group, F.col(node).alias("n"), F.col(publisher).alias("p"), (F.col(origin).cast("string") if origin else F.lit(None).cast("string")).alias("o"), tokens(F.col(text)).alias("w"))
     x = x.withColumn("s", F.when(F.size("w") >= least_near, shingles(F.col("w"))))
     a = x.select(group, F.col("n").alias("left_id"), F.col("p").alias("pa"), F.col("o").alias("oa"), F.col("w").alias("wa"), F.col("s").alias("sa"))
