@@ -26,12 +26,13 @@ def per_part_table(laid: DataFrame, values: dict[int, tuple], schema: str) -> Da
 
 def last_before(laid: DataFrame, keys: list[str], order: list[str], value: str, where: str = "true") -> DataFrame:
     """(_part, c_<key>, _carried): key and value of the last row in the partitions before that meets ``where``."""
-    tail = F.max_by(F.struct(*keys, value), F.struct(*keys, *order))
-    rows = laid.where(where).groupBy("_part").agg(tail.alias("t")).collect()
-    tails = {r["_part"]: r["t"] for r in rows}
+    wanted = F.expr(where)
+    tail = F.max_by(F.when(wanted, F.struct(*keys, value)), F.when(wanted, F.struct(*keys, *order)))
+    rows = laid.groupBy("_part").agg(tail.alias("t")).collect()
+    tails = {r["_part"]: r["t"] for r in rows if r["t"] is not None}
     seen: dict[int, tuple] = {}
     current = None
-    for part in range(max([-1, *tails]) + 2 + laid.rdd.getNumPartitions()):
+    for part in range(max([-1, *(r["_part"] for r in rows)]) + 1):
         if current is not None:
             seen[part] = tuple(current)
         current = tails.get(part, current)
