@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.text import bare, is_blank
-
-
-def digest(c: Column) -> Column:
-    """Sixteen bytes that stand for a text in shuffles."""
-    return F.unhex(F.md5(c))
+from attestry.llm.text import bare, digest, is_blank
 
 
 def value_dictionary(rows: DataFrame, row_id: str, fields: list[str]) -> DataFrame:

@@ -97,6 +97,39 @@ def test_overlaps(spark):
     assert overlap(spark, []) == [] and overlap(spark, rows[:1]) == []
 
 
+def test_number_words_and_sentence_openings():
+    pair = lambda a, b: split_overlap.same_record("It was open for a while", a, "It was open for a while", b)
+    assert not pair("the fair lasted six days in all", "the fair lasted seven days in all")
+    assert not pair("the fair lasted six days in all", "the fair lasted days in all")
+    assert pair("the guild met there on each day", "the guild met three on each day")
+    assert pair("It rained for long. The fair closed early then", "It rained for long. A fair closed early then")
+    assert not pair("It rained for long. The fair in Brum closed then", "It rained for long. The fair in Drum closed then")
+    assert not pair("alone", "another")
+
+
+def test_records_of_one_template(spark):
+    """Ten thousand records that differ in names and figures only, and a hot claim; each has one partner."""
+    n = 5000
+    names = [f"{a}{b}{c}{d}".capitalize() for a in "bdfgklmnpr" for b in "aeiou" for c in "bdfgklmnpr" for d in ("ax", "en", "il", "op", "ur", "ys", "ed", "ak", "in", "ob")][:n]
+    claim = lambda k: f"the old mill of {names[k]} was sold by the town"
+    premise = lambda k, w: f"In that year the {w} of {names[k]} sold the old mill to a neighbour after a long quarrel"
+    rows = [(k, "train", claim(k), premise(k, "council")) for k in range(n)] + [(n + k, "test", claim(k), premise(k, "councill")) for k in range(n)]
+    assert overlap(spark, rows) == [(k, n + k) for k in range(n)]
+
+
+def test_long_premises(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    texts = [[rng.choice(vocabulary) for _ in range(600)] for _ in range(60)]
+    rows = [(k, "train", "the same claim of all", " ".join(t)) for k, t in enumerate(texts)]
+    for k, t in enumerate(texts):
+        other = list(t)
+        for at in rng.sample(range(600), 40 if k % 2 else 90):
+            other[at] = "changed"
+        rows.append((1000 + k, "test", "the same claim of all", " ".join(other)))
+    assert overlap(spark, rows) == [(k, 1000 + k) for k in range(60) if k % 2]
+
+
 def test_report_counts_copies_without_pairs(spark):
     rows = [(i, "train", CLAIM, PREMISE) for i in range(5)] + [(9, "test", CLAIM, PREMISE.upper()), (10, "test", "other claim here", PREMISE)]
     df = spark.createDataFrame([(i, s, "g", c, p, "x", 1) for i, s, c, p in rows], NLI)
@@ -108,7 +141,7 @@ def test_blocks_find_every_pair_within_the_bound(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)]
     for _ in range(400):
-        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
+        a = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, rng.randint(1, 60), rng.randint(60, 150)]))]
         b = list(a)
         for _ in range(rng.randint(0, max(1, len(a) // 8))):
             kind, at = rng.random(), rng.randrange(len(b) + 1)
@@ -121,9 +154,11 @@ def test_blocks_find_every_pair_within_the_bound(seed):
         if not b:
             continue
         most = max(1, max(len(a), len(b)) // 8)
-        if split_overlap.word_edits(a, b, most) is not None:
-            assert set(split_overlap.stored_blocks(a)) & set(split_overlap.sought_blocks(b))
-            assert set(split_overlap.stored_blocks(b)) & set(split_overlap.sought_blocks(a))
+        edits = split_overlap.word_edits(a, b, most)
+        if edits is not None and len(a) > sum(i >= 0 for i, _ in edits):
+            for x, y in ((a, b), (b, a)):
+                stored, sought = split_overlap.stored_blocks(x), split_overlap.sought_blocks(y)
+                assert any(set(s) & set(t) for s, t in zip(stored, sought))
 
 
 def test_word_edits():
