@@ -9,7 +9,6 @@ texts reassembled by position. Only words, and the packed positions once, are sh
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from attestry.llm.pretokens import cut, text_chunks
-from attestry.session import shared_folder
+from attestry.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
@@ -144,7 +143,7 @@ def encode_corpus(
     """
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocab_file)
-    folder = f"{shared_folder(spark)}/encode-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "encode")
     cut_up = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(_chunk_rows(id_column, text_column), CHUNKS)
     # Both readers below need the same chunks: written once, as a table in the shared folder.
     cut_up.write.partitionBy("part").option("compression", "zstd").parquet(folder)
