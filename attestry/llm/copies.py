@@ -31,7 +31,7 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, hot: list) -> Data
     is_hot = F.col(key).isin(hot)
     salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(width))).otherwise(0))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(lookup.withColumn("_salt", F.explode(salts).cast("long")), [key, "_salt"]).drop("_salt")
+    return salted.join(lookup.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
 
 
 def value_dictionary(rows: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
