@@ -135,6 +135,15 @@ def test_report_and_runs(spark):
     assert found(references.orphan_report(o, "t")) == [("t", "1970-01", "missing", 1), ("t", "1970-02", "missing", 1)]
 
 
+@pytest.mark.parametrize("width", [1, 2, 7])
+def test_key_runs_of_a_hot_page_over_many_tasks(spark, width):
+    """Runs that cross task borders are put together, one that fills whole tasks included."""
+    keys = [("p", k) for k in [*range(400), *range(401, 900), 905]] + [("q", k) for k in (5, 3, 4, 4, 900)]
+    df = spark.createDataFrame(keys, "page_id string, sentence_id int").repartition(3)
+    want = [("p", 0, 399, 400), ("p", 401, 899, 499), ("p", 905, 905, 1), ("q", 3, 5, 3), ("q", 900, 900, 1)]
+    assert found(references.key_runs(df, ["page_id"], "sentence_id", width)) == want
+
+
 def test_micros_do_not_depend_on_the_zone(spark):
     df = spark.createDataFrame([(datetime(2024, 3, 10, 2, 30, 0, 123456),)], "t timestamp_ntz")
     old = spark.conf.get("spark.sql.session.timeZone")
