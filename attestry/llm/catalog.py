@@ -122,12 +122,38 @@ g AS (SELECT x, y, min(example_id) AS f, count(*) AS n FROM k GROUP BY x, y)
 _PAGE = r"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(page_id), '-LRB-', '(', 'gi'), '-RRB-', ')', 'gi'), '[\s\p{Z}\x{85}_]+', ' ', 'g'))"
 _TRIMMED = r"coalesce(length(regexp_replace(text, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g')), 0)"
 
+
+def _first(field: str, before: str = "") -> str:
+    """The value of a field, and the row it is of, by an order that ends in the latest and the smallest row."""
+    order = f"{before}{', ' if before else ''}loaded_at DESC NULLS LAST, row_id"
+    return f"first({field} ORDER BY {order}) AS {field}, first(row_id ORDER BY {order}) AS {field}_row_id"
+
+
+def _vote_ctes(field: str) -> str:
+    form = rf"regexp_replace({field}, '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
+    return f"""{field}_votes AS (SELECT group_row_id, {form} AS form, round(sum(CASE WHEN {field} IS NULL THEN 0 ELSE vote END), 9) AS votes, max(loaded_at) AS last_at,
+    first(row_id ORDER BY loaded_at DESC NULLS LAST, row_id) AS row_of, first({field} ORDER BY loaded_at DESC NULLS LAST, row_id) AS value FROM x GROUP BY ALL),
+  {field}_best AS (SELECT group_row_id, first(value ORDER BY votes DESC, last_at DESC NULLS LAST, row_of) AS value, first(row_of ORDER BY votes DESC, last_at DESC NULLS LAST, row_of) AS row_of FROM {field}_votes GROUP BY 1)"""
+
+
 SQL = {
     "p3_found": f"""
 WITH k AS (SELECT row_id, {_PAGE} AS page, sentence_id, loaded_at, {_TRIMMED} AS size FROM wiki_sentences WHERE page_id IS NOT NULL AND sentence_id IS NOT NULL),
 g AS (SELECT page, sentence_id, min(row_id) AS group_row_id, count(*) AS n,
   first(row_id ORDER BY size DESC, loaded_at DESC NULLS LAST, row_id) AS text_row_id FROM k GROUP BY page, sentence_id)
 SELECT group_row_id, text_row_id FROM g WHERE n > 1
+""",
+    "p3_survivors": f"""
+WITH k AS (SELECT *, {_PAGE} AS page, {_TRIMMED} AS size, {_TRIMMED.replace("text", "raw_line")} AS raw_size FROM wiki_sentences WHERE page_id IS NOT NULL AND sentence_id IS NOT NULL),
+g AS (SELECT page, sentence_id, min(row_id) AS group_row_id, max(loaded_at) AS newest, count(*) AS n FROM k GROUP BY page, sentence_id),
+tr AS (SELECT source_member, avg(coalesce(regexp_matches(text, '[^\\s\\p{{Z}}\\x{{85}}]'), false)::INT) AS trust FROM wiki_sentences GROUP BY 1),
+x AS (SELECT k.*, group_row_id, coalesce(trust, 0.5) * pow(0.5::DOUBLE, coalesce(newest::DATE - loaded_at::DATE, 90) / 90.0::DOUBLE) AS vote
+  FROM k JOIN g USING (page, sentence_id) LEFT JOIN tr USING (source_member) WHERE n > 1),
+{_vote_ctes("page_id")}, {_vote_ctes("source_member")}
+SELECT group_row_id, {_first("text", "size DESC")}, {_first("raw_line", "raw_size DESC")}, {_first("loaded_at")}, {_first("removed_at")},
+  any_value(page_id_best.value) AS page_id, any_value(page_id_best.row_of) AS page_id_row_id,
+  any_value(source_member_best.value) AS source_member, any_value(source_member_best.row_of) AS source_member_row_id
+FROM x JOIN page_id_best USING (group_row_id) JOIN source_member_best USING (group_row_id) GROUP BY group_row_id
 """,
     "p4_found": _P4 + "SELECT f AS example_id_a, example_id AS example_id_b FROM k JOIN g USING (x, y) WHERE example_id <> f",
     "p4_records": _P4 + "SELECT f AS example_id, n AS copies FROM g",

@@ -3,35 +3,37 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.text import composed, strip
+from attestry.session import shared_checkpoint
 
 
 @dataclass(frozen=True)
 class Field:
     """How the surviving value of a field is chosen.
 
-    ``complete``: the longest value (white space at the ends not counted, null as 0) wins, then the
-    latest, then the smallest row id. Otherwise the value with the greatest sum of votes wins
-    (trust times decay; nulls don't vote), then the latest, then the smallest row id.
+    ``votes``: the value with the greatest sum of votes wins (trust of the source times decay; nulls don't vote),
+    then the latest, then the smallest row id. ``complete``: the longest value (white space at the ends not counted,
+    null as 0), then the latest, then the smallest row id. ``latest``: the value of the row loaded last, null or not,
+    then the smallest row id; fields that belong together, as the two ends of a row's validity, thus come from one row.
     """
 
     name: str
-    complete: bool = False
+    by: str = "votes"
 
 
 WIKI_FIELDS = (
-    Field("text", complete=True),
-    Field("raw_line", complete=True),
+    Field("text", "complete"),
+    Field("raw_line", "complete"),
     Field("page_id"),
     Field("source_member"),
-    Field("loaded_at"),
-    Field("removed_at"),
+    Field("loaded_at", "latest"),
+    Field("removed_at", "latest"),
 )
+FEW_SOURCES = 100_000  # sources whose trust may be broadcast: some 10 MB
+UNKNOWN_TRUST = 0.5
 
 
 def page_form(c: Column) -> Column:
@@ -88,8 +90,8 @@ def field_winners(
                 F.lit(f.name).alias("field"),
                 value.alias("value"),
                 strip(value).alias("form"),
-                (F.coalesce(F.char_length(strip(value)), F.lit(0)) if f.complete else F.lit(0)).alias("size"),
-                (F.when(value.isNull() | F.lit(f.complete), 0.0).otherwise(F.col("_vote"))).alias("vote"),
+                (F.coalesce(F.char_length(strip(value)), F.lit(0)) if f.by == "complete" else F.lit(0)).alias("size"),
+                (F.when(value.isNull() | F.lit(f.by != "votes"), 0.0).otherwise(F.col("_vote"))).alias("vote"),
             )
         )
     long = voted.select("group_row_id", F.col(row_id).alias("_row"), F.col(at).alias("_at"), F.explode(F.array(*parts)).alias("x"))
@@ -116,10 +118,24 @@ def wiki_groups(sentences: DataFrame) -> DataFrame:
     return duplicate_groups(sentences, "row_id", [page_form(F.col("page_id")), F.col("sentence_id")])
 
 
-def wiki_survivors(sentences: DataFrame, fields: tuple[Field, ...] = WIKI_FIELDS) -> DataFrame:
-    """Surviving values of each group of two or more rows of one sentence of one page."""
-    return field_winners(wiki_groups(sentences), "row_id", "loaded_at", fields)
+def source_trust(rows: DataFrame, source: str, good: Column) -> DataFrame:
+    """(``source``, ``trust``): the share of a source's rows that are good, over the whole table; null is no source."""
+    return rows.where(F.col(source).isNotNull()).groupBy(source).agg(F.avg(F.coalesce(good, F.lit(False)).cast("double")).alias("trust"))
+
+
+def with_trust(rows: DataFrame, trust: DataFrame, source: str) -> DataFrame:
+    """Column ``_trust``; UNKNOWN_TRUST for sources the table ``trust`` lacks. Its size decides how it is joined."""
+    trust = shared_checkpoint(trust.select(source, F.col("trust").alias("_trust")), "trust")
+    small = trust.count() <= FEW_SOURCES
+    return rows.join(F.broadcast(trust) if small else trust, source, "left").withColumn("_trust", F.coalesce("_trust", F.lit(UNKNOWN_TRUST)))
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def wiki_survivors(sentences: DataFrame, fields: tuple[Field, ...] = WIKI_FIELDS, trust: DataFrame | None = None) -> DataFrame:
+    """Surviving values of each group of two or more rows of one sentence of one page.
+
+    ``trust`` holds (source_member, trust); unless given it is the share of a source's rows that hold a text. Removed
+    rows take part; what survives is withdrawn if the row loaded last is.
+    """
+    if trust is None:
+        trust = source_trust(sentences, "source_member", F.col("text").rlike(r"(?U)\S"))
+    return field_winners(with_trust(wiki_groups(sentences), trust, "source_member"), "row_id", "loaded_at", fields, F.col("_trust"))

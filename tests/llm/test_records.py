@@ -70,6 +70,23 @@ def test_votes_prefer_trusted_and_recent(spark):
     assert survivors.field_winners(groups, "row_id", "loaded_at", field, trust, 1e9).head().source_member == "new"
 
 
+def test_a_reloaded_sentence_is_live(spark):
+    t = lambda d: datetime(2023, 1, 1) + timedelta(days=d)
+    data = [(1, "P", 0, "t", None, "m", t(0), t(150), "x"), (2, "P", 0, "t", None, "m", t(180), None, "x"), (3, "Q", 0, "t", None, "m", t(0), None, "x"), (4, "Q", 0, "t", None, None, t(9), t(10), "x")]
+    got = {r.group_row_id: (r.loaded_at, r.removed_at, r.removed_at_row_id) for r in survivors.wiki_survivors(spark.createDataFrame(data, WIKI)).collect()}
+    assert got == {1: (t(180), None, 2), 3: (t(9), t(10), 4)}
+
+
+def test_trust_of_a_source_is_its_share_of_texts(spark):
+    data = [(1, "P", 0, "t", "good", 0), (2, "P", 0, "t", "bad", 0), (3, "Q", 0, " ", "bad", 0), (4, "R", 0, None, "bad", 0), (5, "S", 0, "t", None, 0)]
+    rows = wiki(spark, data)
+    trust = survivors.source_trust(rows, "source_member", F.col("text").rlike(r"\S"))
+    assert {r.source_member: round(r.trust, 3) for r in trust.collect()} == {"good": 1.0, "bad": 0.333}
+    assert survivors.wiki_survivors(rows).head().source_member == "good"
+    given = spark.createDataFrame([("bad", 0.9), ("good", 0.1)], "source_member string, trust double")
+    assert survivors.wiki_survivors(rows, trust=given).head().source_member == "bad"
+
+
 NLI = "example_id long, split string, source_type string, claim string, premise string, record string, k long"
 CLAIM = "The potter Ada Vell led the Old Society for 6 years in Brum ."
 PREMISE = "Its first president was Ada Vell , a potter from Brum , who served for 6 years as noted by Tom Hale in a long letter of 1887 ."
