@@ -82,6 +82,12 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_report(p8_packing(spark, folder), table(spark, folder, "packing_budgets"))
 
 
+def p8_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by best fit alone, after evolution, and at least, over the blocks."""
+    sizes = encoding.token_counts(table(spark, folder, "documents"), encoding.vocabulary())
+    return packing.packing_gain(sizes, table(spark, folder, "packing_budgets"))
+
+
 def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
     # The word list is fixed in length (210 rows).
     words = quality.common_words(table(spark, folder, "common_words").select("lang", "word").collect())
@@ -107,6 +113,7 @@ QUERIES = {
     "p7_roundtrip": p7_roundtrip,
     "p8_packing": p8_packing,
     "p8_report": p8_report,
+    "p8_gain": p8_gain,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }

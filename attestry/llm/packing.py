@@ -2,16 +2,18 @@
 
 Items are dealt by hash into blocks of bounded size. Each block is worked on by several islands: small
 populations of packings, bred by injecting whole well-filled containers of one parent into another,
-dropping the containers that hold an injected item twice, and placing the displaced items by best fit.
-Between epochs each island's elite moves on to the next island. What the best packing of a block leaves
-in poorly filled containers is pooled with that of other blocks and packed once more.
+dropping the containers that hold an injected item twice, and placing the displaced items: a displaced item
+first takes the place of a smaller one that leaves its container fuller, which then is displaced in its stead,
+and what can take no place so goes by best fit. Between epochs each island's elite moves on to the next island.
+What the best packing of a block leaves in poorly filled containers is pooled with that of other blocks and
+packed once more in the same way. A block ends as soon as it meets the bound no packing can beat.
 """
 
 from __future__ import annotations
 
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,120 +29,150 @@ from attestry.session import shared_checkpoint
 class PackingPlan:
     """block_items: items of a block on average. islands and epochs of each block, population and
     children of an island per epoch. pool_blocks: blocks whose leftovers are pooled. well_filled: share
-    of the capacity from which a container is kept as it is."""
+    of the capacity from which a container is kept as it is. blur: spread of sizes in the orders of the first packings."""
 
     block_items: int = 2000
-    islands: int = 2
-    epochs: int = 2
-    population: int = 4
-    children: int = 6
+    islands: int = 3
+    epochs: int = 3
+    population: int = 8
+    children: int = 40
     pool_blocks: int = 32
     well_filled: float = 0.98
+    blur: float = 0.2
 
 
 PLAN = PackingPlan()
-Bins = list[list[int]]
+UNPLACED = -1
+HUGE = 1 << 60
 
 
-def best_fit(order: list[int], sizes: list[int], capacity: int, bins: Bins) -> Bins:
-    """Places items in the given order, each into the fullest container that still holds it."""
-    free = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+def best_fit(order: Iterable[int], sizes: list[int], capacity: int, bins: np.ndarray, free: list[int]) -> np.ndarray:
+    """Places items in the given order, each into the fullest container that still holds it. ``bins`` gives the container of each item."""
+    rooms = sorted((r, k) for k, r in enumerate(free))
+    opened = len(free)
     for i in order:
         z = sizes[i]
-        at = bisect_left(free, (z, -1))
-        if at == len(free):
-            bins.append([i])
-            insort(free, (capacity - z, len(bins) - 1))
+        at = bisect_left(rooms, (z, -1))
+        if at == len(rooms):
+            room, k, opened = capacity, opened, opened + 1
         else:
-            room, k = free.pop(at)
-            bins[k].append(i)
-            if room > z:
-                insort(free, (room - z, k))
+            room, k = rooms.pop(at)
+        bins[i] = k
+        if room > z:
+            insort(rooms, (room - z, k))
     return bins
 
 
-def least_bins(sizes: list[int], capacity: int) -> int:
-    """No packing has fewer containers: by volume, and by items over half the capacity with those that go beside none of them."""
-    best = -(-sum(sizes) // capacity)
-    big = sorted(z for z in sizes if 2 * z > capacity)
-    return max(best, len(big))
+def falling_order(sizes: np.ndarray) -> list[int]:
+    return np.argsort(-sizes, kind="stable").tolist()
 
 
-def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer containers first, then fuller ones (sum of squared fill)."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Injects well-filled containers of ``b`` into ``a``."""
-    ranked = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    count = rng.randint(1, max(1, len(ranked) // 2))
-    start = rng.randint(0, max(0, len(ranked) // 2 - count))
-    injected = ranked[start : start + count]
-    taken = {i for x in injected for i in x}
-    child = [list(x) for x in injected]
-    displaced = []
-    for x in a:
-        if taken.isdisjoint(x):
-            child.append(list(x))
-        else:
-            displaced += [i for i in x if i not in taken]
-    return best_fit(sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity, child)
+def best_fit_falling(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    return best_fit(falling_order(sizes), sizes.tolist(), capacity, np.zeros(len(sizes), "int64"), [])
 
 
-def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Empties some of the worst-filled containers and a few others, and places their items again."""
-    ranked = sorted(bins, key=lambda x: sum(sizes[i] for i in x))
-    n = max(2, len(ranked) // 20)
-    out = set(range(min(n, len(ranked)))) | {rng.randrange(len(ranked)) for _ in range(n)}
-    displaced = [i for k in out for i in ranked[k]]
-    rng.shuffle(displaced)
-    return best_fit(displaced, sizes, capacity, [list(x) for k, x in enumerate(ranked) if k not in out])
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer containers: by volume, and for each least size k by the items that leave no room for k, the
+    other ones above half the capacity, and the volume from k up that does not go beside these."""
+    z = np.sort(np.asarray(sizes, "int64"))
+    volume = np.concatenate([[0], np.cumsum(z)])
+    n, best = len(z), -(-int(volume[-1]) // capacity)
+    half = int(np.searchsorted(z, capacity // 2, "right"))
+    for k in np.unique(np.concatenate([[0], z[:half]])):
+        alone = int(np.searchsorted(z, capacity - k, "right"))
+        low = int(np.searchsorted(z, k))
+        beside = (alone - half) * capacity - int(volume[alone] - volume[half])
+        rest = int(volume[half] - volume[low]) - beside
+        best = max(best, n - half + max(0, -(-rest // capacity)))
+    return best
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins], plan: PackingPlan) -> Bins:
+def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
+    """Fewer containers first, then fuller ones (sum of squared fill)."""
+    fill = np.bincount(bins, sizes)
+    return -len(fill), float(((fill / capacity) ** 2).sum())
+
+
+def settle(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Places the items without a container: by swaps that fill a container up as far as can be, then by best fit."""
+    placed = bins >= 0
+    kept, number = np.unique(bins[placed], return_inverse=True)
+    bins[placed] = number
+    free = capacity - np.bincount(number, sizes[placed], len(kept)).astype("int64")
+    waiting = sorted((int(sizes[i]), int(i)) for i in np.flatnonzero(~placed))
+    size, owner, left = np.where(placed, sizes, HUGE), np.where(placed, bins, 0), []
+    while waiting:
+        z, j = waiting.pop()
+        gain = z - size
+        i = int(np.where((gain > 0) & (gain <= free[owner]), gain, 0).argmax()) if len(kept) else j
+        if not len(kept) or not 0 < gain[i] <= free[owner[i]]:
+            left.append(j)
+            continue
+        owner[j], size[j], bins[j] = owner[i], z, owner[i]
+        free[owner[i]] -= gain[i]
+        size[i], bins[i] = HUGE, UNPLACED
+        insort(waiting, (int(sizes[i]), i))
+    return best_fit(left, sizes.tolist(), capacity, bins, free.tolist())
+
+
+def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """Injects well-filled containers of ``b`` into ``a``."""
+    order = np.argsort(-np.bincount(b, sizes), kind="stable")
+    full = order[: max(1, len(order) // 2)]
+    count = rng.randint(1, max(1, len(order) // 12))
+    start = rng.randint(0, max(0, len(full) - count))
+    chosen = full[start : start + count]
+    injected = np.isin(b, chosen)
+    n = int(a.max()) + 1
+    broken = np.zeros(n, bool)
+    broken[a[injected]] = True
+    bins = np.where(broken[a], UNPLACED, a)
+    place = np.zeros(len(order), "int64")
+    place[chosen] = n + np.arange(len(chosen))
+    bins[injected] = place[b[injected]]
+    return settle(bins, sizes, capacity)
+
+
+def mutate(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """Empties a few of the worst-filled containers and as many others, and places their items again."""
+    order = np.argsort(np.bincount(bins, sizes), kind="stable")
+    n = len(order)
+    few = min(n, max(2, min(6, n // 20)))
+    emptied = np.zeros(n, bool)
+    emptied[order[:few]] = True
+    emptied[[rng.randrange(n) for _ in range(few)]] = True
+    return settle(np.where(emptied[bins], UNPLACED, bins), sizes, capacity)
+
+
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], plan: PackingPlan) -> np.ndarray:
     """The best packing of one island after one epoch. Ends at once where the bound on containers is met."""
-    if not sizes:
-        return []
+    if not len(sizes):
+        return np.zeros(0, "int64")
     rng = random.Random(seed)
-    falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    bound = least_bins(sizes, capacity)
-    crowd = [[list(x) for x in e] for e in elites] or [best_fit(falling, sizes, capacity, [])]
+    crowd = [np.asarray(e, "int64") for e in elites] or [best_fit_falling(sizes, capacity)]
     best = max(crowd, key=lambda p: fitness(p, sizes, capacity))
-    if len(best) <= bound:
+    if best.max() < (bound := least_bins(sizes, capacity)):
         return best
+    listed = sizes.tolist()
     while len(crowd) < plan.population:
         # Sizes blurred a little give other orders of placing.
-        order = sorted(falling, key=lambda i: -sizes[i] * (0.85 + 0.3 * rng.random()))
-        crowd.append(best_fit(order, sizes, capacity, []))
+        order = sorted(range(len(listed)), key=lambda i: -listed[i] * (1 + plan.blur * (rng.random() - 0.5)))
+        crowd.append(best_fit(order, listed, capacity, np.zeros(len(listed), "int64"), []))
     scored = [(fitness(p, sizes, capacity), k, p) for k, p in enumerate(crowd)]
     for k in range(plan.children):
         a, b = rng.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
         if a[0] < b[0]:
             a, b = b, a
-        child = crossover(b[2], a[2], sizes, capacity, rng) if k % 3 < 2 else mutate(a[2], sizes, capacity, rng)
+        kind = k % 3
+        child = crossover(b[2], a[2], sizes, capacity, rng) if kind == 0 else mutate((a if kind == 1 else max(scored, key=lambda x: x[:2]))[2], sizes, capacity, rng)
         scored.append((fitness(child, sizes, capacity), len(crowd) + k, child))
-        scored.remove(min(scored))
-        if len(child) <= bound:
+        scored.remove(min(scored, key=lambda x: x[:2]))
+        if child.max() < bound:
             break
-    return max(scored)[2]
-
-
-def _bin_numbers(bins: Bins, n: int) -> np.ndarray:
-    out = np.zeros(n, "int32")
-    for k, b in enumerate(bins):
-        out[b] = k
-    return out
+    return max(scored, key=lambda x: x[:2])[2]
 
 
-def _bins(numbers: np.ndarray) -> Bins:
-    out: Bins = [[] for _ in range(int(numbers.max()) + 1 if len(numbers) else 0)]
-    for i, k in enumerate(numbers):
-        out[k].append(i)
-    return out
-
-
-GENES = "budget string, capacity long, block long, island int, ids array<long>, parts array<int>, sizes array<long>, bins array<int>, n_bins int, squares double"
+GENES = "budget string, capacity long, block long, island int, ids array<long>, parts array<int>, sizes array<long>, bins array<int>, n_bins int, squares double, first_bins int, least int"
 
 
 def _gather(plan: PackingPlan):
@@ -164,19 +196,23 @@ def _epoch(plan: PackingPlan, number: int):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                sizes = [int(z) for z in r.sizes]
-                elites = [_bins(np.asarray(e)) for e in r.elites if e is not None and len(e)] if r.elites is not None else []
-                seed = hash((int(r.block), int(r.capacity), int(r.island), number))
-                bins = evolve(sizes, int(r.capacity), seed, elites, plan)
-                n, squares = fitness(bins, sizes, int(r.capacity))
-                out.append((r.budget, r.capacity, r.block, r.island, r.ids, r.parts, r.sizes, _bin_numbers(bins, len(sizes)), -n, squares))
-            yield pd.DataFrame(out, columns=["budget", "capacity", "block", "island", "ids", "parts", "sizes", "bins", "n_bins", "squares"])
+                sizes, capacity = np.asarray(r.sizes, "int64"), int(r.capacity)
+                elites = [np.asarray(e) for e in r.elites if e is not None and len(e)] if r.elites is not None else []
+                seed = hash((int(r.block), capacity, int(r.island), number))
+                bins = evolve(sizes, capacity, seed, elites, plan)
+                n, squares = fitness(bins, sizes, capacity)
+                first = int(best_fit_falling(sizes, capacity).max()) + 1
+                out.append((r.budget, capacity, r.block, r.island, r.ids, r.parts, r.sizes, bins.astype("int32"), -n, squares, first, least_bins(sizes, capacity)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in GENES.split(", ")])
 
     return rows
 
 
 def _pack_blocks(items: DataFrame, plan: PackingPlan) -> DataFrame:
-    """Rows (budget, capacity, block, ids, parts, sizes, bins) with the best packing of each block."""
+    """Rows (budget, block, capacity, ids, parts, sizes, bins, n_bins, first_bins, least) with the best packing of each block.
+
+    first_bins is what best fit in falling order alone needs, least what no packing can beat.
+    """
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = items.groupBy("budget", "block").applyInArrow(
         _gather(plan), "budget string, capacity long, block long, ids array<long>, parts array<int>, sizes array<long>"
@@ -188,7 +224,7 @@ def _pack_blocks(items: DataFrame, plan: PackingPlan) -> DataFrame:
         done = state.repartition(width, "budget", "block", "island").mapInPandas(_epoch(plan, number), GENES)
         rank = F.struct(-F.col("n_bins"), F.col("squares"), -F.col("island"))
         if number == plan.epochs - 1:
-            return done.groupBy("budget", "block").agg(F.max_by(F.struct("capacity", "ids", "parts", "sizes", "bins"), rank).alias("b")).select("budget", "block", "b.*")
+            return done.groupBy("budget", "block").agg(F.max_by(F.struct("capacity", "ids", "parts", "sizes", "bins", "n_bins", "first_bins", "least"), rank).alias("b")).select("budget", "block", "b.*")
         # The elite of each island goes to the next one, which keeps its own beside it.
         one = done.groupBy("budget", "block").agg(
             F.first(F.struct("capacity", "ids", "parts", "sizes")).alias("b"),
@@ -202,14 +238,8 @@ def _pack_blocks(items: DataFrame, plan: PackingPlan) -> DataFrame:
     raise ValueError("epochs must be 1 or more")
 
 
-def pack(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_column: str = "n_tokens", plan: PackingPlan = PLAN) -> DataFrame:
-    """(budget_name, container_id, ``id_column``, part, n_tokens): every item in one container of each budget.
-
-    An item above the capacity is cut: its full parts have a container each, the rest is an item with
-    the next part number; other items are never split. Items of size 0 (null or empty texts) go to one
-    container of their own per block, where they take no space; null sizes count as 0. Ids must be unique. Budgets with
-    a null or non-positive capacity are left out. Empty tables give no rows.
-    """
+def _dealt(items: DataFrame, budgets: DataFrame, id_column: str, size_column: str, plan: PackingPlan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of every item and budget: its full parts, what is left of it with its block, and items without content."""
     budgets = budgets.where("capacity_tokens > 0").select(F.col("budget_name").alias("budget"), F.col("capacity_tokens").cast("long").alias("capacity"))
     items = shared_checkpoint(items.select(F.col(id_column).alias("id"), F.coalesce(F.col(size_column), F.lit(0)).cast("long").alias("size")))
     n_blocks = max(1, round(items.count() / plan.block_items))
@@ -230,7 +260,19 @@ def pack(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_c
         F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size")).alias("size"),
     )
     empty = rest.where("size = 0 and part = 0").select("budget", F.concat(F.lit("e"), "block").alias("container"), "id", "part", "size")
-    best = shared_checkpoint(_pack_blocks(rest.where("size > 0"), plan))
+    return full, rest.where("size > 0"), empty
+
+
+def pack(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_column: str = "n_tokens", plan: PackingPlan = PLAN) -> DataFrame:
+    """(budget_name, container_id, ``id_column``, part, n_tokens): every item in one container of each budget.
+
+    An item above the capacity is cut: its full parts have a container each, the rest is an item with
+    the next part number; other items are never split. Items of size 0 (null or empty texts) go to one
+    container of their own per block, where they take no space; null sizes count as 0. Ids must be unique. Budgets with
+    a null or non-positive capacity are left out. Empty tables give no rows.
+    """
+    full, rest, empty = _dealt(items, budgets, id_column, size_column, plan)
+    best = shared_checkpoint(_pack_blocks(rest, plan))
 
     cells = best.select("budget", "capacity", "block", F.explode(F.arrays_zip("bins", "ids", "parts", "sizes")).alias("c")).select(
         "budget", "capacity", "block", F.col("c.bins").alias("bin"), F.col("c.ids").alias("id"), F.col("c.parts").alias("part"), F.col("c.sizes").alias("size")
@@ -240,7 +282,7 @@ def pack(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_c
     kept = cells.where(F.col("fill") >= F.col("capacity") * plan.well_filled)
     kept = kept.select("budget", F.concat_ws("-", F.lit("b"), "block", "bin").alias("container"), "id", "part", "size")
     left = cells.where(F.col("fill") < F.col("capacity") * plan.well_filled).withColumn("block", F.floor(F.col("block") / plan.pool_blocks).cast("long"))
-    pooled = _pack_blocks(left.select("budget", "capacity", "block", "id", "part", "size"), PackingPlan(islands=1, epochs=1, population=plan.population, children=plan.children))
+    pooled = _pack_blocks(left.select("budget", "capacity", "block", "id", "part", "size"), plan)
     again = pooled.select("budget", "block", F.explode(F.arrays_zip("bins", "ids", "parts", "sizes")).alias("c")).select(
         "budget", F.concat_ws("-", F.lit("p"), "block", "c.bins").alias("container"), F.col("c.ids").alias("id"), F.col("c.parts").alias("part"), F.col("c.sizes").alias("size")
     )
@@ -251,6 +293,14 @@ def pack(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_c
     )
 
 
+def packing_gain(items: DataFrame, budgets: DataFrame, id_column: str = "doc_id", size_column: str = "n_tokens", plan: PackingPlan = PLAN) -> DataFrame:
+    """Per budget, over the blocks before leftovers are pooled: containers by best fit in falling order alone, after
+    evolution, and the least any packing needs."""
+    best = _pack_blocks(_dealt(items, budgets, id_column, size_column, plan)[1], plan)
+    sums = [F.sum(c).alias(n) for c, n in (("first_bins", "best_fit"), ("n_bins", "evolved"), ("least", "least"))]
+    return best.groupBy("budget", "capacity").agg(F.count("*").alias("blocks"), *sums).withColumnRenamed("budget", "budget_name")
+
+
 def packing_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per budget: containers with content, tokens, share of space used, and the least containers the volume needs."""
     bins = packed.groupBy("budget_name", "container_id").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("n")).where("fill > 0")

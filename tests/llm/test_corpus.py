@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -85,13 +86,34 @@ def test_packing(spark):
 @pytest.mark.parametrize("seed", range(5))
 def test_genetic_steps_keep_every_item_once(seed):
     rng = random.Random(seed)
-    sizes = [rng.randint(1, 60) for _ in range(80)]
-    a = packing.best_fit(sorted(range(80), key=lambda i: -sizes[i]), sizes, 100, [])
-    b = packing.best_fit(rng.sample(range(80), 80), sizes, 100, [])
-    for bins in (a, b, packing.crossover(a, b, sizes, 100, rng), packing.mutate(a, sizes, 100, rng), packing.evolve(sizes, 100, seed, [b], packing.PLAN)):
-        assert sorted(i for x in bins for i in x) == list(range(80))
-        assert all(sum(sizes[i] for i in x) <= 100 for x in bins)
-    assert len(packing.evolve(sizes, 100, seed, [b], packing.PLAN)) <= len(b)
+    sizes = np.array([rng.randint(1, 60) for _ in range(80)])
+    a = packing.best_fit_falling(sizes, 100)
+    b = packing.best_fit(rng.sample(range(80), 80), sizes.tolist(), 100, np.zeros(80, "int64"), [])
+    best = packing.evolve(sizes, 100, seed, [b], packing.PLAN)
+    for bins in (a, b, packing.crossover(a, b, sizes, 100, rng), packing.mutate(a, sizes, 100, rng), best):
+        fill = np.bincount(bins, sizes)
+        assert len(bins) == 80 and bins.min() == 0 and fill.max() <= 100 and fill.min() > 0
+    assert packing.least_bins(sizes, 100) <= best.max() + 1 <= b.max() + 1
+
+
+def test_bound_holds():
+    assert packing.least_bins(np.array([51, 51, 51, 10]), 100) == 3
+    assert packing.least_bins(np.array([60, 60, 50, 50]), 100) == 3
+    assert packing.least_bins(np.array([40] * 5), 100) == 2 and packing.least_bins(np.array([], "int64"), 100) == 0
+
+
+def test_evolution_beats_best_fit(spark):
+    """Triples that fill a container exactly, where best fit alone is far from the least number."""
+    rng, sizes = random.Random(2), []
+    for _ in range(150):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    g = packing.packing_gain(df, spark.createDataFrame([("t", 1000)], BUDGETS)).head()
+    assert g.least == 150 and g.best_fit > 165 and g.evolved < 160
+    packed = packing.pack(df, spark.createDataFrame([("t", 1000)], BUDGETS))
+    assert check_packing(packed, list(enumerate(sizes)), 1000) <= g.evolved
 
 
 def test_swap_repair():
