@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.session import shared_checkpoint
+
 # Labels of a valid claim record, and the order of a list-form item.
 KNOWN_LABELS = ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")
 ITEM_FIELDS = ("annotation_id", "evidence_id", "wiki_page", "sentence_id")
@@ -172,7 +174,6 @@ def evidence_variant(records: DataFrame, payload: str = "payload", key: str = "r
     and list-form items of exactly four values. Null payloads, broken JSON and other kinds give no row.
     A set that is null, empty or of another kind becomes an empty array; so does absent evidence.
     """
-    sets = F.coalesce(as_array(F.try_variant_get(F.col("v"), "$.evidence", "variant")), F.array().cast("array<variant>"))
     parsed = records.select(F.col(key), whole_json(F.col(payload)).alias("v")).where(is_object(F.col("v")))
     claim = F.try_variant_get(F.col("v"), "$.claim", "variant")
     label = F.try_variant_get(F.col("v"), "$.label", "variant")
@@ -182,11 +183,7 @@ def evidence_variant(records: DataFrame, payload: str = "payload", key: str = "r
         & (F.schema_of_variant(claim) == "STRING")
         & F.try_variant_get(F.col("v"), "$.claim", "string").rlike(r"(?U)\S")
     )
-    nested = parsed.select(
-        key,
-        "v",
-        F.transform(sets, lambda s: F.coalesce(as_array(s, "items"), F.array().cast("array<variant>"))).alias("sets"),
-    )
+    nested = with_sets(parsed, key)
     four = F.forall(
         F.flatten("sets"),
         lambda i: ~is_list(i) | F.coalesce(F.size(F.try_variant_get(i, "$", "array<variant>")) == len(ITEM_FIELDS), F.lit(False)),
@@ -194,6 +191,17 @@ def evidence_variant(records: DataFrame, payload: str = "payload", key: str = "r
     return nested.where(four)
 
 
+def with_sets(parsed: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``v``, ``sets``): the items of each evidence set of the record ``v``."""
+    sets = F.coalesce(as_array(F.try_variant_get(F.col("v"), "$.evidence", "variant")), F.array().cast("array<variant>"))
+    return parsed.select(key, "v", F.transform(sets, lambda s: F.coalesce(as_array(s, "items"), F.array().cast("array<variant>"))).alias("sets"))
+
+
+def parsed_once(records: DataFrame, payload: str, key: str) -> DataFrame:
+    """``evidence_variant`` with the parsed records written once: the schema and every table are read from them."""
+    return with_sets(shared_checkpoint(evidence_variant(records, payload, key).select(key, "v"), "payloads"), key)
+
+
 def item_field(item: Column, name: str, kind: str) -> Column:
     """A field of an item in list form (by place) or in object form (by name)."""
     return F.when(is_list(item), F.try_variant_get(item, f"$[{ITEM_FIELDS.index(name)}]", kind)).otherwise(
@@ -246,7 +254,7 @@ def flatten_evidence(records: DataFrame, payload: str = "payload", key: str = "r
     Every set finds its record and every item its set; empty records stay in ``records`` (n_sets 0) and empty
     sets in ``sets`` (n_items 0). Repeated deliveries are separate parents. Numbers in quotes are read as numbers.
     """
-    levels, mixed = evidence_levels(evidence_variant(records, payload, key), key)
+    levels, mixed = evidence_levels(parsed_once(records, payload, key), key)
     walk_mixed(levels, mixed)
     counts = {"records": [F.size("sets").alias("n_sets")], "sets": [F.size("items").alias("n_items")], "items": item_values(F.col("value"))}
     return {n: x.rows.select(*x.keys, *counts.get(n, []), *x.scalars()) for n, x in levels.items()}
@@ -277,7 +285,7 @@ def evidence_rows(records: DataFrame, payload: str = "payload", key: str = "reco
 
     A null or absent ``wiki_page`` is '' and a null or absent ``sentence_id`` -1.
     """
-    items, value = evidence_levels(evidence_variant(records, payload, key), key, keep_childless=True)[0]["items"].rows, F.col("value")
+    items, value = evidence_levels(parsed_once(records, payload, key), key, keep_childless=True)[0]["items"].rows, F.col("value")
     return items.select(
         key,
         F.coalesce(SET_KEY, F.lit(-1)).alias(SET_KEY),
