@@ -78,13 +78,11 @@ def least_bins(sizes: np.ndarray, capacity: int) -> int:
     volume = np.concatenate([[0], np.cumsum(z)])
     n, best = len(z), -(-int(volume[-1]) // capacity)
     half = int(np.searchsorted(z, capacity // 2, "right"))
-    for k in np.unique(np.concatenate([[0], z[:half]])):
-        alone = int(np.searchsorted(z, capacity - k, "right"))
-        low = int(np.searchsorted(z, k))
-        beside = (alone - half) * capacity - int(volume[alone] - volume[half])
-        rest = int(volume[half] - volume[low]) - beside
-        best = max(best, n - half + max(0, -(-rest // capacity)))
-    return best
+    k = np.unique(np.concatenate([[0], z[:half]]))
+    alone, low = np.searchsorted(z, capacity - k, "right"), np.searchsorted(z, k)
+    beside = (alone - half) * capacity - (volume[alone] - volume[half])
+    more = -((beside - (volume[half] - volume[low])) // capacity)
+    return max(best, n - half + int(np.maximum(more, 0).max()))
 
 
 def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -144,14 +142,14 @@ def mutate(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Rando
     return settle(np.where(emptied[bins], UNPLACED, bins), sizes, capacity)
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], plan: PackingPlan) -> np.ndarray:
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], plan: PackingPlan, bound: int) -> np.ndarray:
     """The best packing of one island after one epoch. Ends at once where the bound on containers is met."""
     if not len(sizes):
         return np.zeros(0, "int64")
     rng = random.Random(seed)
-    crowd = [np.asarray(e, "int64") for e in elites] or [best_fit_falling(sizes, capacity)]
+    crowd = [np.asarray(e, "int64") for e in elites]
     best = max(crowd, key=lambda p: fitness(p, sizes, capacity))
-    if best.max() < (bound := least_bins(sizes, capacity)):
+    if best.max() < bound:
         return best
     listed = sizes.tolist()
     while len(crowd) < plan.population:
@@ -176,15 +174,18 @@ GENES = "budget string, capacity long, block long, island int, ids array<long>,
 
 
 def _gather(plan: PackingPlan):
-    """A block's items as arrays, in an order that does not depend on how they arrived."""
+    """A block's items as arrays, in an order that does not depend on how they arrived, with their packing by best fit and the bound."""
 
     def rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pdf = table.to_pandas().sort_values(["size", "id", "part"], ascending=[False, True, True])
+        sizes, capacity = pdf["size"].to_numpy("int64"), int(pdf["capacity"].iloc[0])
+        first = best_fit_falling(sizes, capacity)
         return pa.table(
             {
-                "budget": [pdf["budget"].iloc[0]], "capacity": [int(pdf["capacity"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
+                "budget": [pdf["budget"].iloc[0]], "capacity": [capacity], "block": [int(pdf["block"].iloc[0])],
                 "ids": pa.array([pdf["id"].tolist()], pa.list_(pa.int64())), "parts": pa.array([pdf["part"].tolist()], pa.list_(pa.int32())),
                 "sizes": pa.array([pdf["size"].tolist()], pa.list_(pa.int64())),
+                "first": pa.array([first.tolist()], pa.list_(pa.int32())), "least": pa.array([least_bins(sizes, capacity)], pa.int32()),
             }
         )
 
@@ -197,12 +198,10 @@ def _epoch(plan: PackingPlan, number: int):
             out = []
             for r in pdf.itertuples():
                 sizes, capacity = np.asarray(r.sizes, "int64"), int(r.capacity)
-                elites = [np.asarray(e) for e in r.elites if e is not None and len(e)] if r.elites is not None else []
                 seed = hash((int(r.block), capacity, int(r.island), number))
-                bins = evolve(sizes, capacity, seed, elites, plan)
+                bins = evolve(sizes, capacity, seed, [np.asarray(e) for e in r.elites], plan, r.least)
                 n, squares = fitness(bins, sizes, capacity)
-                first = int(best_fit_falling(sizes, capacity).max()) + 1
-                out.append((r.budget, capacity, r.block, r.island, r.ids, r.parts, r.sizes, bins.astype("int32"), -n, squares, first, least_bins(sizes, capacity)))
+                out.append((r.budget, capacity, r.block, r.island, r.ids, r.parts, r.sizes, bins.astype("int32"), -n, squares, r.first_bins, r.least))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in GENES.split(", ")])
 
     return rows
@@ -215,11 +214,10 @@ def _pack_blocks(items: DataFrame, plan: PackingPlan) -> DataFrame:
     """
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = items.groupBy("budget", "block").applyInArrow(
-        _gather(plan), "budget string, capacity long, block long, ids array<long>, parts array<int>, sizes array<long>"
-    )
-    state = blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1)))).withColumn(
-        "elites", F.lit(None).cast("array<array<int>>")
+        _gather(plan), "budget string, capacity long, block long, ids array<long>, parts array<int>, sizes array<long>, first array<int>, least int"
     )
+    blocks = blocks.withColumn("first_bins", F.array_max("first") + 1)
+    state = blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1)))).withColumn("elites", F.array("first"))
     for number in range(plan.epochs):
         done = state.repartition(width, "budget", "block", "island").mapInPandas(_epoch(plan, number), GENES)
         rank = F.struct(-F.col("n_bins"), F.col("squares"), -F.col("island"))
@@ -227,12 +225,12 @@ def _pack_blocks(items: DataFrame, plan: PackingPlan) -> DataFrame:
             return done.groupBy("budget", "block").agg(F.max_by(F.struct("capacity", "ids", "parts", "sizes", "bins", "n_bins", "first_bins", "least"), rank).alias("b")).select("budget", "block", "b.*")
         # The elite of each island goes to the next one, which keeps its own beside it.
         one = done.groupBy("budget", "block").agg(
-            F.first(F.struct("capacity", "ids", "parts", "sizes")).alias("b"),
+            F.first(F.struct("capacity", "ids", "parts", "sizes", "first_bins", "least")).alias("b"),
             F.array_sort(F.collect_list(F.struct("island", "bins"))).alias("e"),
         )
         n = plan.islands
         state = one.select("budget", "block", "b.*", "e", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("island")).select(
-            "budget", "capacity", "block", "island", "ids", "parts", "sizes",
+            "budget", "capacity", "block", "island", "ids", "parts", "sizes", "first_bins", "least",
             F.array(F.element_at("e", F.col("island") + 1)["bins"], F.element_at("e", (F.col("island") + n - 1) % n + 1)["bins"]).alias("elites"),
         )
     raise ValueError("epochs must be 1 or more")

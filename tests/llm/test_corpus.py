@@ -89,7 +89,7 @@ def test_genetic_steps_keep_every_item_once(seed):
     sizes = np.array([rng.randint(1, 60) for _ in range(80)])
     a = packing.best_fit_falling(sizes, 100)
     b = packing.best_fit(rng.sample(range(80), 80), sizes.tolist(), 100, np.zeros(80, "int64"), [])
-    best = packing.evolve(sizes, 100, seed, [b], packing.PLAN)
+    best = packing.evolve(sizes, 100, seed, [b], packing.PLAN, packing.least_bins(sizes, 100))
     for bins in (a, b, packing.crossover(a, b, sizes, 100, rng), packing.mutate(a, sizes, 100, rng), best):
         fill = np.bincount(bins, sizes)
         assert len(bins) == 80 and bins.min() == 0 and fill.max() <= 100 and fill.min() > 0
