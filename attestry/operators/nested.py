@@ -26,11 +26,12 @@ ITEM_FIELDS = ("annotation_id", "evidence_id", "wiki_page", "sentence_id")
 def whole_json(text: Column) -> Column:
     """The text as VARIANT, or null if it is not one JSON value from its start to its end.
 
-    The parser stops after the first value; what follows breaks one of the two wrappings.
+    The parser stops after the first value, so the text is parsed as the first of two in an array; the second is
+    the text's own hash, which what follows a value in the text cannot hold.
     """
-    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    closed = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
-    return F.when((F.size(inside) == 1) & closed, F.get(inside, F.lit(0)))
+    mark = F.xxhash64(text)
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]"))), "$", "array<variant>")
+    return F.when((F.size(both) == 2) & (F.try_variant_get(F.get(both, F.lit(1)), "$", "bigint") == mark), F.get(both, F.lit(0)))
 
 
 def is_list(v: Column) -> Column:
