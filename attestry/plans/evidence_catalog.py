@@ -22,16 +22,16 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
     return c.select(F.concat_ws(":", "split", "claim_id").alias("qid"), "claim_id", "split", "claim", "label")
 
 
-def _pages(spark, folder):
-    return retrieval.pages_of(d.canonical_sentences(table(spark, folder, "wiki_sentences")))
+def _index(spark, folder):
+    return retrieval.page_index(d.canonical_sentences(table(spark, folder, "wiki_sentences")), "page_id", "text", text.title_words)
 
 
-def _page_top(spark, folder, k=20):
-    return retrieval.search_pages(_queries(spark, folder), "qid", "claim", _pages(spark, folder), "page_id", {"title": 3.0, "body": 1.0}, k)
+def _page_top(spark, folder, k=20, index=None):
+    return retrieval.search_pages(_queries(spark, folder), "qid", "claim", index or _index(spark, folder), "page_id", {"title": 3.0, "body": 1.0}, k)
 
 
-def _field_top(spark, folder, field, k=50):
-    return retrieval.search_pages(_queries(spark, folder), "qid", "claim", _pages(spark, folder), "page_id", {field: 1.0}, k)
+def _field_top(spark, folder, index, field, k=50):
+    return retrieval.search_pages(_queries(spark, folder), "qid", "claim", index, "page_id", {field: 1.0}, k)
 
 
 def _gold(spark, folder):
@@ -39,15 +39,20 @@ def _gold(spark, folder):
     return d.gold_sentences(d.resolve_references(e, d.canonical_sentences(table(spark, folder, "wiki_sentences")))).withColumn("qid", F.concat_ws(":", "split", "claim_id"))
 
 
-def _candidates(spark, folder):
-    pages = _page_top(spark, folder).select("qid", "page_id")
-    s = d.stored_sentences(table(spark, folder, "wiki_sentences")).select("page_id", "sentence_id", "text", text.tokens(F.col("text")).alias("words"))
-    # Read by several steps of a ranking: written once.
-    return shared_checkpoint(pages.join(s, "page_id").join(_queries(spark, folder).select("qid", "claim"), "qid"))
+def _stored(spark, folder):
+    return d.stored_sentences(table(spark, folder, "wiki_sentences")).select("page_id", "sentence_id", "text")
+
+
+def _candidates(spark, folder, pages=None):
+    """Sentences of each claim's best pages, with the words of both."""
+    pages = _page_top(spark, folder).select("qid", "page_id") if pages is None else pages
+    s = _stored(spark, folder).withColumn("words", text.tokens(F.col("text")))
+    q = _queries(spark, folder).select("qid", "claim", text.tokens(F.col("claim")).alias("asked"))
+    return pages.join(q, "qid").join(s, "page_id")
 
 
 def _ranked(spark, folder, k=50):
-    return retrieval.rank_sentences(_candidates(spark, folder), "qid", "claim", ["page_id", "sentence_id"], "text", k, words="words")
+    return retrieval.rank_sentences(_candidates(spark, folder), "qid", "claim", ["page_id", "sentence_id"], "text", k, words="words", asked="asked")
 
 
 def page_bm25(spark, folder):
@@ -64,7 +69,8 @@ def dense_top(spark, folder):
 
 
 def fused_pages(spark, folder):
-    return retrieval.fuse([_field_top(spark, folder, "body"), _field_top(spark, folder, "title")], "qid", ["page_id"])
+    index = _index(spark, folder)
+    return retrieval.fuse([_field_top(spark, folder, index, f) for f in ("body", "title")], "qid", ["page_id"])
 
 
 def page_metrics(spark, folder):
@@ -85,15 +91,15 @@ def expanded_pages(spark, folder):
     q = _queries(spark, folder)
     sub = q.select("qid", F.posexplode(text.subject_queries(F.col("claim"))).alias("query_order", "query")).where(F.lower("query") != "")
     sub = sub.withColumn("sid", F.concat_ws("#", "qid", "query_order"))
-    found = retrieval.search_pages(sub, "sid", "query", _pages(spark, folder), "page_id", {"title": 3.0, "body": 1.0}, 10)
+    index = _index(spark, folder)
+    found = retrieval.search_pages(sub, "sid", "query", index, "page_id", {"title": 3.0, "body": 1.0}, 10)
     further = found.join(sub.select("sid", "qid", "query_order"), "sid").select("qid", "page_id", "query_order", "rank")
-    return retrieval.expand_candidates(_page_top(spark, folder), further, "qid", "page_id")
+    return retrieval.expand_candidates(_page_top(spark, folder, index=index), further, "qid", "page_id")
 
 
 def _scored(spark, folder):
     """Reranked sentences with a lexical stand-in for the neural scorer: confidence is word overlap."""
-    c = _candidates(spark, folder)
-    r = retrieval.rank_sentences(c, "qid", "claim", ["page_id", "sentence_id"], "text", 20, words="words").join(c, ["qid", "page_id", "sentence_id"])
+    r = _ranked(spark, folder, 20).join(_stored(spark, folder), ["page_id", "sentence_id"]).join(_queries(spark, folder).select("qid", "claim"), "qid")
     r = retrieval.rerank(r, "qid", retrieval.overlap_scorer, "claim", "text", 10)
     c = F.round(retrieval.overlap_scorer(F.col("claim"), F.col("text")), 6)
     label = F.when(c >= 0.5, "ENTAILMENT").when(c >= 0.35, "CONTRADICTION").otherwise("NEUTRAL")
@@ -334,7 +340,9 @@ def hybrid_retrieval(spark, folder):
     def length_free(claim, passage):
         return retrieval.overlap_scorer(passage, claim)
 
-    x = retrieval.hybrid(_candidates(spark, folder), "qid", ["page_id", "sentence_id"], length_free, retrieval.overlap_scorer)
+    # Read by both rankings and for the texts of the fused rows: the pages are found once.
+    pages = shared_checkpoint(_page_top(spark, folder).select("qid", "page_id"), "pages")
+    x = retrieval.hybrid(_candidates(spark, folder, pages), "qid", ["page_id", "sentence_id"], length_free, retrieval.overlap_scorer)
     return x.select("qid", "page_id", "sentence_id", "rank", "input_rank", "rrf_score", "bm25_score", "dense_score")
 
 

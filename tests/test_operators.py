@@ -1,8 +1,11 @@
+import math
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.functions import text
 from attestry.operators import families, layout, metrics, relational, retrieval, usage, verify, versions
 
 
@@ -66,22 +69,65 @@ def test_sentence_bm25_keeps_zero_scores_and_order(spark):
     assert got[2].score == 0.0
 
 
-def test_index_and_page_search(spark):
-    pages = spark.createDataFrame([("a", "red fox", "the red fox ran"), ("b", "dog", "a red dog"), ("c", None, ""), (None, "red", "red"), ("d", "red fox", "the red fox ran")], "page string, title string, body string")
-    index = {(r.page, r.term): (r.tf, r.length) for r in retrieval.term_counts(pages.where("page is not null"), ["page"], F.col("body")).collect()}
-    assert index[("a", "the")] == (1, 4) and ("c", "") not in index and len(index) == 11
+def page_scores(sentences, title, query, fields, k1=1.2, b=0.75):
+    """BM25 over all pages in plain Python."""
+    docs = {f: {} for f in fields}
+    for page, t in sentences:
+        if page is not None:
+            if "body" in fields:
+                docs["body"].setdefault(page, []).extend((t or "").lower().split())
+            if "title" in fields:
+                docs["title"][page] = title(page).split()
+    total = {}
+    for f, boost in fields.items():
+        d = {p: w for p, w in docs[f].items() if w}
+        mean = sum(map(len, d.values())) / max(len(d), 1)
+        for w in query.lower().split():
+            df = sum(w in x for x in d.values())
+            for p, x in d.items():
+                if tf := x.count(w):
+                    total[p] = total.get(p, 0) + boost * math.log(1 + (len(d) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(x) / mean))
+    return sorted(((round(s, 6), p) for p, s in total.items()), key=lambda x: (-x[0], x[1]))
+
+
+def test_index_and_page_search(spark, tmp_path):
+    rows = [("red_fox", "the red fox"), ("red_fox", "ran"), ("dog", "a red dog"), ("c", ""), ("c", None), (None, "red"), ("red_foX", "the red fox ran")]
+    df = spark.createDataFrame(rows, "page string, text string")
+    index = retrieval.page_index(df, "page", "text", text.title_words)
+    body = {(r.page, r.term): r.tf for r in index.postings.where("field = 'body'").collect()}
+    assert body[("red_fox", "the")] == 1 and len(body) == 11 and {r.page: r.length for r in index.lengths.where("field = 'body'").collect()} == {"red_fox": 4, "dog": 3, "red_foX": 4}
+    index.save(str(tmp_path / "index"))
+    index = retrieval.PageIndex.load(spark, str(tmp_path / "index"))
     q = spark.createDataFrame([("1", "red fox"), ("2", "zebra"), ("3", ""), ("4", None)], "q string, claim string")
-    for block in (1, 10):
-        got = retrieval.search_pages(q, "q", "claim", pages, "page", {"title": 3.0, "body": 1.0}, 3, block=block).orderBy("q", "rank").collect()
-        assert [(r.q, r.page, r.rank) for r in got] == [("1", "a", 1), ("1", "d", 2), ("1", "b", 3)] and got[0].score == got[1].score > got[2].score > 0
-    assert retrieval.search_pages(q.where("false"), "q", "claim", pages, "page", {"body": 1.0}).count() == 0
-    assert retrieval.search_pages(q, "q", "claim", pages.where("false"), "page", {"body": 1.0}).count() == 0
+    got = retrieval.search_pages(q, "q", "claim", index, "page", {"title": 3.0, "body": 1.0}, 3).orderBy("q", "rank").collect()
+    assert [(r.q, r.page, r.rank) for r in got] == [("1", "red_foX", 1), ("1", "red_fox", 2), ("1", "dog", 3)] and got[0].score == got[1].score > got[2].score > 0
+    assert retrieval.search_pages(q.where("false"), "q", "claim", index, "page", {"body": 1.0}).count() == 0
+    empty = retrieval.page_index(df.where("false"), "page", "text", text.title_words)
+    assert retrieval.search_pages(q, "q", "claim", empty, "page", {"body": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pruned_search_loses_nothing(spark, seed):
+    """Frequent words beside rare ones, pages of very different lengths, few pages per query word; as by scoring every page."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    odds = [1 / (i + 1) for i in range(300)]
+    rows = [(f"p{rng.randrange(60) if rng.random() < 0.7 else 0}", " ".join(rng.choices(vocabulary, odds, k=rng.randint(1, 12)))) for _ in range(500)]
+    queries = [(str(i), " ".join(rng.choices(vocabulary, odds, k=rng.randint(1, 9)))) for i in range(25)]
+    index = retrieval.page_index(spark.createDataFrame(rows, "page string, text string"), "page", "text", text.title_words)
+    fields = {"title": 3.0, "body": 1.0}
+    got = {}
+    for r in retrieval.search_pages(spark.createDataFrame(queries, "q string, claim string"), "q", "claim", index, "page", fields, 4).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.score, r.page))
+    for q, claim in queries:
+        want = page_scores(rows, lambda p: p, claim, fields)[:4]
+        assert [p for _, p in got.get(q, [])] == [p for _, p in want] and all(abs(x[0] - y[0]) < 2e-6 for x, y in zip(got.get(q, []), want))
 
 
 def test_dense_fuse_expand(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0])], "id long, v array<float>")
-    for block in (1, 10):
-        got = retrieval.dense_top(v.where("id in (1, 2, 4)"), v, "id", "v", 2, block).orderBy("query_id", "rank").collect()
+    for block, most in ((1, 100), (10, 100), (1, 0), (2, 0)):
+        got = retrieval.dense_top(v.where("id in (1, 2, 4)"), v, "id", "v", 2, block, most).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.id, r.score) for r in got] == [(1, 1, 1.0), (1, 3, 1.0), (2, 2, 1.0), (2, 1, 0.0)]
     assert retrieval.dense_top(v.where("id > 9"), v, "id", "v").count() == 0
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2), ("q", "x", 3)], "q string, d string, rank int")
