@@ -101,11 +101,15 @@ def gold_set_hits(gold: DataFrame, observed: DataFrame, case: list[str], set_key
 def failure_rows(cases: DataFrame, hits: DataFrame, evidence: DataFrame, case: str) -> DataFrame:
     """Cases predicted otherwise than labelled, with a failure type and flags joined by ';' (M8).
 
-    ``cases`` has case, label, predicted; ``hits`` as of gold_set_hits; ``evidence`` case, nli_label, accepted.
-    A decisive label that was not accepted is flagged whatever kept it from being accepted.
+    ``cases`` has case, claim, label, predicted; ``hits`` as of gold_set_hits; ``evidence`` one row per screened sentence: case,
+    decision of the screening, and for selected ones nli_label and accepted. A decisive label that was not accepted is
+    flagged whatever kept it from being accepted.
     """
-    decisive = F.col("nli_label").isin("ENTAILMENT", "CONTRADICTION")
-    e = evidence.groupBy(case).agg(F.bool_or(decisive & F.col("accepted")).alias("_yes"), F.bool_or(decisive & ~F.col("accepted")).alias("_no"))
+    decisive, chosen = F.col("nli_label").isin("ENTAILMENT", "CONTRADICTION"), F.col("decision") == "SELECTED"
+    e = evidence.groupBy(case).agg(
+        F.bool_or(decisive & F.col("accepted")).alias("_yes"), F.bool_or(decisive & ~F.col("accepted")).alias("_no"), F.count_if(chosen).alias("assessed_count"),
+        F.count_if(~chosen & (F.col("decision") != "UNUSED")).alias("excluded_count"), F.bool_or(F.col("decision") == "ENTITY_VARIANT_MISMATCH").alias("_variant"),
+    )
     x = cases.where(~F.col("label").eqNullSafe(F.col("predicted"))).join(hits, case, "left").join(e, case, "left")
     kind = (
         F.when(F.col("predicted") == "CONFLICT", "CONFLICTING_PREDICTION")
@@ -118,8 +122,39 @@ def failure_rows(cases: DataFrame, hits: DataFrame, evidence: DataFrame, case: s
         F.when(~F.col("any_page"), "GOLD_PAGE_NOT_ASSESSED").when(~F.col("any_sentence"), "GOLD_SENTENCE_NOT_ASSESSED").when(~F.col("complete_set"), "GOLD_SET_INCOMPLETE_IN_ASSESSED"),
         F.when(~F.coalesce("_yes", F.lit(False)), "NO_ACCEPTED_DECISIVE_NLI"),
         F.when(F.col("_no"), "DECISIVE_LABEL_BELOW_THRESHOLD"),
+        F.when(F.col("_variant"), "ENTITY_VARIANT_FILTER_APPLIED"),
     )
-    return x.select(case, "label", "predicted", kind.alias("failure_type"), flags.alias("flags"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("assessed_count", "excluded_count")]
+    return x.select(case, "claim", "label", "predicted", kind.alias("failure_type"), flags.alias("flags"), F.col("any_sentence").alias("gold_sentence_assessed"), F.col("complete_set").alias("gold_set_assessed"), *counts)
+
+
+def benchmark_summary(cases: DataFrame, hits: DataFrame, evidence: DataFrame, case: str, labels: tuple[str, ...], digits: int = 6) -> DataFrame:
+    """One row: the whole of a benchmark (M7). Inputs as of ``failure_rows``; no case: one row of zeros and nulls.
+
+    Distributions and exclusions are maps; per class measures and the confusion are arrays in the order of labels and names.
+    """
+    as_map = lambda d, k, v, n: d.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(n))
+    counted = lambda c, n: as_map(cases.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), c, "n", n)
+    per = class_metrics(cases, "label", "predicted", labels, digits)
+    confusion = confusion_matrix(cases, "label", "predicted", labels, (*labels, "CONFLICT"))
+    excluded = evidence.where(~F.col("decision").isin("SELECTED", "UNUSED")).groupBy("decision").agg(F.count("*").alias("n"))
+    share = lambda c: F.round(ratio(F.count_if(c), F.count("*"), None), digits)
+    assessed = cases.select(case).join(evidence.where("decision = 'SELECTED'").groupBy(case).agg(F.count("*").alias("n")), case, "left")
+    parts = [
+        selective_metrics(cases, "label", "predicted", ("SUPPORTS", "REFUTES"), digits),
+        cases.agg(share(F.col("label") == F.col("predicted")).alias("label_agreement")),
+        counted("label", "gold_labels"),
+        counted("predicted", "predicted_labels"),
+        per.agg(F.round(F.avg("f1"), digits).alias("macro_f1"), F.array_sort(F.collect_list(F.struct("label", "support", "precision", "recall", "f1"))).alias("per_class")),
+        confusion.agg(F.array_sort(F.collect_list(F.struct("gold", "predicted", "n"))).alias("confusion")),
+        as_map(excluded, "decision", "n", "exclusion_reasons"),
+        hits.join(cases.select(case), case, "left_semi").agg(
+            F.count("*").alias("gold_annotated"), share(F.col("any_page")).alias("any_page_rate"), share(F.col("any_sentence")).alias("any_sentence_rate"), share(F.col("complete_set")).alias("complete_set_rate")
+        ),
+        assessed.agg(F.round(F.avg(F.coalesce("n", F.lit(0))), 3).alias("mean_assessed")),
+    ]
+    # Each part is one row.
+    return reduce(lambda a, b: a.join(b), parts)
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: Column, bins: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.relational import first_rows
@@ -30,13 +30,64 @@ def same_spans(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def observation_problem(outcome: Column, status: Column, observed: Column) -> Column:
-    """The first problem of a fetch observation, or null."""
-    return (
-        F.when(outcome.isNull() | (F.trim(outcome) == ""), "OUTCOME")
-        .when(status.isNotNull() & ~status.between(100, 599), "STATUS")
-        .when(observed.isNull(), "TIME")
+# The longest texts of a fetch observation.
+OBSERVATION_LIMITS = {"error_code": 100, "etag": 512, "last_modified": 255}
+
+
+def observation_problem(row: dict[str, Column]) -> Column:
+    """The first problem of a fetch observation, or null.
+
+    ``row`` gives the columns provider, outcome, status, observed_at, doc_id, version_id, and any of OBSERVATION_LIMITS.
+    """
+    provider, outcome, status = row["provider"], row["outcome"], row["status"]
+    out = (
+        F.when(row["observed_at"].isNull(), "TIME")
+        .when(~F.coalesce((F.trim(provider) != "") & (F.char_length(provider) <= 100), F.lit(False)), "PROVIDER")
+        .when(F.coalesce(F.trim(outcome), F.lit("")) == "", "OUTCOME")
+        .when(~status.between(100, 599), "STATUS")
+    )
+    for name, most in OBSERVATION_LIMITS.items():
+        if name in row:
+            out = out.when(F.char_length(row[name]) > most, name.upper())
+    bodiless = row["doc_id"].isNull() | row["version_id"].isNull()
+    return out.when((outcome == "FETCHED") & bodiless, "FETCHED_WITHOUT_VERSION").when(row["version_id"].isNotNull() & row["doc_id"].isNull(), "VERSION_WITHOUT_DOCUMENT")
+
+
+def checked_observations(observations: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFrame:
+    """Column ``problem``: that of the row itself, else DOCUMENT_OWNER or VERSION_OWNER where ids don't belong together.
+
+    docs: doc_id, source_id. versions: version_id, doc_id. Ids are unique in either.
+    """
+    row = {c: F.col(c) for c in ("provider", "outcome", "status", "observed_at", "doc_id", "version_id", *OBSERVATION_LIMITS) if c in observations.columns}
+    x = observations.withColumn("_own", observation_problem(row))
+    x = x.join(docs.select("doc_id", F.col("source_id").alias("_source")), "doc_id", "left").join(versions.select("version_id", F.col("doc_id").alias("_doc")), "version_id", "left")
+    owner = F.when(F.col("doc_id").isNotNull() & ~F.coalesce(F.col("_source") == F.col("source_id"), F.lit(False)), "DOCUMENT_OWNER").when(
+        F.col("version_id").isNotNull() & ~F.coalesce(F.col("_doc") == F.col("doc_id"), F.lit(False)), "VERSION_OWNER"
+    )
+    return x.withColumn("problem", F.coalesce("_own", owner)).select(*observations.columns, "problem")
+
+
+def attach_once(requests: DataFrame, evidence: DataFrame, versions: DataFrame, attached: DataFrame, order: list[Column]) -> DataFrame:
+    """Requests (evidence_id, version_id, method, ...) with ``action``.
+
+    ATTACH for the first sound request of evidence without a version; EXISTING where that version is attached already or by an
+    earlier request of the batch; else METHOD (blank or above 100 characters), UNKNOWN (evidence or version), OTHER_DOCUMENT
+    (they are of different documents) or OTHER_VERSION (another one is attached). evidence: evidence_id, doc_id. versions:
+    version_id, doc_id. attached: evidence_id, version_id.
+    """
+    x = requests.join(evidence.select("evidence_id", F.col("doc_id").alias("_e")), "evidence_id", "left").join(versions.select("version_id", F.col("doc_id").alias("_v")), "version_id", "left")
+    x = x.join(attached.select("evidence_id", F.col("version_id").alias("_has")), "evidence_id", "left")
+    problem = (
+        F.when(~F.coalesce((F.trim("method") != "") & (F.char_length("method") <= 100), F.lit(False)), "METHOD")
+        .when(F.col("_e").isNull() | F.col("_v").isNull(), "UNKNOWN")
+        .when(F.col("_e") != F.col("_v"), "OTHER_DOCUMENT")
     )
+    x = x.withColumn("_problem", problem)
+    w = Window.partitionBy("evidence_id", F.col("_problem").isNull()).orderBy(*order)
+    # Requests of one evidence row are few: it has one passage of one document.
+    has = F.coalesce("_has", F.first("version_id").over(w))
+    action = F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(has != F.col("version_id"), "OTHER_VERSION").when(F.col("_has").isNull() & (F.row_number().over(w) == 1), "ATTACH").otherwise("EXISTING")
+    return x.withColumn("action", action).select(*requests.columns, "action")
 
 
 def retained(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:

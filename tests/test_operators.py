@@ -237,7 +237,7 @@ def test_roles_and_verdicts(spark):
     v = {r.qid: (r.verdict, r.supporting_pages, r.supporting_rows) for r in verify.page_verdicts(claims, df, "qid").collect()}
     assert v == {"1": ("CONFLICTING_EVIDENCE", 1, 2), "2": ("INSUFFICIENT_EVIDENCE", 0, 0), "3": ("INSUFFICIENT_EVIDENCE", 0, 0)}
     a = spark.createDataFrame([("NEUTRAL", 0.99, True), ("ENTAILMENT", 0.9, True), ("ENTAILMENT", 0.89, True), ("ENTAILMENT", 0.95, False)], "l string, c double, p boolean")
-    assert [r[0].reason for r in a.select(verify.acceptance(F.col("l"), F.col("c"), F.col("p"))).collect()] == ["NEUTRAL", "ACCEPTED", "BELOW_CONFIDENCE", "SUBJECT_NOT_GROUNDED"]
+    assert [r[0].reason for r in a.select(verify.acceptance(F.col("l"), F.col("c"), F.col("p"))).collect()] == ["NEUTRAL_RELATION", "ACCEPTED_DECISIVE", "BELOW_CONFIDENCE_THRESHOLD", "SUBJECT_NOT_GROUNDED"]
 
 
 def test_components_chain(spark):
@@ -253,10 +253,88 @@ def test_families_and_votes(spark):
     docs = spark.createDataFrame(data, "d long, pub string, t string")
     fam = families.source_families(docs, "d", "pub", "t")
     assert {r.d: r.component for r in fam.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
-    ev = spark.createDataFrame([("k", 1, "ENTAILMENT", 0.95), ("k", 2, "ENTAILMENT", 0.95), ("m", 1, "ENTAILMENT", 0.9), ("m", 4, "CONTRADICTION", 0.9), ("z", 5, "NEUTRAL", 1.0), ("y", 1, "CONTRADICTION", 0.9), ("y", 4, "CONTRADICTION", 0.9)], "case string, d long, stance string, confidence double")
-    votes = families.family_votes(ev, fam, "case", "d")
-    assert {r.case: r.outcome for r in votes.collect()} == {"k": "SINGLE_FAMILY_SUPPORT", "m": "OPPOSING", "z": "NO_DECISIVE_EVIDENCE", "y": "MULTI_FAMILY_REFUTATION"}
-    assert families.family_violations(votes, ev, fam, "case", "d").count() == 0
+    ok = (True, True, "BEFORE_REFERENCE", "WITHIN_WINDOW")
+    rows = [
+        ("k", 1, "ENTAILMENT", 0.95, *ok), ("k", 2, "ENTAILMENT", 0.95, *ok), ("m", 1, "ENTAILMENT", 0.9, *ok), ("m", 4, "CONTRADICTION", 0.9, *ok), ("z", 5, "NEUTRAL", 1.0, *ok),
+        ("y", 1, "CONTRADICTION", 0.9, *ok), ("y", 4, "CONTRADICTION", 0.9, *ok), ("n", 1, "ENTAILMENT", 0.9, *ok), ("n", 2, "CONTRADICTION", 0.9, *ok),
+        ("b", 1, "ENTAILMENT", 0.95, False, True, None, None), ("b", 2, "ENTAILMENT", 0.95, True, False, "AFTER_REFERENCE", "WITHIN_WINDOW"),
+        ("b", 3, "ENTAILMENT", 0.5, True, True, "UNKNOWN", "UNKNOWN"), ("b", 4, "ENTAILMENT", 0.95, True, True, "UNKNOWN", "FUTURE_DATED"),
+    ]
+    ev = spark.createDataFrame(rows, "case string, d long, stance string, confidence double, nli_accepted boolean, admissible boolean, relation string, freshness string")
+    found = families.findings(ev, fam.withColumnRenamed("component", "component"), ["d"])
+    assert [r.decision for r in found.where("case = 'b'").orderBy("d").collect()] == ["NLI_NOT_ACCEPTED", "ADMISSIBILITY_BLOCKED", "BELOW_CONFIDENCE_THRESHOLD", "TEMPORAL_REVIEW_REQUIRED"]
+    reuse = spark.createDataFrame([("m", 1, 4, "POSSIBLE_TEXT_REUSE"), ("k", 1, 4, "POSSIBLE_TEXT_REUSE")], "case string, left_id long, right_id long, relation string")
+    votes = families.corroboration(found, "case", "d", reuse)
+    got = {r.case: (r.outcome, r.decisive, r.warnings[2:]) for r in votes.collect()}
+    opposing, shared, within = "OPPOSING_EVIDENCE_NEEDS_REVIEW", "POSSIBLE_SHARED_ORIGIN_BETWEEN_DECISIVE_FAMILIES", "OPPOSING_EVIDENCE_WITHIN_SAME_FAMILY"
+    assert got == {
+        "k": ("SINGLE_FAMILY_SUPPORT", 2, []), "m": ("UNRESOLVED_OPPOSING_EVIDENCE", 2, [opposing, shared]), "z": ("NO_DECISIVE_EVIDENCE", 0, []),
+        "y": ("MULTI_FAMILY_REFUTATION_UNVERIFIED", 2, []), "n": ("UNRESOLVED_OPPOSING_EVIDENCE", 2, [opposing, within]),
+        "b": ("NO_DECISIVE_EVIDENCE", 0, ["EVIDENCE_PUBLISHED_AFTER_REFERENCE_REVIEW_CONTEXT", "SOME_EVIDENCE_LACKS_AUDITED_TEMPORAL_CONTEXT", "TEMPORAL_REVIEW_REQUIRED"]),
+    }
+    assert families.corroboration_violations(votes, found, "case").count() == 0
+    assert families.corroboration_violations(votes.withColumn("mixed", F.lit(7)), found, "case").count() == 6
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(4)
+    for n, m in ((300, 150), (300, 320), (200, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        links = spark.createDataFrame(edges, "a long, b long")
+        got = {r.n: r.component for r in families.connected_components(spark.range(n).withColumnRenamed("id", "n"), links, "n").collect()}
+        assert got == dict(enumerate(root))
+
+
+def test_verification_as_one_plan(spark):
+    claims = spark.createDataFrame([("1", "The Iron Mill was built in Brum"), ("2", "Nothing is known")], "q string, claim string")
+    rows = [
+        (1, "Iron_Mill", 0, "The Iron Mill was built in Brum ."), (2, "Iron_Mill", 0, "The Iron Mill was built in Brum ."), (3, "Other", 1, "the iron mill was built in Brum"),
+        (4, "Iron_-LRB-disambiguation-RRB-", 0, "Iron may be a mill"), (5, "Old_Mill", 0, "The was built in Brum mill"), (6, "Iron_Mill", 4, "Iron mill stuff"), (7, "Iron_Mill", 5, ""), (8, "Far", 0, "x y"), (9, "Far", 1, "z"),
+    ]
+    ranked = spark.createDataFrame([("1", *r) for r in rows], "q string, rank int, page_id string, sentence_id int, text string")
+    verdicts, evidence = verify.verify_claims(claims, ranked, "q", top_k=3, threshold=0.4)
+    assert {r["rank"]: r.decision for r in evidence.collect()} == {1: "SELECTED", 3: "DUPLICATE_TEXT", 4: "DISAMBIGUATION_PAGE", 5: "SELECTED", 6: "SELECTED"}
+    assert {r["rank"]: (r.nli_label, r.reason) for r in evidence.where("decision = 'SELECTED'").collect()} == {
+        1: ("ENTAILMENT", "ACCEPTED_DECISIVE"), 5: ("ENTAILMENT", "SUBJECT_NOT_GROUNDED"), 6: ("NEUTRAL", "NEUTRAL_RELATION")
+    }
+    v = {r.q: (r.verdict, r.basis, r.retrieved_count, r.assessed_count, r.excluded_count, r.unused_count, r.blocked_count, r.primary_count) for r in verdicts.collect()}
+    assert v == {"1": ("SUPPORTING_EVIDENCE", "SUPPORT_ONLY", 5, 3, 2, 0, 1, 1), "2": ("INSUFFICIENT_EVIDENCE", "NO_DECISIVE_EVIDENCE", 0, 0, 0, 0, 0, 0)}
+    with pytest.raises(Exception, match="no probabilities"):
+        verify.scored_pairs(claims.withColumn("text", F.lit("x")), lambda c, t: [F.lit(0.9), F.lit(0.9), F.lit(0.1)]).collect()
+
+
+def test_observations_and_attachments(spark):
+    schema = "source_id long, provider string, outcome string, status int, observed_at timestamp, doc_id long, version_id long, etag string"
+    at = datetime(2024, 1, 1)
+    rows = [
+        (1, "p", "FETCHED", 200, at, 1, 11, None), (1, " ", "FETCHED", 200, at, 1, 11, None), (1, "p", "FAILED", 99, at, None, None, None), (1, "p", "FETCHED", 200, at, 1, None, None),
+        (1, "p", "FAILED", None, at, None, 11, None), (2, "p", "FETCHED", 200, at, 1, 11, None), (1, "p", "FETCHED", 200, at, 1, 12, None), (1, "p", "FAILED", 304, at, None, None, "e" * 513), (1, "p", "X", 200, None, 1, 11, None),
+    ]
+    docs = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, source_id long")
+    vers = spark.createDataFrame([(11, 1), (12, 2)], "version_id long, doc_id long")
+    obs = spark.createDataFrame(rows, schema).withColumn("n", F.monotonically_increasing_id())
+    got = [r.problem for r in versions.checked_observations(obs, docs, vers).orderBy("n").collect()]
+    assert got == [None, "PROVIDER", "STATUS", "FETCHED_WITHOUT_VERSION", "VERSION_WITHOUT_DOCUMENT", "DOCUMENT_OWNER", "VERSION_OWNER", "ETAG", "TIME"]
+    ev = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "evidence_id long, doc_id long")
+    has = spark.createDataFrame([(2, 11)], "evidence_id long, version_id long")
+    asked = [(0, 1, 11, "m"), (1, 1, 11, "m"), (2, 2, 11, "m"), (3, 3, 11, "m"), (4, 9, 11, "m"), (5, 1, 11, " "), (6, 3, 12, "m")]
+    done = versions.attach_once(spark.createDataFrame(asked, "n int, evidence_id long, version_id long, method string"), ev, vers, has, [F.col("n")])
+    assert [r.action for r in done.orderBy("n").collect()] == ["ATTACH", "EXISTING", "EXISTING", "OTHER_DOCUMENT", "UNKNOWN", "METHOD", "ATTACH"]
+
+
+def test_benchmark_summary(spark):
+    cases = spark.createDataFrame([("a", "c", "SUPPORTS", "SUPPORTS"), ("b", "c", "REFUTES", "NOT ENOUGH INFO"), ("d", "c", "REFUTES", "CONFLICT")], "q string, claim string, label string, predicted string")
+    hits = spark.createDataFrame([("a", True, True, False), ("b", True, False, False)], "q string, any_page boolean, any_sentence boolean, complete_set boolean")
+    ev = spark.createDataFrame([("a", "SELECTED", "ENTAILMENT", True), ("b", "ENTITY_VARIANT_MISMATCH", None, None), ("b", "SELECTED", "CONTRADICTION", False)], "q string, decision string, nli_label string, accepted boolean")
+    s = metrics.benchmark_summary(cases, hits, ev, "q", ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")).head()
+    assert (s.total, s.label_agreement, s.decision_coverage, s.decided_accuracy, s.abstained, s.conflicting) == (3, 0.333333, 0.333333, 1.0, 2, 1)
+    assert s.gold_labels == {"SUPPORTS": 1, "REFUTES": 2} and s.exclusion_reasons == {"ENTITY_VARIANT_MISMATCH": 1} and s.any_sentence_rate == 0.5 and s.mean_assessed == 0.667 and len(s.confusion) == 12
+    f = {r.q: (r.failure_type, r.flags, r.assessed_count, r.excluded_count) for r in metrics.failure_rows(cases, hits, ev, "q").collect()}
+    assert f["b"] == ("ABSTENTION_ON_DECISIVE_GOLD", "GOLD_SENTENCE_NOT_ASSESSED;NO_ACCEPTED_DECISIVE_NLI;DECISIVE_LABEL_BELOW_THRESHOLD;ENTITY_VARIANT_FILTER_APPLIED", 1, 1) and f["d"][0] == "CONFLICTING_PREDICTION"
 
 
 def test_pair_relations(spark):
