@@ -178,7 +178,7 @@ def subject_anchor(claim: Column) -> Column:
     place_free = py_strip(F.element_at(F.split(subject, r"(?i)\s+(?:in|at|near)\s+"), 1))
     words = F.regexp_extract_all(F.when(owner != "", owner).otherwise(place_free), F.lit(r"(?U)\b[A-Za-z][\w'-]*\b"), F.lit(0))
     first = F.lower(F.get(words, F.lit(0)))
-    named = F.when(first == "the", F.slice(words, 2, 1000)).otherwise(words)
+    named = F.when(first == "the", F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
     good = (
         has & (F.size(words) > 0) & ~first.isin(*GENERIC) & (F.size(named) > 0)
         & _upper_first(F.get(named, F.lit(0))) & ((F.size(named) == 1) | _upper_first(F.get(named, F.size(named) - 1)))
@@ -193,7 +193,7 @@ def subject_queries(claim: Column) -> Column:
     subject = F.regexp_replace(F.regexp_extract(claim, rf"(?is)^(.*?)\s+(?:{SEARCH_PREDICATES})\b", 1), '^[ "“”.,;:!?]+|[ "“”.,;:!?]+$', "")
     words = F.regexp_extract_all(subject, F.lit(r"[A-Za-z][A-Za-z0-9'’-]*"), F.lit(0))
     first = F.lower(F.get(words, F.lit(0)))
-    named = F.when(first.isin(*ARTICLES), F.slice(words, 2, 1000)).otherwise(words)
+    named = F.when(first.isin(*ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
     last = F.get(named, F.size(named) - 1)
     generic = tuple(g for g in GENERIC if g not in ARTICLES)
     good = (

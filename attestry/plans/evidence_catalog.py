@@ -97,17 +97,31 @@ def expanded_pages(spark, folder):
     return retrieval.expand_candidates(_page_top(spark, folder, index=index), further, "qid", "page_id")
 
 
-def _scored(spark, folder):
-    """Reranked sentences with a lexical stand-in for the neural scorer: confidence is word overlap."""
+def _reranked(spark, folder):
     r = _ranked(spark, folder, 20).join(_stored(spark, folder), ["page_id", "sentence_id"]).join(_queries(spark, folder).select("qid", "claim"), "qid")
-    r = retrieval.rerank(r, "qid", retrieval.overlap_scorer, "claim", "text", 10)
-    c = F.round(retrieval.overlap_scorer(F.col("claim"), F.col("text")), 6)
-    label = F.when(c >= 0.5, "ENTAILMENT").when(c >= 0.35, "CONTRADICTION").otherwise("NEUTRAL")
-    x = r.withColumn("confidence", c).withColumn("nli_label", label)
-    a = verify.acceptance(F.col("nli_label"), F.col("confidence"), F.lit(True), 0.4)
+    return shared_checkpoint(retrieval.rerank(r, "qid", retrieval.overlap_scorer, "claim", "text", 10).select("qid", "page_id", "sentence_id", "text", "claim", "rank", "input_rank"))
+
+
+def _scored(spark, folder):
+    """Reranked sentences with a lexical stand-in for the neural scorer."""
+    x = verify.scored_pairs(_reranked(spark, folder))
+    a = verify.acceptance(F.col("nli_label"), F.col("confidence"), verify.grounded(F.col("claim"), F.col("page_id"), F.col("text")), 0.4)
     return shared_checkpoint(x.withColumn("a", a).select("qid", "page_id", "sentence_id", "text", "claim", "rank", "input_rank", "confidence", "nli_label", "a.*"))
 
 
+def _verified(spark, folder):
+    """(verdicts, evidence) of the chain; near copies on a page are looked for in ``evidence_screening``."""
+    return verify.verify_claims(_queries(spark, folder), _reranked(spark, folder), "qid", top_k=5, threshold=0.4, near_copies=False)
+
+
+def claim_verification(spark, folder):
+    return _verified(spark, folder)[0]
+
+
+def claim_decisions(spark, folder):
+    return _verified(spark, folder)[1].select("qid", "rank", "page_id", "sentence_id", "decision", "nli_label", "confidence", "accepted", "reason", "role")
+
+
 def reranked(spark, folder):
     return _scored(spark, folder).select("qid", "page_id", "sentence_id", "rank", "confidence")
 
@@ -122,22 +136,22 @@ def page_verdicts(spark, folder):
 
 def evidence_screening(spark, folder):
     """All rules of screening over the ranked sentences."""
-    return verify.screen(_scored(spark, folder), "qid", 5).select("qid", "rank", "page_id", "sentence_id", "decision")
+    return verify.screen(_reranked(spark, folder), "qid", 5).select("qid", "rank", "page_id", "sentence_id", "decision")
 
 
 def evidence_screening_windowed(spark, folder):
-    return verify.screen_windowed(_scored(spark, folder), "qid", 5).select("qid", "rank", "page_id", "sentence_id", "decision")
+    return verify.screen_windowed(_reranked(spark, folder), "qid", 5).select("qid", "rank", "page_id", "sentence_id", "decision")
 
 
 def grounded_evidence(spark, folder):
-    s = _scored(spark, folder)
+    s = _reranked(spark, folder)
     return s.select("qid", "rank", verify.grounded(F.col("claim"), F.col("page_id"), F.col("text")).alias("grounded"), verify.externally_grounded(F.col("claim"), F.col("text")).alias("externally_grounded"))
 
 
-def _judged(spark, folder, scored=None):
-    scored = _scored(spark, folder) if scored is None else scored
-    v = verify.page_verdicts(_queries(spark, folder), scored, "qid").join(_queries(spark, folder), "qid").where(F.col("label").isin(*labels.CLAIM_LABELS))
-    return v.select("qid", "label", labels.remap(F.col("verdict"), labels.VERDICT_TO_CLAIM).alias("predicted"))
+def _judged(spark, folder, verdicts=None):
+    verdicts = _verified(spark, folder)[0] if verdicts is None else verdicts
+    v = verdicts.join(_queries(spark, folder), "qid").where(F.col("label").isin(*labels.CLAIM_LABELS))
+    return v.select("qid", "claim", "label", labels.remap(F.col("verdict"), labels.VERDICT_TO_CLAIM).alias("predicted"))
 
 
 def verdict_confusion(spark, folder):
@@ -153,7 +167,7 @@ def verdict_selective(spark, folder):
 
 
 def gold_set_hits(spark, folder):
-    return _set_hits(spark, folder, _scored(spark, folder))
+    return _set_hits(spark, folder, _verified(spark, folder)[1].where("decision = 'SELECTED'"))
 
 
 def _set_hits(spark, folder, scored):
@@ -346,9 +360,20 @@ def hybrid_retrieval(spark, folder):
     return x.select("qid", "page_id", "sentence_id", "rank", "input_rank", "rrf_score", "bm25_score", "dense_score")
 
 
+def _benchmark(spark, folder):
+    verdicts, evidence = _verified(spark, folder)
+    return _judged(spark, folder, verdicts), _set_hits(spark, folder, evidence.where("decision = 'SELECTED'")), evidence
+
+
 def failure_rows(spark, folder):
-    scored = _scored(spark, folder)
-    return metrics.failure_rows(_judged(spark, folder, scored), _set_hits(spark, folder, scored), scored.select("qid", "nli_label", "accepted"), "qid")
+    return metrics.failure_rows(*_benchmark(spark, folder), "qid")
+
+
+def benchmark_summary(spark, folder):
+    """The summary object; maps as texts, and the parts that are queries of their own left out (M7)."""
+    s = metrics.benchmark_summary(*_benchmark(spark, folder), "qid", labels.CLAIM_LABELS)
+    flat = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";"), F.lit(""))
+    return s.drop("per_class", "confusion", "predicted_labels", "gold_labels", "exclusion_reasons").join(s.select(flat("gold_labels").alias("gold_labels"), flat("exclusion_reasons").alias("exclusions")))
 
 
 def first_claims_evidence(spark, folder):
@@ -394,7 +419,7 @@ def parsed_page_lines(spark, folder):
 
 
 NAMES = [
-    hybrid_retrieval, failure_rows, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
+    hybrid_retrieval, failure_rows, benchmark_summary, claim_verification, claim_decisions, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
     page_bm25, sentence_bm25, dense_top, fused_pages, page_metrics, sentence_metrics, expanded_pages, reranked, contribution_roles, page_verdicts,
     evidence_screening, evidence_screening_windowed, grounded_evidence, verdict_confusion, verdict_classes, verdict_selective, gold_set_hits, softmax_labels,
     probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, pair_relations, family_votes,

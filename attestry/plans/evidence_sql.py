@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from attestry.functions.text import ARTICLES, COMPARISON, FILM, GENERIC, LOCATIVE, PREDICATES, SEARCH_PREDICATES
 from attestry.plans.dataset_catalog import _CANON, _CLAIMS, _GOLD, _STORED
 
 
@@ -51,19 +52,82 @@ _SENT = f"""{_PAGES}, {_STORED}, ca AS (SELECT qid, page_id, sentence_id, text,
   sr AS (SELECT * FROM (SELECT qid, page_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, sentence_id) AS rank
     FROM (SELECT qid, page_id, sentence_id, round(coalesce(score, 0.0), 6) AS score FROM cl LEFT JOIN sc USING (qid, page_id, sentence_id))) WHERE rank <= 50)"""
 _OVERLAP = f"len(list_intersect(list_distinct({_tok('claim')}), list_distinct({_tok('text')}))) / len(list_distinct({_tok('claim')}))"
-_SCORED = f"""{_SENT}, r0 AS (SELECT qid, page_id, sentence_id, sr.rank AS input_rank, CAST({_OVERLAP} AS FLOAT) AS f, round({_OVERLAP}, 6) AS confidence
+_R1 = f"""{_SENT}, r0 AS (SELECT qid, page_id, sentence_id, text, claim, sr.rank AS input_rank, CAST({_OVERLAP} AS FLOAT) AS f, {_OVERLAP} AS o
     FROM sr JOIN ca USING (qid, page_id, sentence_id) WHERE sr.rank <= 20),
-  r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, input_rank) AS rank FROM r0) WHERE rank <= 10),
-  r2 AS (SELECT *, CASE WHEN confidence >= 0.5 THEN 'ENTAILMENT' WHEN confidence >= 0.35 THEN 'CONTRADICTION' ELSE 'NEUTRAL' END AS nli_label FROM r1),
-  r3 AS (SELECT *, nli_label <> 'NEUTRAL' AND confidence >= 0.4 AS accepted,
-    CASE WHEN nli_label = 'NEUTRAL' THEN 'NEUTRAL' WHEN confidence < 0.4 THEN 'BELOW_CONFIDENCE' ELSE 'ACCEPTED' END AS reason FROM r2)"""
-_VERDICT = f"""{_SCORED}, vg AS (SELECT q.qid, count(DISTINCT page_id) FILTER (accepted AND nli_label = 'ENTAILMENT') AS supporting_pages,
+  r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, input_rank) AS rank FROM r0) WHERE rank <= 10)"""
+
+
+def _has(text: str, phrase: str) -> str:
+    return f"({phrase} <> '' AND contains(' ' || {text} || ' ', ' ' || {phrase} || ' '))"
+
+
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
+_LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+def _anchors(source: str, keys: str) -> str:
+    """CTEs that end in ``an``: the subject anchor and the further searches of each claim."""
+    word = r"(?:^|[^\p{L}\p{N}\p{M}_])([A-Za-z](?:[\p{L}\p{N}\p{M}_''-]*[\p{L}\p{N}\p{M}_])?)"
+    name = r"[A-Z][\p{L}\p{N}_-]*"
+    return rf"""an0 AS (SELECT *, regexp_replace({_STRIP.format('claim')}, '^["“”]+|["“”]+$', '', 'g') AS t FROM {source}),
+  an1 AS (SELECT *, regexp_matches(t, '\s+(?:{PREDICATES})\b', 'i') AS has,
+    regexp_replace(regexp_extract(t, '^(.*?)\s+(?:{PREDICATES})\b', 1, 'is'), '^[ ,.;:!?\t]+|[ ,.;:!?\t]+$', '', 'g') AS subject FROM an0),
+  an2 AS (SELECT *, regexp_extract(subject, '^({name}(?:\s+{name})*)[''’]s\b', 1) AS owner, regexp_extract(subject || ' in ', '^(.*?)\s+(?:in|at|near)\s+', 1, 'is') AS free FROM an1),
+  an3 AS (SELECT *, regexp_extract_all(CASE WHEN owner <> '' THEN owner ELSE {_STRIP.format('free')} END, '{word}', 1) AS w FROM an2),
+  an4 AS (SELECT *, CASE WHEN lower(w[1]) = 'the' THEN w[2:] ELSE w END AS named FROM an3),
+  an5 AS (SELECT *, CASE WHEN has AND len(w) > 0 AND lower(w[1]) NOT IN {_LIST(GENERIC)} AND len(named) > 0 AND regexp_matches(named[1], '^\p{{Lu}}')
+      AND (len(named) = 1 OR regexp_matches(named[-1], '^\p{{Lu}}')) THEN nullif({_words("array_to_string(named, ' ')")}, '') END AS anchor,
+    regexp_matches(claim, '\s+(?:{SEARCH_PREDICATES})\b', 'i') AS has2,
+    regexp_extract_all(regexp_replace(regexp_extract(claim, '^(.*?)\s+(?:{SEARCH_PREDICATES})\b', 1, 'is'), '^[ "“”.,;:!?]+|[ "“”.,;:!?]+$', '', 'g'), '[A-Za-z][A-Za-z0-9''’-]*') AS v FROM an4),
+  an6 AS (SELECT *, CASE WHEN lower(v[1]) IN {_LIST(ARTICLES)} THEN v[2:] ELSE v END AS vn, array_to_string(v, ' ') AS vt FROM an5),
+  an7 AS (SELECT *, regexp_extract(vt, '^(.+?)[''’]s sequel$', 1, 'i') AS vo, regexp_matches(claim, '\b(?:{FILM})\b', 'i') AND NOT ends_with(lower(vt), ' film') AS film,
+    coalesce(has2 AND len(v) BETWEEN 1 AND 7 AND lower(v[1]) NOT IN {_LIST([g for g in GENERIC if g not in ARTICLES])} AND len(vn) > 0 AND regexp_matches(vn[1], '^\p{{Lu}}')
+      AND (len(vn) = 1 OR regexp_matches(vn[-1], '^\p{{Lu}}') OR (len(vn) = 2 AND lower(vn[-1]) = 'sequel')), false) AS good FROM an6),
+  an AS (SELECT {keys}, anchor, CASE WHEN NOT good THEN [] WHEN vo <> '' THEN [vo || ' 2', vo || ' sequel film'] WHEN film THEN [vt, vt || ' film'] ELSE [vt] END AS searches FROM an7)"""
+
+
+_GROUNDED = f"(anchor IS NULL OR {_has(_words('page_id'), 'anchor')} OR {_has(_words('text'), 'anchor')})"
+_SCORED = f"""{_R1}, {_anchors('q', 'qid')},
+  r2 AS (SELECT r1.*, round(o * o, 6) AS p_entailment, round(2 * o * (1 - o), 6) AS p_contradiction, round((1 - o) * (1 - o), 6) AS p_neutral, {_GROUNDED} AS grounded,
+    coalesce({_has(_words('text'), 'anchor')}, false) AS externally_grounded FROM r1 JOIN an USING (qid)),
+  r3 AS (SELECT *, nli_label <> 'NEUTRAL' AND confidence >= 0.4 AND grounded AS accepted,
+    CASE WHEN nli_label = 'NEUTRAL' THEN 'NEUTRAL_RELATION' WHEN confidence < 0.4 THEN 'BELOW_CONFIDENCE_THRESHOLD' WHEN NOT grounded THEN 'SUBJECT_NOT_GROUNDED' ELSE 'ACCEPTED_DECISIVE' END AS reason
+    FROM (SELECT *, greatest(p_entailment, p_contradiction, p_neutral) AS confidence, CASE WHEN p_entailment >= greatest(p_contradiction, p_neutral) THEN 'ENTAILMENT'
+      WHEN p_contradiction >= p_neutral THEN 'CONTRADICTION' ELSE 'NEUTRAL' END AS nli_label FROM r2))"""
+_TITLE = rf"replace({_unmark('page_id')}, '_', ' ')"
+_IN_BRACKETS = r"'^(.*?)\s*\(([^()]*)\)\s*$'"
+_SCREENED = f"""{_SCORED},
+  s0 AS (SELECT *, {_words('claim')} AS cw, {_TITLE} AS tt FROM r3),
+  s1 AS (SELECT *, regexp_matches(tt, {_IN_BRACKETS}) AS m FROM s0),
+  s2 AS (SELECT *, array_to_string({_tok(f"CASE WHEN m THEN regexp_extract(tt, {_IN_BRACKETS}, 1) ELSE tt END")}, ' ') AS base,
+    CASE WHEN m THEN array_to_string({_tok(f"regexp_extract(tt, {_IN_BRACKETS}, 2)")}, ' ') END AS own, array_to_string({_tok(_unmark("coalesce(text, '')"))}, ' ') AS canon FROM s1),
+  s3 AS (SELECT *, coalesce(regexp_matches(cw, '{LOCATIVE}') AND NOT regexp_matches(cw, '{COMPARISON}') AND len(string_split(base, ' ')) >= 2 AND {_has('cw', 'base')}, false) AS lon,
+    coalesce(own IS NOT NULL AND ({' OR '.join(_has('cw', f"concat_ws(' ', base, '{x}', own)") for x in ('in', 'at', 'near'))}), false) AS lnamed FROM s2),
+  kin AS (SELECT qid, base, bool_or(lnamed) AS scoped, bool_or(own IS NULL) AS canonical FROM s3 WHERE lon GROUP BY ALL),
+  s4 AS (SELECT s3.*, CASE WHEN canon = '' THEN 'EMPTY_TEXT' WHEN regexp_matches(lower(tt), '\\(\\s*disambiguation\\s*\\)$') AND NOT contains(lower(claim), 'disambiguation') THEN 'DISAMBIGUATION_PAGE'
+    WHEN NOT lon THEN NULL WHEN own IS NULL AND scoped THEN 'CANONICAL_PAGE_FOR_QUALIFIED_ENTITY'
+    WHEN own IS NOT NULL AND NOT lnamed AND (canonical OR contains(string_split(page_id, '-LRB-')[-1], ',')) THEN 'ENTITY_VARIANT_MISMATCH' END AS own_reason FROM s3 LEFT JOIN kin USING (qid, base)),
+  s5 AS (SELECT *, first(struct_pack(r := rank, p := page_id, s := sentence_id)) OVER (PARTITION BY qid, canon, own_reason IS NULL ORDER BY rank) AS fst FROM s4),
+  s6 AS (SELECT *, own_reason IS NULL AND fst.r = rank AS ok FROM s5),
+  s7 AS (SELECT *, sum(ok::INT) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS place FROM s6),
+  sd AS (SELECT *, CASE WHEN own_reason IS NOT NULL THEN own_reason WHEN ok THEN CASE WHEN place <= 5 THEN 'SELECTED' ELSE 'UNUSED' END
+    WHEN fst.p = page_id AND fst.s = sentence_id THEN 'DUPLICATE_EVIDENCE_ID' ELSE 'DUPLICATE_TEXT' END AS decision FROM s7)"""
+_ROLE = """CASE WHEN NOT accepted THEN 'NOT_DECISIVE'
+      WHEN row_number() OVER (PARTITION BY qid, page_id, nli_label, accepted ORDER BY confidence DESC, rank, sentence_id) > 1 THEN 'SAME_PAGE_ADDITIONAL'
+      WHEN nli_label = 'ENTAILMENT' THEN 'PRIMARY_SUPPORT' ELSE 'PRIMARY_REFUTATION' END AS role"""
+
+
+def _verdict(before: str, rows: str) -> str:
+    return f"""{before}, vg AS (SELECT q.qid, count(DISTINCT page_id) FILTER (accepted AND nli_label = 'ENTAILMENT') AS supporting_pages,
     count(DISTINCT page_id) FILTER (accepted AND nli_label = 'CONTRADICTION') AS refuting_pages,
     count(*) FILTER (accepted AND nli_label = 'ENTAILMENT') AS supporting_rows, count(*) FILTER (accepted AND nli_label = 'CONTRADICTION') AS refuting_rows
-    FROM q LEFT JOIN r3 USING (qid) GROUP BY q.qid),
+    FROM q LEFT JOIN {rows} r USING (qid) GROUP BY q.qid),
   vv AS (SELECT *, CASE WHEN supporting_pages > 0 AND refuting_pages > 0 THEN 'CONFLICTING_EVIDENCE' WHEN supporting_pages > 0 THEN 'SUPPORTING_EVIDENCE'
     WHEN refuting_pages > 0 THEN 'REFUTING_EVIDENCE' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM vg)"""
-_JUDGED = f"""{_VERDICT}, ju AS (SELECT qid, label, CASE verdict WHEN 'SUPPORTING_EVIDENCE' THEN 'SUPPORTS' WHEN 'REFUTING_EVIDENCE' THEN 'REFUTES'
+
+
+_CHAIN = f"""{_SCREENED}, ch AS (SELECT *, {_ROLE} FROM sd WHERE decision = 'SELECTED')"""
+_JUDGED = f"""{_verdict(_CHAIN, 'ch')}, ju AS (SELECT qid, claim, label, CASE verdict WHEN 'SUPPORTING_EVIDENCE' THEN 'SUPPORTS' WHEN 'REFUTING_EVIDENCE' THEN 'REFUTES'
     WHEN 'INSUFFICIENT_EVIDENCE' THEN 'NOT ENOUGH INFO' ELSE 'CONFLICT' END AS predicted FROM vv JOIN q USING (qid) WHERE label IN ('SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO'))"""
 _PROB = """l AS (SELECT vec_id, label % 3 AS gold_id, embedding[1]::DOUBLE * 10 / 2.1753 AS a, embedding[2]::DOUBLE * 10 / 2.1753 AS b, embedding[3]::DOUBLE * 10 / 2.1753 AS c FROM embeddings),
   m AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM l),
@@ -89,11 +153,15 @@ def _summary() -> str:
 
 
 _REVERSE = f"len(list_intersect(list_distinct({_tok('claim')}), list_distinct({_tok('text')}))) / nullif(len(list_distinct({_tok('text')})), 0)"
-_HITS = f"""{_GOLD}, {_SCORED.replace(_CANON + ", ", "")}, g AS (SELECT q.qid, evidence_set_id, wiki_page, sentence_id FROM gold JOIN q USING (claim_id, split)),
-  x AS (SELECT qid, evidence_set_id, EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page) AS p,
-    EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page AND r.sentence_id = g.sentence_id) AS s FROM g),
+_HITS = f"""{_GOLD}, {_JUDGED.replace(_CANON + ", ", "")}, g AS (SELECT q.qid, evidence_set_id, wiki_page, sentence_id FROM gold JOIN q USING (claim_id, split)),
+  x AS (SELECT qid, evidence_set_id, EXISTS (SELECT 1 FROM ch r WHERE r.qid = g.qid AND r.page_id = g.wiki_page) AS p,
+    EXISTS (SELECT 1 FROM ch r WHERE r.qid = g.qid AND r.page_id = g.wiki_page AND r.sentence_id = g.sentence_id) AS s FROM g),
   z AS (SELECT qid, evidence_set_id, bool_or(p) AS p, bool_or(s) AS s, bool_and(s) AS c FROM x GROUP BY ALL),
-  hi AS (SELECT qid, bool_or(p) AS any_page, bool_or(s) AS any_sentence, bool_or(c) AS complete_set FROM z GROUP BY qid)"""
+  hi AS (SELECT qid, bool_or(p) AS any_page, bool_or(s) AS any_sentence, bool_or(c) AS complete_set FROM z GROUP BY qid),
+  ev AS (SELECT qid, bool_or(decision = 'SELECTED' AND nli_label <> 'NEUTRAL' AND accepted) AS yes, bool_or(decision = 'SELECTED' AND nli_label <> 'NEUTRAL' AND NOT accepted) AS no,
+    count(*) FILTER (decision = 'SELECTED') AS assessed_count, count(*) FILTER (decision NOT IN ('SELECTED', 'UNUSED')) AS excluded_count,
+    bool_or(decision = 'ENTITY_VARIANT_MISMATCH') AS variant FROM sd GROUP BY 1)"""
+_RATE = "round(count(*) FILTER ({}) / count(*), 6)"
 
 SQL = {
     "hybrid_retrieval": f"""WITH {_SENT.replace("WHERE rank <= 50)", "WHERE rank <= 100)")},
@@ -105,12 +173,36 @@ SQL = {
       fi AS (SELECT rr.*, CAST({_OVERLAP} AS FLOAT) AS f FROM rr JOIN ca USING (qid, page_id, sentence_id))
       SELECT * FROM (SELECT fi.qid, fi.page_id, fi.sentence_id, row_number() OVER (PARTITION BY fi.qid ORDER BY f DESC, input_rank) AS rank, input_rank, rrf_score,
         sr.score AS bm25_score, dv.score AS dense_score FROM fi LEFT JOIN sr USING (qid, page_id, sentence_id) LEFT JOIN dv USING (qid, page_id, sentence_id)) WHERE rank <= 10""",
-    "failure_rows": f"""WITH {_HITS}, {_JUDGED[len(_SCORED) + 2:]}, ev AS (SELECT qid, bool_or(nli_label <> 'NEUTRAL' AND accepted) AS yes, bool_or(nli_label <> 'NEUTRAL' AND NOT accepted) AS no FROM r3 GROUP BY 1)
-      SELECT ju.qid, label, predicted, CASE WHEN predicted = 'CONFLICT' THEN 'CONFLICTING_PREDICTION' WHEN predicted IN ('SUPPORTS', 'REFUTES') THEN 'WRONG_DECISIVE_VERDICT'
+    "failure_rows": f"""WITH {_HITS}
+      SELECT ju.qid, claim, label, predicted, CASE WHEN predicted = 'CONFLICT' THEN 'CONFLICTING_PREDICTION' WHEN predicted IN ('SUPPORTS', 'REFUTES') THEN 'WRONG_DECISIVE_VERDICT'
         WHEN label <> 'NOT ENOUGH INFO' THEN 'ABSTENTION_ON_DECISIVE_GOLD' ELSE 'NEI_ABSTENTION' END AS failure_type,
         concat_ws(';', CASE WHEN NOT any_page THEN 'GOLD_PAGE_NOT_ASSESSED' WHEN NOT any_sentence THEN 'GOLD_SENTENCE_NOT_ASSESSED' WHEN NOT complete_set THEN 'GOLD_SET_INCOMPLETE_IN_ASSESSED' END,
-          CASE WHEN NOT coalesce(yes, false) THEN 'NO_ACCEPTED_DECISIVE_NLI' END, CASE WHEN no THEN 'DECISIVE_LABEL_BELOW_THRESHOLD' END) AS flags
+          CASE WHEN NOT coalesce(yes, false) THEN 'NO_ACCEPTED_DECISIVE_NLI' END, CASE WHEN no THEN 'DECISIVE_LABEL_BELOW_THRESHOLD' END, CASE WHEN variant THEN 'ENTITY_VARIANT_FILTER_APPLIED' END) AS flags,
+        any_sentence AS gold_sentence_assessed, complete_set AS gold_set_assessed, coalesce(assessed_count, 0) AS assessed_count, coalesce(excluded_count, 0) AS excluded_count
       FROM ju LEFT JOIN hi USING (qid) LEFT JOIN ev USING (qid) WHERE label <> predicted""",
+    "benchmark_summary": f"""WITH {_HITS}, k AS (SELECT l AS label, count(*) FILTER (ju.label = l) AS support, count(*) FILTER (predicted = l) AS p,
+        count(*) FILTER (ju.label = l AND predicted = l) AS tp FROM ju CROSS JOIN (VALUES ('SUPPORTS'), ('REFUTES'), ('NOT ENOUGH INFO')) v(l) GROUP BY l),
+      m AS (SELECT label, support, CASE WHEN p > 0 THEN tp / p ELSE 0.0 END AS pr, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS re FROM k)
+      SELECT count(*) AS total, {_RATE.format("predicted IN ('SUPPORTS', 'REFUTES')")} AS decision_coverage,
+        round(count(*) FILTER (predicted IN ('SUPPORTS', 'REFUTES') AND label = predicted) / nullif(count(*) FILTER (predicted IN ('SUPPORTS', 'REFUTES')), 0), 6) AS decided_accuracy,
+        count(*) FILTER (predicted NOT IN ('SUPPORTS', 'REFUTES')) AS abstained, count(*) FILTER (predicted = 'CONFLICT') AS conflicting, {_RATE.format("label = predicted")} AS label_agreement,
+        (SELECT round(avg(round(CASE WHEN round(pr, 6) + round(re, 6) > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6)), 6) FROM m) AS macro_f1,
+        (SELECT count(*) FROM hi JOIN ju USING (qid)) AS gold_annotated, (SELECT {_RATE.format("any_page")} FROM hi JOIN ju USING (qid)) AS any_page_rate,
+        (SELECT {_RATE.format("any_sentence")} FROM hi JOIN ju USING (qid)) AS any_sentence_rate, (SELECT {_RATE.format("complete_set")} FROM hi JOIN ju USING (qid)) AS complete_set_rate,
+        (SELECT round(avg(coalesce(assessed_count, 0)), 3) FROM ju LEFT JOIN ev USING (qid)) AS mean_assessed,
+        (SELECT string_agg(label || '=' || n, ';' ORDER BY label) FROM (SELECT label, count(*) AS n FROM ju GROUP BY 1)) AS gold_labels,
+        (SELECT coalesce(string_agg(decision || '=' || n, ';' ORDER BY decision), '') FROM (SELECT decision, count(*) AS n FROM sd WHERE decision NOT IN ('SELECTED', 'UNUSED') GROUP BY 1)) AS exclusions FROM ju""",
+    "claim_verification": f"""WITH {_verdict(_CHAIN, 'ch')}, c1 AS (SELECT qid, count(*) AS retrieved_count, count(*) FILTER (decision = 'SELECTED') AS assessed_count,
+        count(*) FILTER (decision = 'UNUSED') AS unused_count, count(*) FILTER (decision NOT IN ('SELECTED', 'UNUSED')) AS excluded_count FROM sd GROUP BY 1),
+      c2 AS (SELECT qid, count(*) FILTER (reason = 'SUBJECT_NOT_GROUNDED') AS blocked_count, count(*) FILTER (starts_with(role, 'PRIMARY')) AS primary_count FROM ch GROUP BY 1)
+      SELECT vv.*, CASE verdict WHEN 'CONFLICTING_EVIDENCE' THEN 'OPPOSING_EVIDENCE' WHEN 'SUPPORTING_EVIDENCE' THEN 'SUPPORT_ONLY' WHEN 'REFUTING_EVIDENCE' THEN 'REFUTATION_ONLY' ELSE 'NO_DECISIVE_EVIDENCE' END AS basis,
+        coalesce(retrieved_count, 0) AS retrieved_count, coalesce(assessed_count, 0) AS assessed_count, coalesce(unused_count, 0) AS unused_count, coalesce(excluded_count, 0) AS excluded_count,
+        coalesce(blocked_count, 0) AS blocked_count, coalesce(primary_count, 0) AS primary_count FROM vv LEFT JOIN c1 USING (qid) LEFT JOIN c2 USING (qid)""",
+    "claim_decisions": f"""WITH {_CHAIN} SELECT sd.qid, sd.rank, sd.page_id, sd.sentence_id, sd.decision, ch.nli_label, ch.confidence, ch.accepted, ch.reason, ch.role
+      FROM sd LEFT JOIN ch ON sd.qid = ch.qid AND sd.rank = ch.rank""",
+    "evidence_screening_windowed": f"WITH {_SCREENED} SELECT qid, rank, page_id, sentence_id, decision FROM sd",
+    "grounded_evidence": f"WITH {_SCORED} SELECT qid, rank, grounded, externally_grounded FROM r3",
+    "subject_anchors": f"WITH {_CLAIMS}, {_anchors('uc', 'claim_id, split')} SELECT claim_id, split, anchor, array_to_string(searches, ';') AS searches FROM an",
     "first_claims_evidence": "SELECT evidence_row_id, claim_id FROM evidence WHERE claim_id IN (SELECT DISTINCT claim_id FROM evidence ORDER BY claim_id LIMIT 100)",
     "upserted_pages": """SELECT page_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY loaded_at, row_id) AS k FROM wiki_sentences WHERE removed_at IS NOT NULL)
       WHERE k = 1 AND page_id NOT IN (SELECT page_id FROM wiki_sentences WHERE removed_at IS NULL AND page_id IS NOT NULL)""",
@@ -131,10 +223,8 @@ SQL = {
         CASE WHEN count(*) FILTER (rank <= 10) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_at_10, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_at_10
       FROM g LEFT JOIN sr USING (qid, page_id, sentence_id) GROUP BY qid""",
     "reranked": f"WITH {_SCORED} SELECT qid, page_id, sentence_id, rank, confidence FROM r3",
-    "contribution_roles": f"""WITH {_SCORED} SELECT qid, page_id, sentence_id, rank, accepted, reason, CASE WHEN NOT accepted THEN 'NOT_DECISIVE'
-      WHEN row_number() OVER (PARTITION BY qid, page_id, nli_label, accepted ORDER BY confidence DESC, rank, sentence_id) > 1 THEN 'SAME_PAGE_ADDITIONAL'
-      WHEN nli_label = 'ENTAILMENT' THEN 'PRIMARY_SUPPORT' ELSE 'PRIMARY_REFUTATION' END AS role FROM r3""",
-    "page_verdicts": f"WITH {_VERDICT} SELECT * FROM vv",
+    "contribution_roles": f"WITH {_SCORED} SELECT qid, page_id, sentence_id, rank, accepted, reason, {_ROLE} FROM r3",
+    "page_verdicts": f"WITH {_verdict(_SCORED, 'r3')} SELECT * FROM vv",
     "verdict_confusion": f"""WITH {_JUDGED}, grid AS (SELECT * FROM (VALUES ('SUPPORTS'), ('REFUTES'), ('NOT ENOUGH INFO')) g(gold)
       CROSS JOIN (VALUES ('SUPPORTS'), ('REFUTES'), ('NOT ENOUGH INFO'), ('CONFLICT')) p(predicted))
       SELECT gold, grid.predicted, (SELECT count(*) FROM ju WHERE ju.label = gold AND ju.predicted = grid.predicted) AS n FROM grid""",
@@ -145,11 +235,7 @@ SQL = {
     "verdict_selective": f"""WITH {_JUDGED} SELECT count(*) AS total, round(count(*) FILTER (predicted IN ('SUPPORTS', 'REFUTES')) / count(*), 6) AS decision_coverage,
       round(count(*) FILTER (predicted IN ('SUPPORTS', 'REFUTES') AND label = predicted) / nullif(count(*) FILTER (predicted IN ('SUPPORTS', 'REFUTES')), 0), 6) AS decided_accuracy,
       count(*) FILTER (predicted NOT IN ('SUPPORTS', 'REFUTES')) AS abstained, count(*) FILTER (predicted = 'CONFLICT') AS conflicting FROM ju""",
-    "gold_set_hits": f"""WITH {_GOLD}, {_SCORED.replace(_CANON + ", ", "")}, g AS (SELECT q.qid, evidence_set_id, wiki_page, sentence_id FROM gold JOIN q USING (claim_id, split)),
-      x AS (SELECT qid, evidence_set_id, EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page) AS p,
-        EXISTS (SELECT 1 FROM r3 r WHERE r.qid = g.qid AND r.page_id = g.wiki_page AND r.sentence_id = g.sentence_id) AS s FROM g),
-      z AS (SELECT qid, evidence_set_id, bool_or(p) AS p, bool_or(s) AS s, bool_and(s) AS c FROM x GROUP BY ALL)
-      SELECT qid, bool_or(p) AS any_page, bool_or(s) AS any_sentence, bool_or(c) AS complete_set FROM z GROUP BY qid""",
+    "gold_set_hits": f"WITH {_HITS} SELECT * FROM hi",
     "softmax_labels": f"""WITH {_PROB} SELECT vec_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, CASE WHEN p0 = greatest(p0, p1, p2) THEN 'ENTAILMENT'
       WHEN p1 = greatest(p0, p1, p2) THEN 'CONTRADICTION' ELSE 'NEUTRAL' END AS top, abs(p0 + p1 + p2 - 1) <= 1e-4 AS ok FROM pr""",
     "probability_scores": f"""WITH {_PROB} SELECT count(*) AS n, round(avg(-ln(greatest(CASE gold_id WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-15))), 6) AS nll,
@@ -165,8 +251,8 @@ SQL = {
       s AS (SELECT *, CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p::DATE < f::DATE THEN 'BEFORE_REFERENCE' WHEN p::DATE > f::DATE THEN 'AFTER_REFERENCE' ELSE 'SAME_REFERENCE_DAY' END AS relation,
         CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p > a THEN 'FUTURE_DATED' WHEN floor((epoch_us(a) - epoch_us(p)) / 1000000 / 86400) > 365 THEN 'OLDER_THAN_WINDOW' ELSE 'WITHIN_WINDOW' END AS freshness FROM c)
       SELECT doc_id, relation, freshness, concat_ws(';', CASE WHEN p IS NULL THEN 'PUBLICATION_TIME_UNKNOWN' END, CASE WHEN p > r THEN 'PUBLICATION_AFTER_RETRIEVAL' END,
-        CASE WHEN p > a THEN 'PUBLICATION_AFTER_ASSESSMENT' END, CASE WHEN relation = 'AFTER_REFERENCE' THEN 'EVIDENCE_POSTDATES_REFERENCE' END,
-        CASE WHEN freshness = 'OLDER_THAN_WINDOW' THEN 'OUTSIDE_FRESHNESS_WINDOW' END) AS warnings FROM s""",
+        CASE WHEN p > a THEN 'PUBLICATION_AFTER_ASSESSMENT' END, CASE WHEN relation = 'AFTER_REFERENCE' THEN 'EVIDENCE_POSTDATES_REFERENCE_REVIEW_REQUIRED' END,
+        CASE WHEN freshness = 'OLDER_THAN_WINDOW' THEN 'OUTSIDE_CALLER_FRESHNESS_WINDOW' END, CASE WHEN freshness = 'FUTURE_DATED' THEN 'FUTURE_DATED_METADATA_REVIEW_REQUIRED' END) AS warnings FROM s""",
     "latest_as_of": """SELECT f.event_id AS fact_id, f.user_id, o.event_id, o.event_type FROM (SELECT * FROM events WHERE event_type = 'purchase') f
       LEFT JOIN LATERAL (SELECT event_id, event_type FROM events e WHERE e.user_id = f.user_id AND e.event_type <> 'purchase' AND e.ts <= f.ts ORDER BY ts DESC, event_id DESC LIMIT 1) o ON true""",
     "version_history": """SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_number
