@@ -2,43 +2,39 @@
 
 from __future__ import annotations
 
-import ipaddress
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?")
 MAX_URL = 2048
-
-
-def host_name(value: str | None) -> str | None:
-    """Public host name in ASCII lower case; None for anything else, IP literals and one-label names included."""
-    if value is None:
-        return None
-    name = value.strip().rstrip(".").lower()
-    if not name or set(name) & set("/:@?#\\ "):
-        return None
-    try:
-        name = name.encode("idna").decode("ascii")
-    except UnicodeError:
-        return None
-    if len(name) > 253 or "." not in name or not all(LABEL.fullmatch(x) for x in name.split(".")):
-        return None
-    try:
-        ipaddress.ip_address(name)
-    except ValueError:
-        return name
-    return None
+NAME = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
 @F.pandas_udf(StringType())
-def public_domain(s: pd.Series) -> pd.Series:
-    """``host_name`` of a column (F14), worked out once per distinct value of a batch."""
-    names = {x: host_name(x) for x in set(s)}
-    return pd.Series([names[x] for x in s], dtype=object)
+def _punycode(s: pd.Series) -> pd.Series:
+    """Names beyond ASCII as the domain name system writes them, each distinct one once; null where that fails."""
+    coded = {}
+    for name in s.dropna().unique():
+        try:
+            coded[name] = name.encode("idna").decode()
+        except UnicodeError:
+            coded[name] = None
+    return pd.Series([coded.get(x) for x in s], dtype=object)
+
+
+def public_domain(c: Column) -> Column:
+    """Public host name in ASCII lower case; null for anything else, IP literals and one-label names included.
+
+    Two labels or more of letters, digits and inner hyphens, 63 characters at most each and 253 together; white space
+    and dots at the end don't count. Only names beyond ASCII leave the JVM.
+    """
+    name = F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"\.+$", ""))
+    plain = F.coalesce(_punycode(F.when(name.rlike(r"[^\x00-\x7F]") & ~name.rlike(r"[/:@?#\\ ]"), name)), name)
+    good = plain.rlike(rf"^(?=.{{1,253}}$){NAME}(?:\.{NAME})+$") & ~plain.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
+    return F.when(good, plain)
 
 
 def public_url(c: Column) -> Column:
@@ -91,17 +87,15 @@ def discovery_problem(url: Column, domain: Column, title: Column, publisher: Col
     )
 
 
-def passage_bounds(text: str, most: int) -> list[int]:
-    """Ends of consecutive spans of at most ``most`` characters, cut after the last space or newline of a span's second half."""
-    ends, at = [], 0
-    while at < len(text):
-        end = min(at + most, len(text))
-        if end < len(text):
-            cut = max(text.rfind(c, at + most // 2, end) for c in " \n")
-            end = cut + 1 if cut > at else end
-        ends.append(end)
-        at = end
-    return ends
+def passage_ends(text: str, most: int) -> list[int]:
+    """Ends of the passages of a text: after the last space or newline in the second half of ``most`` characters, else after all of them."""
+    breaks = np.flatnonzero(np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32"), (10, 32))) + 1
+    ends = [0]
+    while len(text) - ends[-1] > most:
+        full = ends[-1] + most
+        last = int(breaks[k - 1]) if (k := int(np.searchsorted(breaks, full, "right"))) else 0
+        ends.append(last if last > full - most + most // 2 else full)
+    return [*ends[1:], len(text)]
 
 
 def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_chars: int = 800) -> DataFrame:
@@ -116,7 +110,7 @@ def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def spans(s: pd.Series) -> pd.Series:
         out = []
         for x in s:
-            ends = passage_bounds(x, max_chars)
+            ends = passage_ends(x, max_chars)
             out.append([{"start_offset": a, "end_offset": b} for a, b in zip([0, *ends], ends)])
         return pd.Series(out)
 

@@ -34,10 +34,6 @@ def label_id(c: Column, labels: tuple[str, ...] = NLI_LABELS) -> Column:
     return F.when(place > 0, (place - 1).cast("int"))
 
 
-def label_name(c: Column, labels: tuple[str, ...] = NLI_LABELS) -> Column:
-    return F.get(F.array(*map(F.lit, labels)), c)
-
-
 def softmax(logits: list[Column], temperature: float = 1.0) -> list[Column]:
     """Softmax shifted by the greatest logit (F23). Null or non-finite logits give null."""
     if not 0 < temperature < float("inf"):

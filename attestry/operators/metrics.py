@@ -196,7 +196,7 @@ def selective_accuracy(df: DataFrame, confidence: str, correct: str, thresholds:
     )
 
 
-def fit_temperature(df: DataFrame, logits: list[str], gold_id: str, low: float = 0.05, high: float = 10.0, rounds: int = 6, points: int = 13) -> float:
+def fit_temperature(df: DataFrame, logits: list[str], gold_id: str, low: float = 0.05, high: float = 10.0, rounds: int = 8, points: int = 13) -> float:
     """Temperature of least negative log likelihood (M13): grids in log T, narrowed round by round.
 
     Each round is one aggregate that evaluates all its points in a single pass over the data. Where rows have a
@@ -229,10 +229,10 @@ def half_split(df: DataFrame, label: str, row_id: str, seed: int = 0) -> DataFra
     return ranked.withColumn("half", (F.col("_rank") % 2).cast("int")).drop("_h", "_rank")
 
 
-def exact_rank(df: DataFrame, keys: list[str], order: list[str], buckets: int = 1024) -> DataFrame:
+def exact_rank(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Column ``_rank`` from 1 within each key in the order of a hash column ``order[0]``, without sorting a key in one task.
 
-    Rows are ranked within hash ranges; a range's offset is the number of rows in the ranges before it.
+    Rows are ranked within 1024 hash ranges; a range's offset is the number of rows in the ranges before it.
     """
     from pyspark.sql import Window
 
@@ -268,8 +268,8 @@ def balanced_sample(df: DataFrame, label: str, row_id: str, labels: tuple[str, .
 
 def winner(df: DataFrame, name: str, score: str) -> DataFrame:
     """Name with the greatest score; the smallest name on ties."""
-    top = df.agg(F.max(score).alias("s"))
-    return df.join(top, F.col(score) == F.col("s")).agg(F.min(name).alias(name), F.max(score).alias(score))
+    best = df.where(F.col(score).isNotNull()).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))).alias("b"))
+    return best.select(F.col("b.n").alias(name), (-F.col("b.s")).alias(score))
 
 
 def same_rankings(a: DataFrame, b: DataFrame, key: list[str], doc: list[str], tolerance: float = 1e-5) -> DataFrame:

@@ -87,6 +87,14 @@ def ordered_text(value: str, order: str, separator: str = " ") -> Column:
     return F.array_join(ordered_list(value, order), separator)
 
 
+def set_differences(df: DataFrame, value: str, expected: tuple[str, ...]) -> DataFrame:
+    """(value, n) of values that are not expected, null among them, and of expected ones that are absent, with n 0."""
+    found = df.groupBy(value).agg(F.count("*").alias("n"))
+    wanted = df.sparkSession.createDataFrame([(x,) for x in expected], "_e string")
+    both = found.join(wanted, F.col(value) == F.col("_e"), "full").where(F.col("_e").isNull() | F.col("n").isNull())
+    return both.select(F.coalesce(value, "_e").alias(value), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def first_seen(df: DataFrame, key: str, position: str) -> DataFrame:
     """Distinct keys in order of their first place: (key, first_position)."""
     return df.groupBy(key).agg(F.min(position).alias("first_position"))

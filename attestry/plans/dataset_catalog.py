@@ -96,7 +96,8 @@ def excess_copies(spark, folder):
 
 
 def ambiguous_pairs(spark, folder):
-    return r.conflicting_keys(table(spark, folder, "nli_pairs"), ["claim", "premise"], "nli_label").where("claim is not null and premise is not null")
+    """Premises that carry different labels (A4)."""
+    return r.conflicting_keys(table(spark, folder, "nli_pairs").where("premise is not null"), ["premise"], "nli_label")
 
 
 def leaking_pairs(spark, folder):
@@ -140,9 +141,8 @@ def claim_key_violations(spark, folder):
 
 
 def unknown_labels(spark, folder):
-    """Labels beside the known ones, null written as such, with their rows."""
-    c = table(spark, folder, "claims")
-    return r.violations(c, F.col("label").isin(*CLAIM_LABELS)).groupBy("label").agg(F.count("*").alias("n"))
+    """Labels beside the known ones, null written as such, with their rows, and known ones that are absent."""
+    return r.set_differences(table(spark, folder, "claims"), "label", (*CLAIM_LABELS, "DISPUTED"))
 
 
 def retrieval_queries(spark, folder):
@@ -169,7 +169,9 @@ def page_sentences(spark, folder):
     """Each gold page of a claim with its sentences."""
     pages = d.gold_pages(_gold(spark, folder)).select("claim_id", "split", F.col("wiki_page").alias("page_id"))
     s = d.stored_sentences(table(spark, folder, "wiki_sentences")).select("page_id", "sentence_id", "text")
-    return pages.join(s, "page_id").groupBy("claim_id", "split").agg(F.count("*").alias("candidates"), F.count_distinct("page_id").alias("pages"))
+    # A page's sentences are counted before they meet its claims.
+    sizes = s.groupBy("page_id").agg(F.count("*").alias("n"))
+    return pages.join(sizes, "page_id").groupBy("claim_id", "split").agg(F.sum("n").alias("candidates"), F.count("*").alias("pages"))
 
 
 def distinct_counts(spark, folder):
@@ -273,8 +275,7 @@ SQL = {
       ORDER BY source_type, evidence_set_id, example_id) AS k FROM nli_pairs) WHERE k = 1""",
     "excess_copies": """SELECT count(*) FILTER (n > 1) AS duplicate_groups, coalesce(sum(n - 1), 0)::BIGINT AS excess_rows, coalesce(max(n), 1) AS largest_group
       FROM (SELECT count(*) AS n FROM nli_pairs GROUP BY split, claim_id, premise, nli_label)""",
-    "ambiguous_pairs": """SELECT claim, premise, count(DISTINCT nli_label) AS value_count FROM nli_pairs WHERE claim IS NOT NULL AND premise IS NOT NULL
-      GROUP BY ALL HAVING count(DISTINCT nli_label) > 1""",
+    "ambiguous_pairs": "SELECT premise, count(DISTINCT nli_label) AS value_count FROM nli_pairs WHERE premise IS NOT NULL GROUP BY ALL HAVING count(DISTINCT nli_label) > 1",
     "leaking_pairs": "SELECT claim, premise, count(DISTINCT split) AS value_count FROM nli_pairs_clean GROUP BY ALL HAVING count(DISTINCT split) > 1",
     "unambiguous": f"""SELECT example_id, split, nli_label FROM nli_pairs p WHERE NOT EXISTS (SELECT 1 FROM ({_AMBIGUOUS.format("nli_pairs")}) a
       WHERE a.claim = p.claim AND a.premise = p.premise)""",
@@ -293,7 +294,8 @@ SQL = {
     "classification_set": f"""WITH {_CLAIMS} SELECT claim_id, split, claim, label, CAST(CASE label WHEN 'SUPPORTS' THEN 0 WHEN 'REFUTES' THEN 1 ELSE 2 END AS INT) AS label_id
       FROM uc WHERE label IN ('SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO')""",
     "claim_key_violations": "SELECT split, claim_id, count(*) AS row_count FROM claims GROUP BY ALL HAVING count(*) > 1",
-    "unknown_labels": "SELECT label, count(*) AS n FROM claims WHERE label IS NULL OR label NOT IN ('SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO') GROUP BY ALL",
+    "unknown_labels": """SELECT label, count(*) AS n FROM claims WHERE label IS NULL OR label NOT IN ('SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO', 'DISPUTED') GROUP BY ALL
+      UNION ALL SELECT l, 0 FROM (VALUES ('SUPPORTS'), ('REFUTES'), ('NOT ENOUGH INFO'), ('DISPUTED')) v(l) WHERE l NOT IN (SELECT label FROM claims WHERE label IS NOT NULL)""",
     "retrieval_queries": f"WITH {_GOLD}, {_CLAIMS} SELECT DISTINCT claim_id, split, claim, label FROM uc WHERE (claim_id, split) IN (SELECT (claim_id, split) FROM gold)",
     "retrieval_queries_by_id": f"WITH {_GOLD}, {_CLAIMS} SELECT DISTINCT claim_id, split, claim, label FROM uc WHERE claim_id IN (SELECT claim_id FROM gold)",
     "sentence_qrels": f"WITH {_GOLD} SELECT DISTINCT claim_id, split, wiki_page, sentence_id, evidence_text, 1 AS relevance FROM gold",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import identity, labels, text
 from attestry.operators import dataset as d
-from attestry.operators import families, layout, metrics, relational, retrieval, usage, verify, versions
+from attestry.operators import families, layout, metrics, multisource, relational, retrieval, usage, verify, versions
 from attestry.session import shared_checkpoint
 from attestry.sources.tables import table
 
@@ -232,19 +232,57 @@ def source_families(spark, folder):
     return families.source_families(docs, "doc_id", "publisher", "text")
 
 
+def _cases(spark, folder):
+    """Documents in groups of 25 by order of their ids; even documents declare their language as origin."""
+    docs = table(spark, folder, "documents").where(text.non_blank(F.col("text"))).select("doc_id", "source", "text", "title", "lang", "published_at", "retrieved_at")
+    docs = docs.withColumn("publisher", F.when(F.col("title").isNotNull(), F.concat_ws("/", "source", "title"))).withColumn("origin", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    return relational.number_rows(docs, ["doc_id"], "n", start=0).withColumn("case", F.floor(F.col("n") / 25))
+
+
 def pair_relations(spark, folder):
-    """Relations within groups of 25 documents, in order of their ids; a document's source stands in for its declared origin."""
-    docs = table(spark, folder, "documents").where(text.non_blank(F.col("text"))).select("doc_id", "source", "text", F.concat_ws("/", "source", "title").alias("name"), "title")
-    docs = docs.withColumn("publisher", F.when(F.col("title").isNotNull(), F.col("name")))
-    numbered = relational.number_rows(docs, ["doc_id"], "n", start=0).withColumn("case", F.floor(F.col("n") / 25))
-    return families.pair_relations(numbered, "case", "doc_id", "publisher", "text", origin="source")
+    """Relations of the documents of a case to each other (V9)."""
+    return families.pair_relations(_cases(spark, folder), "case", "doc_id", "publisher", "text", origin="origin", words=text.tokens)
 
 
-def family_votes(spark, folder):
-    docs = table(spark, folder, "documents")
-    stance = F.when(F.col("doc_id") % 3 == 0, "ENTAILMENT").when(F.col("doc_id") % 3 == 1, "CONTRADICTION").otherwise("NEUTRAL")
-    ev = docs.where(text.non_blank(F.col("text"))).select(F.col("source").alias("case"), "doc_id", stance.alias("stance"), ((F.col("doc_id") % 20) / 20 + 0.05).alias("confidence"))
-    return families.family_votes(ev, source_families(spark, folder), "case", "doc_id", 0.5)
+def family_warnings(spark, folder):
+    x = families.family_warnings(pair_relations(spark, folder), "case")
+    return x.select("case", F.array_join("warnings", ";").alias("warnings"))
+
+
+def _findings(spark, folder):
+    """Every document as a row of evidence for its source; stances and gates follow from its id."""
+    docs = table(spark, folder, "documents").where(text.non_blank(F.col("text")))
+    i = F.col("doc_id")
+    stance = F.when(i % 3 == 0, "ENTAILMENT").when(i % 3 == 1, "CONTRADICTION").otherwise("NEUTRAL")
+    ev = docs.select(F.concat_ws("#", "source", (i % 8).cast("string")).alias("case"), "doc_id", stance.alias("stance"), ((i % 20) / 20 + 0.05).alias("confidence"), (i % 13 != 0).alias("nli_accepted"), (i % 11 != 0).alias("admissible"))
+    ev = ev.join(document_context(spark, folder).select("doc_id", "relation", "freshness"), "doc_id")
+    return families.findings(ev, source_families(spark, folder), ["doc_id"], 0.5)
+
+
+def corroboration(spark, folder):
+    """Votes by family, outcome and warnings per case."""
+    return families.corroboration(_findings(spark, folder), "case").withColumn("warnings", F.array_join("warnings", ";"))
+
+
+def corroboration_violations(spark, folder):
+    """Stored votes of which every fifth case was altered, against recomputed ones."""
+    found = shared_checkpoint(_findings(spark, folder), "findings")
+    stored = families.corroboration(found, "case").withColumn("mixed", F.col("mixed") + F.when(F.col("case").endswith("#5"), 1).otherwise(0))
+    return families.corroboration_violations(stored, found, "case")
+
+
+def multisource_assessment(spark, folder):
+    """The first words of a case's first document held against the passages of all its documents."""
+    at, reference = (F.lit(x).cast("timestamp_ntz") for x in ("2026-01-01 00:00:00", "2022-06-01 00:00:00"))
+    docs = shared_checkpoint(_cases(spark, folder).withColumn("source_id", F.coalesce("publisher", F.col("doc_id").cast("string"))).withColumn("sha256", F.sha2("text", 256)), "cases")
+    claims = docs.groupBy("case").agg(F.min_by(F.regexp_extract("text", r"^[^.!?\n]{1,120}", 0), "doc_id").alias("claim"))
+    seen = docs.where(F.col("doc_id") % 5 != 0).select("doc_id", F.lit("FETCHED").alias("outcome"), F.col("retrieved_at").alias("observed_at"))
+    profiles = docs.select("source_id", F.col("retrieved_at").alias("observed_at"), F.lit("MANUAL_REVIEW").alias("method"), F.col("title").alias("publisher_name"))
+    context = multisource.document_context(docs.select("doc_id", "source_id", "sha256", "published_at", "retrieved_at"), seen, profiles, at, reference, F.lit(None).cast("int"))
+    parts = identity.passages(docs.select("doc_id", "text")).join(docs.select("doc_id", "case"), "doc_id")
+    whole = docs.select("case", "doc_id", "source_id", "origin", F.col("text").alias("content"), F.col("sha256").alias("content_sha256"))
+    out = multisource.assess(claims, parts, whole, context, threshold=0.4).summary
+    return out.withColumn("warnings", F.array_join("warnings", ";"))
 
 
 def document_context(spark, folder):
@@ -271,11 +309,14 @@ def version_history(spark, folder):
 
 
 def snapshot_integrity(spark, folder):
-    """Integrity of documents' passages against their text: whole passages only, hashes equal."""
+    """Passages against snapshots of which some were altered or cut short after hashing: the first problem of each."""
     docs = table(spark, folder, "documents").where(F.col("text").rlike(r"(?U)\S"))
-    p = identity.passages(docs).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
-    bad = versions.snapshot_problem(F.col("content"), F.sha2("content", 256), F.col("start_offset"), F.col("end_offset"), F.col("text"), F.col("sha256"))
-    return p.groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.char_length("text")).alias("chars"), F.count(bad).alias("problems")).where("problems > 0 or chars is null")
+    i = F.col("doc_id")
+    stored = docs.select("doc_id", F.sha2("text", 256).alias("h"), F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    p = identity.passages(docs).join(stored, "doc_id")
+    end, part = F.when(i % 5 == 0, F.col("end_offset") + 1000).otherwise(F.col("end_offset")), F.when(i % 3 == 0, F.lower("text")).otherwise(F.col("text"))
+    bad = versions.snapshot_problem(F.col("content"), F.col("h"), F.col("start_offset"), end, part, F.when(i % 2 == 0, F.upper("sha256")).otherwise(F.col("sha256")))
+    return p.groupBy(bad.alias("problem")).agg(F.count("*").alias("passages"), F.count_distinct("doc_id").alias("docs"))
 
 
 def passages(spark, folder):
@@ -382,9 +423,10 @@ def first_claims_evidence(spark, folder):
 
 
 def upserted_pages(spark, folder):
-    """Pages of withdrawn sentences to insert into the pages of live ones: absent ones, earliest row first."""
-    s = table(spark, folder, "wiki_sentences")
-    new = versions.new_rows(s.where("removed_at is not null"), s.where("removed_at is null"), ["page_id"], [F.col("loaded_at"), F.col("row_id")])
+    """Pages of a late batch to insert into those loaded before: absent ones, earliest row first."""
+    s = table(spark, folder, "wiki_sentences").where("page_id is not null")
+    cut = "timestamp_ntz'2023-04-01 00:00:00'"
+    new = versions.new_rows(s.where(f"loaded_at >= {cut}"), s.where(f"loaded_at < {cut}"), ["page_id"], [F.col("loaded_at"), F.col("row_id")])
     return new.select("page_id", "row_id")
 
 
@@ -410,20 +452,60 @@ def table_manifest(spark, folder):
 
 
 def parsed_page_lines(spark, folder):
-    """Sentence lines put together to pages and parsed again."""
+    """Stored sentence lines parsed again, each as a page of its own."""
     from attestry.sources.records import page_lines
 
     s = table(spark, folder, "wiki_sentences").where("raw_line is not null")
-    pages = s.groupBy("page_id", "source_member").agg(relational.ordered_text("raw_line", "row_id", "\n").alias("lines"))
-    return page_lines(pages).select("page_id", "sentence_id", "text", "source_member")
+    return page_lines(s.select("row_id", "page_id", "source_member", F.col("raw_line").alias("lines")), ("row_id", "page_id", "source_member")).drop("raw_line")
+
+
+def latency_medians(spark, folder):
+    return usage.medians(table(spark, folder, "events"), "value", ["event_type"])
+
+
+def first_seen_pages(spark, folder):
+    """Pages in order of the first row that holds them."""
+    return relational.first_seen(table(spark, folder, "wiki_sentences"), "page_id", "row_id")
+
+
+def ranking_differences(spark, folder):
+    """Places at which title and body rankings of pages differ (M20), and which of them has more hits."""
+    index = _index(spark, folder)
+    a, b = (shared_checkpoint(_field_top(spark, folder, index, f, 5), f) for f in ("title", "body"))
+    d = metrics.same_rankings(a, b, ["qid"], ["page_id"]).agg(F.count("*").alias("places"))
+    n = a.agg(F.lit("title").alias("field"), F.count("*").alias("hits")).unionByName(b.agg(F.lit("body").alias("field"), F.count("*").alias("hits")))
+    return d.join(metrics.winner(n, "field", "hits"))
+
+
+def checked_observations(spark, folder):
+    """Fetches of documents, some of them spoilt, by their first problem."""
+    d, i = table(spark, folder, "documents"), F.col("doc_id")
+    docs = d.select("doc_id", F.col("source").alias("source_id"))
+    vers = d.select((i * 10).alias("version_id"), "doc_id")
+    obs = d.select(
+        F.when(i % 9 == 0, "elsewhere").otherwise(F.col("source")).alias("source_id"), F.when(i % 7 == 0, " ").otherwise("web").alias("provider"),
+        F.when(i % 4 == 0, "FAILED").otherwise("FETCHED").alias("outcome"), F.when(i % 11 == 0, 700).otherwise(200).alias("status"), F.col("retrieved_at").alias("observed_at"), "doc_id",
+        F.when(i % 5 == 0, None).when(i % 13 == 0, i * 10 + 10).otherwise(i * 10).alias("version_id"),
+    )
+    return versions.checked_observations(obs, docs, vers).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def attached_provenance(spark, folder):
+    """Requests to attach snapshots to evidence, by what becomes of them."""
+    d, i = table(spark, folder, "documents"), F.col("doc_id")
+    ev, vers = d.select(i.alias("evidence_id"), "doc_id"), d.select((i * 10).alias("version_id"), "doc_id")
+    asked = d.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), i.alias("evidence_id"), F.when(i % 6 == 0, i * 10 + 10).otherwise(i * 10).alias("version_id"), F.when(i % 10 == 0, " ").otherwise("parser").alias("method"))
+    has = d.where(i % 4 == 0).select(i.alias("evidence_id"), F.when(i % 8 == 0, i * 10).otherwise(i).alias("version_id"))
+    return versions.attach_once(asked, ev, vers, has, [F.col("turn")]).groupBy("action").agg(F.count("*").alias("n"))
 
 
 NAMES = [
     hybrid_retrieval, failure_rows, benchmark_summary, claim_verification, claim_decisions, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
     page_bm25, sentence_bm25, dense_top, fused_pages, page_metrics, sentence_metrics, expanded_pages, reranked, contribution_roles, page_verdicts,
     evidence_screening, evidence_screening_windowed, grounded_evidence, verdict_confusion, verdict_classes, verdict_selective, gold_set_hits, softmax_labels,
-    probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, pair_relations, family_votes,
+    probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, pair_relations, family_warnings, corroboration, corroboration_violations, multisource_assessment,
     document_context, latest_as_of, version_history, snapshot_integrity, passages, content_hashes, daily_usage, usage_summary, latency_percentiles, quota_windows,
+    latency_medians, first_seen_pages, ranking_differences, checked_observations, attached_provenance,
     log_counters, status_outcomes, retained_events, shingle_counts, canonical_claims, page_titles, subject_anchors, public_urls,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -163,6 +163,43 @@ _HITS = f"""{_GOLD}, {_JUDGED.replace(_CANON + ", ", "")}, g AS (SELECT q.qid, e
     bool_or(decision = 'ENTITY_VARIANT_MISMATCH') AS variant FROM sd GROUP BY 1)"""
 _RATE = "round(count(*) FILTER ({}) / count(*), 6)"
 
+_NONBLANK = "text IS NOT NULL AND trim(text) <> ''"
+_CASES = f"""cs1 AS (SELECT *, CASE WHEN title IS NOT NULL THEN source || '/' || title END AS publisher, CASE WHEN doc_id % 2 = 0 THEN lang END AS origin,
+    (row_number() OVER (ORDER BY doc_id) - 1) // 25 AS "case" FROM documents WHERE {_NONBLANK}), cs2 AS (SELECT *, {_tok('text')} AS w FROM cs1),
+  cs3 AS (SELECT *, CASE WHEN len(w) >= 80 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS sh FROM cs2),
+  pr0 AS (SELECT a."case", a.doc_id AS left_id, b.doc_id AS right_id, CASE WHEN a.publisher = b.publisher THEN 'SAME_PUBLISHER' WHEN a.origin = b.origin AND a.origin <> '' THEN 'DECLARED_COMMON_ORIGIN'
+    WHEN a.w = b.w AND len(a.w) >= 12 THEN 'IDENTICAL_TEXT' END AS sure, a.sh AS sa, b.sh AS sb FROM cs3 a JOIN cs3 b ON a."case" = b."case" AND a.doc_id < b.doc_id),
+  pr1 AS (SELECT *, CASE WHEN sure IS NULL AND sa IS NOT NULL AND sb IS NOT NULL THEN round(len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))), 6) END AS similarity FROM pr0),
+  pr2 AS (SELECT "case", left_id, right_id, coalesce(sure, CASE WHEN similarity >= 0.85 THEN 'POSSIBLE_TEXT_REUSE' ELSE 'UNDETERMINED' END) AS relation, similarity FROM pr1)"""
+_FAMILIES = f"""nd AS (SELECT doc_id, CASE WHEN title IS NOT NULL THEN source || '/' || title END AS p, {_tok('text')} AS w FROM documents WHERE {_NONBLANK}),
+  ky AS (SELECT doc_id, 'p' || p AS k FROM nd WHERE p IS NOT NULL UNION ALL SELECT doc_id, 'w' || array_to_string(w, ' ') FROM nd WHERE len(w) >= 12),
+  hb AS (SELECT k, min(doc_id) AS h FROM ky GROUP BY k), lk AS (SELECT doc_id AS a, h AS b FROM ky JOIN hb USING (k) WHERE doc_id <> h),
+  bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc AS (SELECT doc_id AS n, doc_id AS c FROM nd UNION SELECT bo.b, rc.c FROM rc JOIN bo ON bo.a = rc.n),
+  fa AS (SELECT n AS doc_id, min(c) AS component FROM rc GROUP BY n)"""
+_CONTEXT = """cx0 AS (SELECT doc_id, published_at AS p, retrieved_at AS r, TIMESTAMP '2023-01-10' AS a, TIMESTAMP '2022-06-01' AS f FROM documents),
+  cx AS (SELECT *, CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p::DATE < f::DATE THEN 'BEFORE_REFERENCE' WHEN p::DATE > f::DATE THEN 'AFTER_REFERENCE' ELSE 'SAME_REFERENCE_DAY' END AS relation,
+    CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p > a THEN 'FUTURE_DATED' WHEN floor((epoch_us(a) - epoch_us(p)) / 1000000 / 86400) > 365 THEN 'OLDER_THAN_WINDOW' ELSE 'WITHIN_WINDOW' END AS freshness FROM cx0)"""
+_VOTES = f"""{_FAMILIES}, {_CONTEXT},
+  fi0 AS (SELECT source || '#' || (doc_id % 8) AS "case", doc_id, CASE doc_id % 3 WHEN 0 THEN 'ENTAILMENT' WHEN 1 THEN 'CONTRADICTION' ELSE 'NEUTRAL' END AS stance,
+    (doc_id % 20) / 20 + 0.05 AS confidence, doc_id % 13 <> 0 AS ok, doc_id % 11 <> 0 AS adm FROM documents WHERE {_NONBLANK}),
+  fi AS (SELECT fi0.*, component, relation, freshness, CASE WHEN stance = 'NEUTRAL' THEN 'NEUTRAL' WHEN NOT ok THEN 'NLI_NOT_ACCEPTED' WHEN NOT adm THEN 'ADMISSIBILITY_BLOCKED'
+    WHEN confidence < 0.5 THEN 'BELOW_CONFIDENCE_THRESHOLD' WHEN freshness IN ('OLDER_THAN_WINDOW', 'FUTURE_DATED') THEN 'TEMPORAL_REVIEW_REQUIRED' ELSE 'ELIGIBLE' END AS decision
+    FROM fi0 JOIN fa USING (doc_id) JOIN cx USING (doc_id)),
+  si AS (SELECT "case", component, bool_or(decision = 'ELIGIBLE' AND stance = 'ENTAILMENT') AS s, bool_or(decision = 'ELIGIBLE' AND stance = 'CONTRADICTION') AS r FROM fi GROUP BY ALL),
+  vo AS (SELECT "case", count(*) FILTER (s) AS supporting, count(*) FILTER (r) AS refuting, count(*) FILTER (s AND r) AS mixed FROM si GROUP BY 1),
+  fl AS (SELECT "case", count(*) FILTER (decision = 'ELIGIBLE') AS decisive, bool_or(relation = 'AFTER_REFERENCE') AS af, bool_or(decision = 'TEMPORAL_REVIEW_REQUIRED') AS re FROM fi GROUP BY 1),
+  oc AS (SELECT "case", supporting, refuting, mixed, decisive, CASE WHEN supporting > 0 AND refuting > 0 THEN 'UNRESOLVED_OPPOSING_EVIDENCE' WHEN supporting > 1 THEN 'MULTI_FAMILY_SUPPORT_UNVERIFIED'
+    WHEN refuting > 1 THEN 'MULTI_FAMILY_REFUTATION_UNVERIFIED' WHEN supporting = 1 THEN 'SINGLE_FAMILY_SUPPORT' WHEN refuting = 1 THEN 'SINGLE_FAMILY_REFUTATION' ELSE 'NO_DECISIVE_EVIDENCE' END AS outcome,
+    concat_ws(';', 'INDEPENDENT_REPORTING_NOT_ESTABLISHED', 'NOT_A_CLAIM_TRUTH_PROBABILITY', CASE WHEN af THEN 'EVIDENCE_PUBLISHED_AFTER_REFERENCE_REVIEW_CONTEXT' END, CASE WHEN re THEN 'TEMPORAL_REVIEW_REQUIRED' END,
+      CASE WHEN supporting > 0 AND refuting > 0 THEN 'OPPOSING_EVIDENCE_NEEDS_REVIEW' END, CASE WHEN mixed > 0 THEN 'OPPOSING_EVIDENCE_WITHIN_SAME_FAMILY' END) AS warnings FROM vo JOIN fl USING ("case"))"""
+_PASSAGES = """tx AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}\\x{85}]')),
+  ps AS (SELECT doc_id, -1 AS ordinal, 0 AS s, 0 AS e FROM tx UNION ALL
+    SELECT doc_id, ordinal + 1, e, CASE WHEN n - e <= 800 THEN n WHEN least(b1, b2) > 400 THEN e + 800 ELSE e + 801 - least(b1, b2) END FROM (
+      SELECT ps.doc_id, ps.ordinal, ps.e, n, CASE strpos(reverse(substring(text, ps.e + 1, 800)), ' ') WHEN 0 THEN 9999 ELSE strpos(reverse(substring(text, ps.e + 1, 800)), ' ') END AS b1,
+        CASE strpos(reverse(substring(text, ps.e + 1, 800)), chr(10)) WHEN 0 THEN 9999 ELSE strpos(reverse(substring(text, ps.e + 1, 800)), chr(10)) END AS b2
+      FROM ps JOIN tx ON tx.doc_id = ps.doc_id WHERE ps.e < n)),
+  pa AS (SELECT ps.doc_id, ordinal, s AS start_offset, e AS end_offset, substring(text, s + 1, e - s) AS part FROM ps JOIN tx ON tx.doc_id = ps.doc_id WHERE ordinal >= 0)"""
+
 SQL = {
     "hybrid_retrieval": f"""WITH {_SENT.replace("WHERE rank <= 50)", "WHERE rank <= 100)")},
       dv AS (SELECT * FROM (SELECT qid, page_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, sentence_id) AS rank
@@ -203,9 +240,47 @@ SQL = {
     "evidence_screening_windowed": f"WITH {_SCREENED} SELECT qid, rank, page_id, sentence_id, decision FROM sd",
     "grounded_evidence": f"WITH {_SCORED} SELECT qid, rank, grounded, externally_grounded FROM r3",
     "subject_anchors": f"WITH {_CLAIMS}, {_anchors('uc', 'claim_id, split')} SELECT claim_id, split, anchor, array_to_string(searches, ';') AS searches FROM an",
+    "pair_relations": f"""WITH {_CASES} SELECT *, relation IN ('SAME_PUBLISHER', 'DECLARED_COMMON_ORIGIN', 'IDENTICAL_TEXT') AS group_together,
+      CASE WHEN relation = 'SAME_PUBLISHER' THEN 'same_registered_source_id' WHEN relation = 'DECLARED_COMMON_ORIGIN' THEN 'matching_reported_origin_with_observation_urls'
+        WHEN relation = 'IDENTICAL_TEXT' THEN 'identical_normalized_full_snapshot_text' WHEN relation = 'POSSIBLE_TEXT_REUSE' THEN 'five_word_shingle_similarity_review'
+        WHEN similarity IS NULL THEN 'insufficient_evidence_of_shared_or_independent_reporting' ELSE 'no_strong_reuse_signal' END AS basis FROM pr2""",
+    "family_warnings": f"""WITH {_CASES} SELECT "case", concat_ws(';', 'INDEPENDENCE_NOT_PROVEN', 'NO_CLAIM_TRUTH_INFERENCE', CASE WHEN bool_or(relation = 'POSSIBLE_TEXT_REUSE') THEN 'POSSIBLE_SYNDICATION_REQUIRES_REVIEW' END,
+      CASE WHEN bool_or(relation = 'DECLARED_COMMON_ORIGIN') THEN 'ORIGIN_ATTRIBUTION_NOT_INDEPENDENTLY_VERIFIED' END) AS warnings FROM pr2 GROUP BY 1""",
+    "source_families": f"WITH RECURSIVE {_FAMILIES} SELECT * FROM fa",
+    "corroboration": f"WITH RECURSIVE {_VOTES} SELECT * FROM oc",
+    "corroboration_violations": f"""WITH RECURSIVE {_VOTES} SELECT "case", supporting, refuting, mixed + 1 AS mixed, outcome FROM oc WHERE ends_with("case", '#5')""",
+    "passages": f"WITH RECURSIVE {_PASSAGES} SELECT doc_id, ordinal, start_offset, end_offset, sha256(part) AS sha256 FROM pa",
+    "snapshot_integrity": f"""WITH RECURSIVE {_PASSAGES} SELECT CASE WHEN doc_id % 7 = 0 THEN 'CONTENT_HASH' WHEN doc_id % 5 = 0 AND end_offset + 1000 > n THEN 'BOUNDS'
+        WHEN substring(text, start_offset + 1, end_offset + CASE WHEN doc_id % 5 = 0 THEN 1000 ELSE 0 END - start_offset) <> CASE WHEN doc_id % 3 = 0 THEN lower(part) ELSE part END THEN 'TEXT'
+        WHEN doc_id % 2 = 0 THEN 'PASSAGE_HASH' END AS problem, count(*) AS passages, count(DISTINCT doc_id) AS docs FROM pa JOIN tx USING (doc_id) GROUP BY 1""",
+    "quota_windows": """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1 UNION ALL
+        SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 1 HOUR GROUP BY w.user_id),
+      x AS (SELECT event_id, e.user_id, CAST(row_number() OVER (PARTITION BY e.user_id, w.s ORDER BY e.ts, event_id) AS INT) AS hit FROM events e ASOF JOIN w ON e.user_id = w.user_id AND e.ts >= w.s)
+      SELECT *, hit <= 3 AS allowed FROM x""",
+    "expanded_pages": f"""WITH {_PAGES}, {_anchors('q', 'qid')}, sub AS (SELECT qid, qid || '#' || query_order AS sid, query_order, query FROM (SELECT qid, unnest(range(len(searches))) AS query_order, unnest(searches) AS query FROM an)),
+      {_field('title', 'sub', 'sid', 'query', 'x')}, {_field('body', 'sub', 'sid', 'query', 'x')},
+      {_top('fx', 'SELECT sid, page_id, 3.0 * score AS score FROM xtitle_s UNION ALL SELECT sid, page_id, score FROM xbody_s', 10, 'sid')},
+      al AS (SELECT qid, page_id, 0 AS o, rank FROM pt UNION ALL SELECT sub.qid, fx.page_id, query_order + 1, fx.rank FROM fx JOIN sub USING (sid)),
+      pl AS (SELECT qid, page_id, min(o * 1000 + rank) AS place FROM al GROUP BY ALL), rk AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY place, page_id) AS rank FROM pl)
+      SELECT rk.* FROM rk JOIN (SELECT qid, greatest(count(*), 32) AS most FROM pt GROUP BY 1) USING (qid) WHERE rank <= most""",
+    "parsed_page_lines": r"""SELECT row_id, page_id, source_member, CAST(regexp_extract(raw_line, '^\s*([+-]?\d+)\s*\t', 1) AS INT) AS sentence_id,
+      regexp_replace(regexp_extract(raw_line, '^[^\t]*\t([^\t\n]*)', 1), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS text FROM wiki_sentences WHERE regexp_matches(raw_line, '^\s*[+-]?\d+\s*\t')""",
+    "latency_medians": "SELECT event_type, count(*) AS n, median(value) AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "first_seen_pages": "SELECT page_id, min(row_id) AS first_position FROM wiki_sentences GROUP BY 1",
+    "ranking_differences": f"""WITH {_Q}, {_CANON}, {_PG}, {_field('title')}, {_field('body')}, {_top('a', 'SELECT * FROM title_s', 5)}, {_top('b', 'SELECT * FROM body_s', 5)},
+      n AS (SELECT 'title' AS field, count(*) AS hits FROM a UNION ALL SELECT 'body', count(*) FROM b)
+      SELECT (SELECT count(*) FROM a FULL JOIN b USING (qid, rank) WHERE a.page_id IS DISTINCT FROM b.page_id OR abs(a.score - b.score) > 1e-5) AS places,
+        (SELECT min(field) FROM n WHERE hits = (SELECT max(hits) FROM n)) AS field, (SELECT max(hits) FROM n) AS hits""",
+    "checked_observations": """SELECT CASE WHEN i % 7 = 0 THEN 'PROVIDER' WHEN i % 11 = 0 THEN 'STATUS' WHEN i % 4 <> 0 AND i % 5 = 0 THEN 'FETCHED_WITHOUT_VERSION' WHEN i % 9 = 0 THEN 'DOCUMENT_OWNER'
+      WHEN i % 5 <> 0 AND i % 13 = 0 THEN 'VERSION_OWNER' END AS problem, count(*) AS n FROM (SELECT doc_id AS i FROM documents) GROUP BY 1""",
+    "attached_provenance": """WITH d AS (SELECT doc_id AS i FROM documents), x AS (SELECT i, t, i % 6 = 0 AS other, i % 10 = 0 AS blank, (i + 1) IN (SELECT i FROM d) AS nx FROM d CROSS JOIN (VALUES (0), (1)) v(t))
+      SELECT CASE WHEN blank THEN 'METHOD' WHEN other AND NOT nx THEN 'UNKNOWN' WHEN other THEN 'OTHER_DOCUMENT' WHEN i % 8 = 4 THEN 'OTHER_VERSION' WHEN i % 8 = 0 OR t = 1 THEN 'EXISTING' ELSE 'ATTACH' END AS action, count(*) AS n FROM x GROUP BY 1""",
+    "table_manifest": """WITH g AS (SELECT split, nli_label, count(*) AS n, sum(('0x' || substr(md5(concat_ws(chr(31), example_id::VARCHAR, split, nli_label)), 1, 15))::BIGINT::HUGEINT) AS x FROM nli_pairs_final GROUP BY ALL)
+      SELECT '{"name":"nli_pairs_final","rows":' || sum(n) || ',"fingerprint":"' || sum(x)::HUGEINT || '","distribution":[' ||
+        string_agg('{"split":"' || split || '","nli_label":"' || nli_label || '","n":' || n || '}', ',' ORDER BY split, nli_label) || ']}' AS manifest FROM g""",
     "first_claims_evidence": "SELECT evidence_row_id, claim_id FROM evidence WHERE claim_id IN (SELECT DISTINCT claim_id FROM evidence ORDER BY claim_id LIMIT 100)",
-    "upserted_pages": """SELECT page_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY loaded_at, row_id) AS k FROM wiki_sentences WHERE removed_at IS NOT NULL)
-      WHERE k = 1 AND page_id NOT IN (SELECT page_id FROM wiki_sentences WHERE removed_at IS NULL AND page_id IS NOT NULL)""",
+    "upserted_pages": """SELECT page_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY loaded_at, row_id) AS k FROM wiki_sentences WHERE loaded_at >= TIMESTAMP '2023-04-01')
+      WHERE k = 1 AND page_id NOT IN (SELECT page_id FROM wiki_sentences WHERE loaded_at < TIMESTAMP '2023-04-01' AND page_id IS NOT NULL)""",
     "connector_hits": """WITH o AS (SELECT * FROM (SELECT source, doc_id, retrieved_at, lower(title) AS canonical_url, row_number() OVER (PARTITION BY source, lower(title) ORDER BY retrieved_at, doc_id) AS k
       FROM documents WHERE title IS NOT NULL) WHERE k = 1)
       SELECT * FROM (SELECT source, doc_id, canonical_url, row_number() OVER (PARTITION BY source ORDER BY retrieved_at, doc_id) AS rank FROM o) WHERE rank <= 5""",

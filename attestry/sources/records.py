@@ -91,23 +91,23 @@ def page_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "source_member")) -> DataFrame:
     """(page_id, sentence_id, text, raw_line, source_member) of pages' lines.
 
     A line is an integer, a tab and the sentence, with link data behind a further tab. Lines of another form
     belong to the sentence before; those before any sentence, and blank lines, are dropped. The lines of a page are
-    put in order within the page.
+    put in order within the page; ``keys`` tell pages apart.
     """
-    lines = pages.select("page_id", "source_member", F.posexplode(F.split("lines", LINE_ENDS)).alias("pos", "line")).where(F.col("line").rlike(r"(?U)\S"))
+    lines = pages.select(*keys, F.posexplode(F.split("lines", LINE_ENDS)).alias("pos", "line")).where(F.col("line").rlike(r"(?U)\S"))
     number = F.when(F.col("line").contains("\t"), F.regexp_extract("line", r"^\s*([+-]?\d+)\s*\t", 1).try_cast("int"))
-    of_page = Window.partitionBy("page_id", "source_member").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    of_page = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = lines.withColumn("sentence_id", number).withColumn("head", F.count("sentence_id").over(of_page)).where("head > 0")
-    g = x.groupBy("page_id", "source_member", "head").agg(
+    g = x.groupBy(*keys, "head").agg(
         F.max("sentence_id").alias("sentence_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("raw_line"),
     )
     text = F.regexp_replace(F.regexp_extract("raw_line", r"^[^\t]*\t([^\t\n]*)", 1), r"(?U)^\s+|\s+$", "")
-    return g.select("page_id", "sentence_id", text.alias("text"), "raw_line", "source_member")
+    return g.select(*keys, "sentence_id", text.alias("text"), "raw_line")
 
 
 def news_hits(results: DataFrame, payload: str = "payload") -> DataFrame:
@@ -123,7 +123,7 @@ def review_hits(results: DataFrame, payload: str = "payload") -> DataFrame:
     v = results.select(F.try_parse_json(payload).alias("v"))
     claims = v.select(F.posexplode(F.try_variant_get(F.col("v"), "$.claims", "array<variant>")).alias("c_pos", "c"))
     x = claims.select("c_pos", F.try_variant_get("c", "$.text", "string").alias("claim_text"), F.posexplode(F.try_variant_get(F.col("c"), "$.claimReview", "array<variant>")).alias("r_pos", "a"))
-    x = x.withColumn("position", F.col("c_pos") * 100_000 + F.col("r_pos"))
+    x = x.withColumn("position", F.col("c_pos").cast("long") * 2**32 + F.col("r_pos"))
     out = {"url": "$.url", "title": "$.title", "publisher": "$.publisher.name", "snippet": None, "published": "$.reviewDate"}
     return _hits(x, "a", out, F.col("claim_text"))
 

@@ -31,15 +31,19 @@ def daily_usage_stream(events: DataFrame, user: str, at: str, status: str, laten
     )
 
 
-def quota_stream(events: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int = 60) -> DataFrame:
+def quota_stream(events: DataFrame, key: str, at: str, order: str, limit: int, window_seconds: int = 60, late: str = "1 minute") -> DataFrame:
     """(order, hit, allowed) with windows that start at a key's first event (X2). The state of a key is its window's start and count.
 
-    Events of a batch are taken in time order; an event older than the open window counts in it.
+    Events of a batch are taken in time order; an event older than the open window counts in it. A key's state goes once the
+    watermark, ``late`` behind the newest event, has passed its window; a key's events of one batch are held in memory.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    cols = events.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), micros.alias("t"))
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    cols = timed.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.unix_micros(at).alias("t"), F.col(at).alias("at"))
 
     def walk(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "o"])
         hits = []
@@ -49,10 +53,11 @@ def quota_stream(events: DataFrame, key: str, at: str, order: str, limit: int, w
             n += 1
             hits.append(n)
         state.update((start, n))
+        state.setTimeoutTimestamp(max(start // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"k": rows["k"], "o": rows["o"], "hit": hits, "allowed": [h <= limit for h in hits]})
 
     return cols.groupBy("k").applyInPandasWithState(
-        walk, "k string, o long, hit int, allowed boolean", "start long, n int", "append", GroupStateTimeout.NoTimeout
+        walk, "k string, o long, hit int, allowed boolean", "start long, n int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

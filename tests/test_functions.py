@@ -78,7 +78,7 @@ def test_passages_put_together_give_the_text(spark, size):
     parts = sorted(p.collect(), key=lambda r: r.ordinal)
     assert "".join(r.text for r in parts) == (doc if doc.strip() else "")
     assert all(r.end_offset - r.start_offset <= 100 for r in parts)
-    assert identity.passage_bounds("x" * 250, 100) == [100, 200, 250]
+    assert identity.passage_ends("x" * 250, 100) == [100, 200, 250]
 
 
 def test_labels(spark):

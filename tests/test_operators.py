@@ -1,12 +1,12 @@
 import math
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions import text
-from attestry.operators import families, layout, metrics, relational, retrieval, usage, verify, versions
+from attestry.functions import identity, text
+from attestry.operators import families, layout, metrics, multisource, relational, retrieval, usage, verify, versions
 
 
 def test_first_top_and_numbers(spark):
@@ -383,6 +383,63 @@ def test_usage_and_quota(spark):
     assert usage.nearest_rank(spark.createDataFrame([], "v double"), "v").head().n == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_quota_of_a_hot_key_nulls_and_repeats(spark, parts):
+    rng = random.Random(parts)
+    seconds = sorted(rng.choice((rng.randrange(4000), rng.randrange(300))) for _ in range(400))
+    t0 = datetime(2024, 1, 1)
+    rows = [("hot", t0 + timedelta(seconds=s), s) for s in seconds] + [("b", t0 + timedelta(seconds=s), 7) for s in (0, 0, 5, 90)] + [(None, t0, 1), (None, t0, 2), ("b", None, 3)]
+    want, start, n = [], None, 0
+    for s in seconds:
+        if start is None or s >= start + 60:
+            start, n = s, 0
+        n += 1
+        want.append(n)
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id int")
+    got = usage.quota_decisions(df, "k", "t", "id", 3, 60, parts).collect()
+    assert sorted(r.hit for r in got if r.k == "hot") == sorted(want) and len(got) == len(rows)
+    assert sorted(r.hit for r in got if r.k == "b" and r.t) == [1, 1, 2, 3] and all(r.hit is None and r.allowed is None for r in got if r.k is None or r.t is None)
+
+
+def test_medians_differences_and_winner(spark):
+    m = usage.medians(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("b", None)], "k string, v double"), "v", ["k"])
+    assert sorted(map(tuple, m.collect())) == [("a", 2, 1.5), ("b", 1, 5.0)]
+    d = relational.set_differences(spark.createDataFrame([("a",), (None,), ("z",), ("z",)], "l string"), "l", ("a", "b"))
+    assert sorted(map(tuple, d.collect()), key=str) == [("b", 0), ("z", 2), (None, 1)]
+    w = metrics.winner(spark.createDataFrame([("n", 1.0), ("m", 1.0), ("o", 0.5)], "name string, s double"), "name", "s").head()
+    assert tuple(w) == ("m", 1.0)
+    a = spark.createDataFrame([("q", 1, "x", 1.0), ("q", 2, "y", 0.5)], "q string, rank int, d string, score double")
+    b = spark.createDataFrame([("q", 1, "x", 1.0000001), ("q", 2, "z", 0.5), ("q", 3, "w", 0.1)], "q string, rank int, d string, score double")
+    assert sorted(r["rank"] for r in metrics.same_rankings(a, b, ["q"], ["d"]).collect()) == [2, 3]
+    s = relational.first_seen(spark.createDataFrame([("p", 3), ("p", 1), ("q", 2)], "p string, n int"), "p", "n")
+    assert sorted(map(tuple, s.collect())) == [("p", 1), ("q", 2)]
+    t = spark.createDataFrame([("b a b",), ("a b b",), (None,)], "t string").select(text.token_multiset(F.col("t")).alias("m")).collect()
+    assert t[0].m == t[1].m == ["a", "b", "b"] and t[2].m is None
+    k = verify.sentence_keys(spark.createDataFrame([("1", "P", 0, 2), ("1", "P", 0, 1), ("1", "P", 1, 3)], "q string, page_id string, sentence_id int, rank int"), "q")
+    assert sorted(r["rank"] for r in k.collect()) == [1, 3]
+
+
+def test_assessment_over_several_documents(spark):
+    whole = "The Iron Mill was built in Brum . It has a wheel"
+    docs = [("k", 1, "p", None, whole), ("k", 2, "q", None, "x " * 3 + whole), ("k", 3, "p", None, "The Iron Mill is nothing"), ("z", 4, "r", None, whole)]
+    d = spark.createDataFrame(docs, "case string, doc_id long, source_id string, origin string, content string").withColumn("content_sha256", F.sha2("content", 256))
+    p = identity.passages(d.select("doc_id", F.col("content").alias("text"))).join(d.select("case", "doc_id"), "doc_id")
+    p = p.withColumn("sha256", F.when(F.col("doc_id") == 4, "bad").otherwise(F.col("sha256")))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    meta = d.select("doc_id", "source_id", F.col("content_sha256").alias("sha256"), F.when(F.col("doc_id") != 3, at).alias("published_at"), at.alias("retrieved_at"))
+    fetched = d.where("doc_id < 3").select("doc_id", F.lit("FETCHED").alias("outcome"), at.alias("observed_at"))
+    profile = spark.createDataFrame([("p", datetime(2023, 1, 1), "A", "old"), ("p", datetime(2023, 6, 1), "B", ""), ("q", datetime(2030, 1, 1), "C", "later")], "source_id string, observed_at timestamp, method string, publisher_name string")
+    context = multisource.document_context(meta, fetched, profile, at, at, F.lit(None).cast("int"), 3)
+    c = {r.doc_id: (r.flags, r.warnings) for r in context.collect()}
+    assert c[1] == (["IMMUTABLE_CONTENT_HASH", "MATCHED_FETCH_OBSERVATION", "PUBLICATION_TIME_RECORDED", "SOURCE_PROFILE_OBSERVED", "PROFILE_METHOD_B"], [])
+    assert c[2][1] == ["SOURCE_PROFILE_NOT_OBSERVED"] and c[3][1] == ["FETCH_OBSERVATION_NOT_FOUND", "PUBLICATION_TIME_UNKNOWN"]
+    claims = spark.createDataFrame([("k", "The Iron Mill was built in Brum"), ("z", "x")], "case string, claim string")
+    out = multisource.assess(claims, p, d, context, threshold=0.4)
+    s = out.summary.collect()
+    assert [(r.case, r.supporting, r.refuting, r.outcome) for r in s] == [("k", 2, 0, "MULTI_FAMILY_SUPPORT_UNVERIFIED")] and s[0].warnings[0] == "INDEPENDENCE_NOT_PROVEN"
+    assert [r.doc_id for r in out.rejected.collect()] == [4] and {r.doc_id: r.component for r in out.findings.collect()} == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_results_do_not_depend_on_partitioning(spark, folder, parts):
     from attestry.operators import dataset

@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.sources import records, sinks
@@ -45,6 +46,13 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.manifest(df.where("false"), "t", ["k"]).head()[0])["rows"] == 0
     sinks.write_report(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 100
-    assert sinks.markdown(df.orderBy("id"), 1) == "| id | k |\n| --- | --- |\n| 0 | 0 |\n"
+    assert sinks.markdown(df.where("id = 0")) == "| id | k |\n| --- | --- |\n| 0 | 0 |\n"
+    with pytest.raises(ValueError):
+        sinks.markdown(df, 1)
+    prints = {n: json.loads(sinks.manifest(d, "t", ["k"]).head()[0])["fingerprint"] for n, d in (("one", df), ("two", df.unionAll(df)), ("three", df.unionAll(df).unionAll(df)))}
+    assert len(set(prints.values())) == 3 and "0" not in prints.values()
+    (tmp_path / "f.txt").write_bytes(b"abc")
+    f = sinks.file_manifest(spark, str(tmp_path / "f.txt")).head()
+    assert (f.length, f.sha256[:8]) == (3, "ba7816bf")
     sinks.register_views(spark, {"some_view": df})
     assert spark.sql("SELECT count(*) FROM some_view").head()[0] == 100
