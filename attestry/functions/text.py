@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -19,6 +20,11 @@ BRACKET_MARKS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def sql_trim(c: Column) -> Column:
     """Spaces at the ends removed, as SQL TRIM does."""
     return F.trim(c)
@@ -125,7 +131,7 @@ def clean_text(c: Column) -> Column:
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whether a phrase of normalised words occurs in normalised text at word borders; an empty phrase doesn't."""
-    return (phrase != "") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
+    return let(phrase, lambda p: (p != "") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" "))))
 
 
 # Patterns that make a claim locative, and words that speak of copies or versions.
@@ -172,43 +178,50 @@ def subject_anchor(claim: Column) -> Column:
     lower-case last word gives null.
     """
     text = F.regexp_replace(py_strip(claim), '^["“”]+|["“”]+$', "")
-    has = text.rlike(rf"(?i)\s+(?:{PREDICATES})\b")
-    subject = F.regexp_replace(F.regexp_extract(text, rf"(?is)^(.*?)\s+(?:{PREDICATES})\b", 1), r"^[ ,.;:!?\t]+|[ ,.;:!?\t]+$", "")
-    owner = F.regexp_extract(subject, r"^([A-Z][\p{L}\p{N}_-]*(?:\s+[A-Z][\p{L}\p{N}_-]*)*)['’]s\b", 1)
-    place_free = py_strip(F.element_at(F.split(subject, r"(?i)\s+(?:in|at|near)\s+"), 1))
-    words = F.regexp_extract_all(F.when(owner != "", owner).otherwise(place_free), F.lit(r"(?U)\b[A-Za-z][\w'-]*\b"), F.lit(0))
-    first = F.lower(F.get(words, F.lit(0)))
-    named = F.when(first == "the", F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
-    good = (
-        has & (F.size(words) > 0) & ~first.isin(*GENERIC) & (F.size(named) > 0)
-        & _upper_first(F.get(named, F.lit(0))) & ((F.size(named) == 1) | _upper_first(F.get(named, F.size(named) - 1)))
-    )
-    phrase = title_words(F.array_join(named, " "))
-    return F.when(good & (phrase != ""), phrase)
+    strip = r"^[ ,.;:!?\t]+|[ ,.;:!?\t]+$"
+    owner = r"^([A-Z][\p{L}\p{N}_-]*(?:\s+[A-Z][\p{L}\p{N}_-]*)*)['’]s\b"
+
+    def named(words: Column) -> Column:
+        return F.when(F.lower(F.get(words, F.lit(0))) == "the", F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
+
+    def anchor(words: Column) -> Column:
+        name = named(words)
+        good = (F.size(name) > 0) & _upper_first(F.get(name, F.lit(0))) & ((F.size(name) == 1) | _upper_first(F.get(name, F.size(name) - 1)))
+        phrase = let(title_words(F.array_join(name, " ")), lambda p: F.when(p != "", p))
+        return F.when((F.size(words) > 0) & ~F.lower(F.get(words, F.lit(0))).isin(*GENERIC) & good, phrase)
+
+    def of_subject(subject: Column) -> Column:
+        kept = let(F.regexp_extract(subject, owner, 1), lambda o: F.when(o != "", o).otherwise(py_strip(F.element_at(F.split(subject, r"(?i)\s+(?:in|at|near)\s+"), 1))))
+        return let(F.regexp_extract_all(kept, F.lit(r"(?U)\b[A-Za-z][\w'-]*\b"), F.lit(0)), anchor)
+
+    subject = let(text, lambda t: F.when(t.rlike(rf"(?i)\s+(?:{PREDICATES})\b"), F.regexp_replace(F.regexp_extract(t, rf"(?is)^(.*?)\s+(?:{PREDICATES})\b", 1), strip, "")))
+    return let(subject, of_subject)
 
 
 def subject_queries(claim: Column) -> Column:
     """At most two further searches for the subject of a claim (F11); an empty array where it isn't sure."""
-    has = claim.rlike(rf"(?i)\s+(?:{SEARCH_PREDICATES})\b")
     subject = F.regexp_replace(F.regexp_extract(claim, rf"(?is)^(.*?)\s+(?:{SEARCH_PREDICATES})\b", 1), '^[ "“”.,;:!?]+|[ "“”.,;:!?]+$', "")
-    words = F.regexp_extract_all(subject, F.lit(r"[A-Za-z][A-Za-z0-9'’-]*"), F.lit(0))
-    first = F.lower(F.get(words, F.lit(0)))
-    named = F.when(first.isin(*ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
-    last = F.get(named, F.size(named) - 1)
     generic = tuple(g for g in GENERIC if g not in ARTICLES)
-    good = (
-        has & F.size(words).between(1, 7) & ~first.isin(*generic) & (F.size(named) > 0) & _upper_first(F.get(named, F.lit(0)))
-        & ((F.size(named) == 1) | _upper_first(last) | ((F.size(named) == 2) & (F.lower(last) == "sequel")))
-    )
-    text = F.array_join(words, " ")
-    owner = F.regexp_extract(text, r"(?i)^(.+?)['’]s sequel$", 1)
-    film = claim.rlike(rf"(?i)\b(?:{FILM})\b") & ~F.lower(text).endswith(" film")
-    found = (
-        F.when(owner != "", F.array(F.concat(owner, F.lit(" 2")), F.concat(owner, F.lit(" sequel film"))))
-        .when(film, F.array(text, F.concat(text, F.lit(" film"))))
-        .otherwise(F.array(text))
-    )
-    return F.when(F.coalesce(good, F.lit(False)), found).otherwise(F.array().cast("array<string>"))
+    nothing = F.array().cast("array<string>")
+
+    def found(words: Column) -> Column:
+        first = F.lower(F.get(words, F.lit(0)))
+        name = F.when(first.isin(*ARTICLES), F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))).otherwise(words)
+        last = F.get(name, F.size(name) - 1)
+        good = (
+            F.size(words).between(1, 7) & ~first.isin(*generic) & (F.size(name) > 0) & _upper_first(F.get(name, F.lit(0)))
+            & ((F.size(name) == 1) | _upper_first(last) | ((F.size(name) == 2) & (F.lower(last) == "sequel")))
+        )
+        return F.when(F.coalesce(good, F.lit(False)), let(F.array_join(words, " "), searches)).otherwise(nothing)
+
+    def searches(text: Column) -> Column:
+        owner = F.regexp_extract(text, r"(?i)^(.+?)['’]s sequel$", 1)
+        film = claim.rlike(rf"(?i)\b(?:{FILM})\b") & ~F.lower(text).endswith(" film")
+        of_film = F.when(film, F.array(text, F.concat(text, F.lit(" film")))).otherwise(F.array(text))
+        return let(owner, lambda o: F.when(o != "", F.array(F.concat(o, F.lit(" 2")), F.concat(o, F.lit(" sequel film")))).otherwise(of_film))
+
+    has = F.coalesce(claim.rlike(rf"(?i)\s+(?:{SEARCH_PREDICATES})\b"), F.lit(False))
+    return F.when(has, let(F.regexp_extract_all(subject, F.lit(r"[A-Za-z][A-Za-z0-9'’-]*"), F.lit(0)), found)).otherwise(nothing)
 
 
 def sha256_hex(c: Column) -> Column:
