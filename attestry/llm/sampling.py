@@ -34,7 +34,8 @@ def swap_repair(available: dict[str, int], targets: list[Target], seed: int = 0)
     The start is random: each category its floor as far as it has rows, the remaining rows dealt at random in
     proportion to what is left. Then counts move from the category furthest above its target to the one furthest
     below that still has rows, as many at once as lower the sum of squared deviations, until no exchange does.
-    The size of the sample is the sum of wanted rows, or all rows of the target's categories if there are fewer.
+    The size of the sample is the sum of wanted rows, or all rows of the target's categories if there are fewer. What a
+    category lacks is thus dealt to those that have rows, which come out above their own targets.
     """
     want = {t.category: max(t.floor, t.wanted) for t in targets}
     have = {c: available.get(c, 0) for c in want}
