@@ -437,6 +437,20 @@ def connector_hits(spark, folder):
     return x.select("source", "doc_id", "canonical_url", "rank")
 
 
+def discovered_articles(spark, folder):
+    """News results made of documents, normalised, the first of each URL per connector kept, at most five."""
+    from attestry.sources.records import news_hits
+
+    d = table(spark, folder, "documents").where("title is not null")
+    name = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-")
+    url = F.concat(F.when(F.col("doc_id") % 10 == 0, "ftp://").otherwise("HTTPS://"), F.lit("News.Example.ORG:443/"), name, F.lit("#top"))
+    article = F.struct(url.alias("url"), F.concat(F.lit("  "), "title", F.lit("\n")).alias("title"), F.struct(F.col("source").alias("name")).alias("source"), F.lit("2024-05-01T10:00:00+02:00").alias("publishedAt"))
+    results = d.select(F.col("source").alias("connector"), F.struct("retrieved_at", "doc_id").alias("at"), "doc_id", F.to_json(F.struct(F.array(article).alias("articles"))).alias("payload"))
+    hits = news_hits(results, keep=("connector", "at", "doc_id"))
+    x = versions.connector_hits(hits, "connector", F.col("url"), "at", 5)
+    return x.select("connector", "doc_id", "url", "publisher_domain", "publisher_name", "title", F.unix_seconds("published_at").alias("published"), "rank")
+
+
 def actor_fingerprints(spark, folder):
     """Keyed pseudonyms of users with their events."""
     f = text.actor_fingerprint(b"key of the test")
@@ -500,7 +514,7 @@ def attached_provenance(spark, folder):
 
 
 NAMES = [
-    hybrid_retrieval, failure_rows, benchmark_summary, claim_verification, claim_decisions, first_claims_evidence, upserted_pages, connector_hits, actor_fingerprints, table_manifest, parsed_page_lines,
+    hybrid_retrieval, failure_rows, benchmark_summary, claim_verification, claim_decisions, first_claims_evidence, upserted_pages, connector_hits, discovered_articles, actor_fingerprints, table_manifest, parsed_page_lines,
     page_bm25, sentence_bm25, dense_top, fused_pages, page_metrics, sentence_metrics, expanded_pages, reranked, contribution_roles, page_verdicts,
     evidence_screening, evidence_screening_windowed, grounded_evidence, verdict_confusion, verdict_classes, verdict_selective, gold_set_hits, softmax_labels,
     probability_scores, calibration_error, calibration_bins, selective_accuracy, fitted_temperature, label_halves, balanced_sample, source_families, pair_relations, family_warnings, corroboration, corroboration_violations, multisource_assessment,

@@ -284,6 +284,11 @@ SQL = {
     "connector_hits": """WITH o AS (SELECT * FROM (SELECT source, doc_id, retrieved_at, lower(title) AS canonical_url, row_number() OVER (PARTITION BY source, lower(title) ORDER BY retrieved_at, doc_id) AS k
       FROM documents WHERE title IS NOT NULL) WHERE k = 1)
       SELECT * FROM (SELECT source, doc_id, canonical_url, row_number() OVER (PARTITION BY source ORDER BY retrieved_at, doc_id) AS rank FROM o) WHERE rank <= 5""",
+    "discovered_articles": rf"""WITH h AS (SELECT source AS connector, doc_id, retrieved_at, 'https://news.example.org/' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') AS url,
+        left(trim(regexp_replace(title, '[\s\p{{Z}}\x{{85}}]+', ' ', 'g')), 1000) AS title FROM documents WHERE title IS NOT NULL AND doc_id % 10 <> 0),
+      o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connector, url ORDER BY retrieved_at, doc_id) AS k FROM h WHERE title <> '') WHERE k = 1)
+      SELECT * FROM (SELECT connector, doc_id, url, 'news.example.org' AS publisher_domain, connector AS publisher_name, title, 1714550400 AS published,
+        row_number() OVER (PARTITION BY connector ORDER BY retrieved_at, doc_id) AS rank FROM o) WHERE rank <= 5""",
     "page_bm25": f"WITH {_PAGES} SELECT * FROM pt",
     "sentence_bm25": f"WITH {_SENT} SELECT * FROM sr",
     "dense_top": """SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score,

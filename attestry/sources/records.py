@@ -110,12 +110,12 @@ def page_lines(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "source_mem
     return g.select(*keys, "sentence_id", text.alias("text"), "raw_line")
 
 
-def news_hits(results: DataFrame, payload: str = "payload") -> DataFrame:
-    """Normalised articles of news search results, one row per article with a valid https URL and a title."""
-    v = results.select(F.try_parse_json(payload).alias("v"))
+def news_hits(results: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Normalised articles of news search results, one row per article with a valid https URL and a title (S13), with the columns ``keep`` of the result."""
+    v = results.select(*keep, F.try_parse_json(payload).alias("v"))
     items = F.try_variant_get(F.col("v"), "$.articles", "array<variant>")
-    x = v.select(F.posexplode(items).alias("position", "a"))
-    return _hits(x, "a", {"url": "$.url", "title": "$.title", "publisher": "$.source.name", "snippet": "$.description", "published": "$.publishedAt"})
+    x = v.select(*keep, F.posexplode(items).alias("position", "a"))
+    return _hits(x, "a", {"url": "$.url", "title": "$.title", "publisher": "$.source.name", "snippet": "$.description", "published": "$.publishedAt"}, keep=keep)
 
 
 def review_hits(results: DataFrame, payload: str = "payload") -> DataFrame:
@@ -128,13 +128,13 @@ def review_hits(results: DataFrame, payload: str = "payload") -> DataFrame:
     return _hits(x, "a", out, F.col("claim_text"))
 
 
-def _hits(x: DataFrame, item: str, paths: dict, fallback=None) -> DataFrame:
+def _hits(x: DataFrame, item: str, paths: dict, fallback=None, keep: tuple[str, ...] = ()) -> DataFrame:
     got = {k: F.try_variant_get(F.col(item), p, "string") if p else F.lit(None).cast("string") for k, p in paths.items()}
     who = article_identity(got["url"])
     title = text_value(got["title"]) if fallback is None else F.coalesce(text_value(got["title"]), text_value(fallback, 4000))
     snippet = text_value(got["snippet"], 2000) if fallback is None else text_value(fallback, 4000)
     y = x.select(
-        "position", who["url"].alias("url"), who["domain"].alias("publisher_domain"), F.coalesce(text_value(got["publisher"], 255), who["domain"]).alias("publisher_name"),
+        *keep, "position", who["url"].alias("url"), who["domain"].alias("publisher_domain"), F.coalesce(text_value(got["publisher"], 255), who["domain"]).alias("publisher_name"),
         title.alias("title"), snippet.alias("snippet"), aware_timestamp(got["published"]).alias("published_at"),
     )
     return y.where("url is not null and title is not null")

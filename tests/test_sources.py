@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.sources import records, sinks
+from attestry.sources import discovery, records, sinks
 
 
 def test_claim_lines(spark, tmp_path):
@@ -56,3 +56,18 @@ def test_sinks(spark, tmp_path):
     assert (f.length, f.sha256[:8]) == (3, "ba7816bf")
     sinks.register_views(spark, {"some_view": df})
     assert spark.sql("SELECT count(*) FROM some_view").head()[0] == 100
+
+
+def test_discovery_source(spark, tmp_path):
+    discovery.register(spark)
+    page = {"articles": [{"url": "https://a.org/x#y", "title": " T ", "source": {"name": "A"}}, {"url": "http://a.org/z", "title": "no https"}]}
+    (tmp_path / "1.json").write_text(json.dumps(page))
+    (tmp_path / "2.json").write_text("broken")
+    (tmp_path / "note.txt").write_text("x")
+    df = spark.read.format("discovery").option("connector", "news").load(str(tmp_path))
+    hits = records.news_hits(df, keep=("connector", "page")).collect()
+    assert [(r.connector, r.page, r.url, r.title) for r in hits] == [("news", "1.json", "https://a.org/x", "T")]
+    with pytest.raises(Exception, match="above 3 bytes"):
+        spark.read.format("discovery").option("connector", "news").option("maxBytes", 3).load(str(tmp_path)).collect()
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("discovery").option("connector", "news").load(str(tmp_path / "empty")).count() == 0
