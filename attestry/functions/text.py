@@ -46,7 +46,7 @@ def squeeze(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words: letters, digits and underscores (F1)."""
+    """Lower-case words: letters, digits and underscores (F1). Compatible characters are as written; see ``nfkc_tokens``."""
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
@@ -60,6 +60,11 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return each_value(s, lambda x: unicodedata.normalize("NFKC", x))
 
 
+def nfkc_tokens(c: Column) -> Column:
+    """``tokens`` after NFKC, for indexes and queries that must not tell compatible characters apart."""
+    return tokens(nfkc(c))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def folded_tokens(s: pd.Series) -> pd.Series:
     """Words after NFKC and case folding (F2)."""

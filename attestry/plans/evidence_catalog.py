@@ -391,12 +391,12 @@ def public_urls(spark, folder):
 
 
 def hybrid_retrieval(spark, folder):
-    """BM25 beside a lexical stand-in for vectors, fused and reranked."""
+    """Sentences of expanded pages by BM25 beside a lexical stand-in for vectors, fused and reranked."""
     def length_free(claim, passage):
         return retrieval.overlap_scorer(passage, claim)
 
     # Read by both rankings and for the texts of the fused rows: the pages are found once.
-    pages = shared_checkpoint(_page_top(spark, folder).select("qid", "page_id"), "pages")
+    pages = shared_checkpoint(expanded_pages(spark, folder).select("qid", "page_id"), "pages")
     x = retrieval.hybrid(_candidates(spark, folder, pages), "qid", ["page_id", "sentence_id"], length_free, retrieval.overlap_scorer)
     return x.select("qid", "page_id", "sentence_id", "rank", "input_rank", "rrf_score", "bm25_score", "dense_score")
 

@@ -200,8 +200,16 @@ _PASSAGES = """tx AS (SELECT doc_id, text, length(text) AS n FROM documents WHER
       FROM ps JOIN tx ON tx.doc_id = ps.doc_id WHERE ps.e < n)),
   pa AS (SELECT ps.doc_id, ordinal, s AS start_offset, e AS end_offset, substring(text, s + 1, e - s) AS part FROM ps JOIN tx ON tx.doc_id = ps.doc_id WHERE ordinal >= 0)"""
 
+_EXPANDED = f"""{_PAGES}, {_anchors('q', 'qid')}, sub AS (SELECT qid, qid || '#' || query_order AS sid, query_order, query FROM (SELECT qid, unnest(range(len(searches))) AS query_order, unnest(searches) AS query FROM an)),
+      {_field('title', 'sub', 'sid', 'query', 'x')}, {_field('body', 'sub', 'sid', 'query', 'x')},
+      {_top('fx', 'SELECT sid, page_id, 3.0 * score AS score FROM xtitle_s UNION ALL SELECT sid, page_id, score FROM xbody_s', 10, 'sid')},
+      al AS (SELECT qid, page_id, 0 AS o, rank FROM pt UNION ALL SELECT sub.qid, fx.page_id, query_order + 1, fx.rank FROM fx JOIN sub USING (sid)),
+      pl AS (SELECT qid, page_id, min(o * 1000 + rank) AS place FROM al GROUP BY ALL), rk AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY place, page_id) AS rank FROM pl),
+      ex AS (SELECT rk.* FROM rk JOIN (SELECT qid, greatest(count(*), 32) AS most FROM pt GROUP BY 1) USING (qid) WHERE rank <= most)"""
+_HYBRID = _EXPANDED + _SENT[len(_PAGES) :].replace("FROM pt JOIN st", "FROM ex JOIN st").replace("WHERE rank <= 50)", "WHERE rank <= 100)")
+
 SQL = {
-    "hybrid_retrieval": f"""WITH {_SENT.replace("WHERE rank <= 50)", "WHERE rank <= 100)")},
+    "hybrid_retrieval": f"""WITH {_HYBRID},
       dv AS (SELECT * FROM (SELECT qid, page_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, sentence_id) AS rank
         FROM (SELECT qid, page_id, sentence_id, round(coalesce({_REVERSE}, 0.0), 6) AS score FROM ca)) WHERE rank <= 100),
       rf AS (SELECT qid, page_id, sentence_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (SELECT qid, page_id, sentence_id, rank FROM sr UNION ALL
@@ -257,12 +265,7 @@ SQL = {
         SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 1 HOUR GROUP BY w.user_id),
       x AS (SELECT event_id, e.user_id, CAST(row_number() OVER (PARTITION BY e.user_id, w.s ORDER BY e.ts, event_id) AS INT) AS hit FROM events e ASOF JOIN w ON e.user_id = w.user_id AND e.ts >= w.s)
       SELECT *, hit <= 3 AS allowed FROM x""",
-    "expanded_pages": f"""WITH {_PAGES}, {_anchors('q', 'qid')}, sub AS (SELECT qid, qid || '#' || query_order AS sid, query_order, query FROM (SELECT qid, unnest(range(len(searches))) AS query_order, unnest(searches) AS query FROM an)),
-      {_field('title', 'sub', 'sid', 'query', 'x')}, {_field('body', 'sub', 'sid', 'query', 'x')},
-      {_top('fx', 'SELECT sid, page_id, 3.0 * score AS score FROM xtitle_s UNION ALL SELECT sid, page_id, score FROM xbody_s', 10, 'sid')},
-      al AS (SELECT qid, page_id, 0 AS o, rank FROM pt UNION ALL SELECT sub.qid, fx.page_id, query_order + 1, fx.rank FROM fx JOIN sub USING (sid)),
-      pl AS (SELECT qid, page_id, min(o * 1000 + rank) AS place FROM al GROUP BY ALL), rk AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY place, page_id) AS rank FROM pl)
-      SELECT rk.* FROM rk JOIN (SELECT qid, greatest(count(*), 32) AS most FROM pt GROUP BY 1) USING (qid) WHERE rank <= most""",
+    "expanded_pages": f"WITH {_EXPANDED} SELECT * FROM ex",
     "parsed_page_lines": r"""SELECT row_id, page_id, source_member, CAST(regexp_extract(raw_line, '^\s*([+-]?\d+)\s*\t', 1) AS INT) AS sentence_id,
       regexp_replace(regexp_extract(raw_line, '^[^\t]*\t([^\t\n]*)', 1), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS text FROM wiki_sentences WHERE regexp_matches(raw_line, '^\s*[+-]?\d+\s*\t')""",
     "latency_medians": "SELECT event_type, count(*) AS n, median(value) AS median FROM events WHERE value IS NOT NULL GROUP BY 1",

@@ -12,6 +12,7 @@ def one(spark, value, f):
     "f, value, want",
     [
         (text.tokens, "It's 3 Été_x!", ["it", "s", "3", "été_x"]),
+        (text.nfkc_tokens, "ﬁne Ｆox", ["fine", "fox"]),
         (text.tokens, "", []),
         (text.tokens, None, None),
         (text.canonical_text, "A -lrb- b -RRB-, C!", "a b c"),
