@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,22 +165,45 @@ def token_table(spark: SparkSession, vocab_file: bytes) -> DataFrame:
 
 
 def decode_corpus(encoded: DataFrame, vocab_file: bytes, id_column: str = "doc_id") -> DataFrame:
-    """(``id_column``, ``text``): ids looked up in the token-byte table and put together in order.
+    """(``id_column``, ``text``): each id joined with the token-byte table, the bytes of a row put together by position.
 
-    The table has a fixed number of rows and is broadcast; bytes that are no UTF-8 come out as U+FFFD.
+    The table has a fixed number of rows and is broadcast, so ids are joined where they lie and a row's tokens stay
+    together; nothing is shuffled. Null lists give null, empty ones the empty text; bytes that are no UTF-8 come out as
+    U+FFFD; an id the table lacks is an error.
     """
-    vocab = encoded.sparkSession.sparkContext.broadcast(vocab_file)
+    tokens = token_table(encoded.sparkSession, vocab_file)
+    each = encoded.select(F.col(id_column).alias("id_"), F.col("ids").isNull().alias("none_"), F.posexplode_outer("ids").alias("pos_", "token_id"))
+    joined = each.join(F.broadcast(tokens), "token_id", "left").select("id_", "none_", "pos_", "token_bytes")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(vocab.value)
-        table = [b""] * (max(ranks.values()) + 1)
-        for b, i in ranks.items():
-            table[i] = b
+        kept, kind = None, None  # (id, whether null, bytes) of the row that the last batch ended in
         for batch in batches:
-            texts = [None if x is None else b"".join([table[i] for i in x]).decode(errors="replace") for x in batch["ids"].to_pylist()]
-            yield pa.record_batch([batch[id_column], pa.array(texts, pa.string())], names=[id_column, "text"])
-
-    return encoded.select(id_column, "ids").mapInArrow(rows, f"{id_column} long, text string")
+            pos, data, kind = batch["pos_"], batch["token_bytes"], batch["id_"].type
+            if pc.sum(pc.and_(pc.is_valid(pos), pc.is_null(data))).as_py():
+                raise ValueError("an id is not in the token table")
+            data = pc.fill_null(data, b"")
+            opens = np.flatnonzero(pc.fill_null(pc.equal(pos, 0), True).to_numpy(zero_copy_only=False))
+            ends = np.concatenate([opens, [len(pos)]])
+            at = np.frombuffer(data.buffers()[1], "int32")[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, "int32")
+            whole = data.buffers()[2].to_pybytes() if len(data) and data.buffers()[2] else b""
+            pieces = [whole[at[x] : at[y]] for x, y in zip(ends[:-1], ends[1:])]
+            if kept is not None:
+                kept = (kept[0], kept[1], kept[2] + whole[at[0] : at[ends[0]]])
+            found = [] if kept is None or not len(opens) else [kept]
+            found += list(zip(batch["id_"].take(pa.array(opens)).to_pylist(), batch["none_"].take(pa.array(opens)).to_pylist(), pieces))
+            if len(opens):
+                kept = found.pop()
+            if found:
+                yield _texts(found, id_column, kind)
+        if kept is not None:
+            yield _texts([kept], id_column, kind)
+
+    return joined.mapInArrow(rows, f"{id_column} {dict(encoded.dtypes)[id_column]}, text string")
+
+
+def _texts(rows: list[tuple], id_column: str, kind: pa.DataType) -> pa.RecordBatch:
+    texts = [None if none else data.decode(errors="replace") for _, none, data in rows]
+    return pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array(texts, pa.string())], names=[id_column, "text"])
 
 
 def token_counts(docs: DataFrame, vocab_file: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

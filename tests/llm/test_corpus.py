@@ -47,6 +47,25 @@ def test_ids_equal_the_tokenizer_and_decode_back(spark):
     assert encoding.token_table(spark, vocab).count() == 50256
 
 
+@pytest.mark.parametrize("size", [1, 3, 10000])
+def test_decoding_over_batches(spark, size):
+    vocab = encoding.vocabulary()
+    enc = encoding.encoder(vocab)
+    texts = ["Zoë 👩‍🚀 x", "", None, "a b  c", " \n", "ü" * 20, "last one"]
+    data = [(i, None if t is None else enc.encode_ordinary(t)) for i, t in enumerate(texts)] + [(3, enc.encode_ordinary("again")), (None, enc.encode_ordinary("no id"))]
+    df = spark.createDataFrame(data, "doc_id long, ids array<int>").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        got = [(r.doc_id, r.text) for r in encoding.decode_corpus(df, vocab).collect()]
+        assert got == [*enumerate(texts), (3, "again"), (None, "no id")]
+        assert encoding.decode_corpus(df.where("false"), vocab).count() == 0
+        with pytest.raises(Exception, match="not in the token table"):
+            encoding.decode_corpus(spark.createDataFrame([(1, [99999999])], "doc_id long, ids array<int>"), vocab).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_chunks_hold_every_text():
     a = pa.array(["x" * n for n in (3, 30, 1, 1, 1, 50)] + [None, ""])
     assert [i for s, e in pretokens.text_chunks(a, 10) for i in range(s, e)] == list(range(8))
