@@ -34,9 +34,9 @@ def label_id(c: Column, labels: tuple[str, ...] = NLI_LABELS) -> Column:
     return F.when(place > 0, (place - 1).cast("int"))
 
 
-def softmax(logits: list[Column], temperature: float = 1.0) -> list[Column]:
+def softmax(logits: list[Column], temperature: float | Column = 1.0) -> list[Column]:
     """Softmax shifted by the greatest logit (F23). Null or non-finite logits give null."""
-    if not 0 < temperature < float("inf"):
+    if not isinstance(temperature, Column) and not 0 < temperature < float("inf"):
         raise ValueError("temperature must be positive and finite")
     scaled = [x.cast("double") / temperature for x in logits]
     top = F.greatest(*scaled)

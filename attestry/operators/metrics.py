@@ -206,17 +206,14 @@ def fit_temperature(df: DataFrame, logits: list[str], gold_id: str, low: float =
 
     a, b = math.log(low), math.log(high)
     best = 1.0
+    loss = -F.log(F.greatest(F.get(F.array(*softmax([F.col(x) for x in logits], F.col("_t"))), F.col(gold_id)), F.lit(1e-15)))
     for _ in range(rounds):
         grid = [math.exp(a + (b - a) * i / (points - 1)) for i in range(points)]
-        terms = []
-        for i, t in enumerate(grid):
-            p = F.get(F.array(*softmax([F.col(x) for x in logits], t)), F.col(gold_id))
-            terms.append(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias(f"t{i}"))
-        row = df.agg(*terms).head()
-        losses = [row[f"t{i}"] for i in range(points)]
-        if losses[0] is None:
+        each = df.select(*logits, gold_id, F.explode(F.array(*map(F.lit, grid))).alias("_t")).groupBy("_t").agg(F.avg(loss).alias("loss"))
+        losses = {r["_t"]: r["loss"] for r in each.where("loss is not null").collect()}
+        if not losses:
             return best
-        k = min(range(points), key=lambda i: losses[i])
+        k = min(range(points), key=lambda i: losses[grid[i]])
         best = grid[k]
         a, b = math.log(grid[max(0, k - 1)]), math.log(grid[min(points - 1, k + 1)])
     return best

@@ -208,6 +208,23 @@ _EXPANDED = f"""{_PAGES}, {_anchors('q', 'qid')}, sub AS (SELECT qid, qid || '#'
       ex AS (SELECT rk.* FROM rk JOIN (SELECT qid, greatest(count(*), 32) AS most FROM pt GROUP BY 1) USING (qid) WHERE rank <= most)"""
 _HYBRID = _EXPANDED + _SENT[len(_PAGES) :].replace("FROM pt JOIN st", "FROM ex JOIN st").replace("WHERE rank <= 50)", "WHERE rank <= 100)")
 
+
+def _pad(byte: int, key: bytes = b"key of the test") -> str:
+    """The key of an HMAC with every byte of its block changed, in hex."""
+    return bytes(x ^ byte for x in key.ljust(64, b"\0")).hex()
+
+
+def _grid(n: int, low: str, high: str) -> str:
+    """CTEs that end in ``b{n}``: the temperature of least loss on a grid in its logarithm, and the step."""
+    top = "greatest(a, b, c) / t"
+    return f"""t{n} AS (SELECT exp({low} + ({high} - {low}) * i / 600) AS t, ({high} - {low}) / 600 AS step FROM range(601) r(i)),
+  n{n} AS (SELECT t, any_value(step) AS step, avg(-ln(greatest(exp((CASE g WHEN 0 THEN a WHEN 1 THEN b ELSE c END) / t - {top}) / (exp(a / t - {top}) + exp(b / t - {top}) + exp(c / t - {top})), 1e-15))) AS loss
+    FROM lg CROSS JOIN t{n} GROUP BY t), b{n} AS (SELECT ln(first(t ORDER BY loss, t)) AS x, any_value(step) AS step FROM n{n})"""
+
+
+_LOW, _HIGH = "ln(0.05::DOUBLE)", "ln(10.0::DOUBLE)"
+_near = lambda n: (f"greatest((SELECT x - step FROM b{n}), {_LOW})", f"least((SELECT x + step FROM b{n}), {_HIGH})")
+
 SQL = {
     "hybrid_retrieval": f"""WITH {_HYBRID},
       dv AS (SELECT * FROM (SELECT qid, page_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, sentence_id) AS rank
@@ -329,6 +346,16 @@ SQL = {
     "selective_accuracy": f"""WITH {_PROB} SELECT t::DOUBLE AS threshold, count(*) FILTER (confidence >= t) AS accepted, round(count(*) FILTER (confidence >= t) / count(*), 6) AS coverage,
       round(count(*) FILTER (confidence >= t AND correct) / nullif(count(*) FILTER (confidence >= t), 0), 6) AS accuracy
       FROM pc CROSS JOIN (VALUES (0.5::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) v(t) GROUP BY t""",
+    "fitted_temperature": f"""WITH lg AS (SELECT label % 3 AS g, embedding[1]::DOUBLE * 10 AS a, embedding[2]::DOUBLE * 10 AS b, embedding[3]::DOUBLE * 10 AS c FROM embeddings),
+      {_grid(1, _LOW, _HIGH)}, {_grid(2, *_near(1))}, {_grid(3, *_near(2))} SELECT round(exp(x), 4) AS temperature FROM b3""",
+    "balanced_sample": """WITH RECURSIVE c AS (SELECT count(*) FILTER (nli_label = 'ENTAILMENT') AS a1, count(*) FILTER (nli_label = 'CONTRADICTION') AS a2, count(*) FILTER (nli_label = 'NEUTRAL') AS a3 FROM nli_pairs_final),
+      b AS (SELECT *, least(900, a1 + a2 + a3) // 3 AS t, least(900, a1 + a2 + a3) AS most FROM c),
+      d AS (SELECT a1, a2, a3, least(t, a1) AS q1, least(t, a2) AS q2, least(t, a3) AS q3, most FROM b UNION ALL
+        SELECT a1, a2, a3, q1 + (q1 < a1)::INT, q2 + (q2 < a2 AND most - q1 - q2 - q3 > (q1 < a1)::INT)::INT, q3 + (q3 < a3 AND most - q1 - q2 - q3 > (q1 < a1)::INT + (q2 < a2)::INT)::INT, most FROM d WHERE q1 + q2 + q3 < most),
+      e AS (SELECT * FROM d WHERE q1 + q2 + q3 = most LIMIT 1)
+      SELECT l AS nli_label, n, n AS ids FROM (SELECT unnest(['ENTAILMENT', 'CONTRADICTION', 'NEUTRAL']) AS l, unnest([q1, q2, q3]) AS n FROM e) WHERE n > 0""",
+    "actor_fingerprints": f"""SELECT substr(sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode('user:' || user_id)))), 1, 24) AS actor, n
+      FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""",
     "label_halves": "SELECT nli_label, count(*) AS n, count(*) // 2 AS first_half FROM nli_pairs_final GROUP BY 1",
     "document_context": """WITH c AS (SELECT doc_id, published_at AS p, retrieved_at AS r, TIMESTAMP '2023-01-10' AS a, TIMESTAMP '2022-06-01' AS f FROM documents),
       s AS (SELECT *, CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p::DATE < f::DATE THEN 'BEFORE_REFERENCE' WHEN p::DATE > f::DATE THEN 'AFTER_REFERENCE' ELSE 'SAME_REFERENCE_DAY' END AS relation,
