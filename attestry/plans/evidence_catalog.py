@@ -98,7 +98,7 @@ def expanded_pages(spark, folder):
 
 
 def _reranked(spark, folder):
-    r = _ranked(spark, folder, 20).join(_stored(spark, folder), ["page_id", "sentence_id"]).join(_queries(spark, folder).select("qid", "claim"), "qid")
+    r = _ranked(spark, folder).join(_stored(spark, folder), ["page_id", "sentence_id"]).join(_queries(spark, folder).select("qid", "claim"), "qid")
     return shared_checkpoint(retrieval.rerank(r, "qid", retrieval.overlap_scorer, "claim", "text", 10).select("qid", "page_id", "sentence_id", "text", "claim", "rank", "input_rank"))
 
 

@@ -53,7 +53,7 @@ _SENT = f"""{_PAGES}, {_STORED}, ca AS (SELECT qid, page_id, sentence_id, text,
     FROM (SELECT qid, page_id, sentence_id, round(coalesce(score, 0.0), 6) AS score FROM cl LEFT JOIN sc USING (qid, page_id, sentence_id))) WHERE rank <= 50)"""
 _OVERLAP = f"len(list_intersect(list_distinct({_tok('claim')}), list_distinct({_tok('text')}))) / len(list_distinct({_tok('claim')}))"
 _R1 = f"""{_SENT}, r0 AS (SELECT qid, page_id, sentence_id, text, claim, sr.rank AS input_rank, CAST({_OVERLAP} AS FLOAT) AS f, {_OVERLAP} AS o
-    FROM sr JOIN ca USING (qid, page_id, sentence_id) WHERE sr.rank <= 20),
+    FROM sr JOIN ca USING (qid, page_id, sentence_id)),
   r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, input_rank) AS rank FROM r0) WHERE rank <= 10)"""
 
 
