@@ -77,6 +77,20 @@ def test_a_reloaded_sentence_is_live(spark):
     assert got == {1: (t(180), None, 2), 3: (t(9), t(10), 4)}
 
 
+def test_a_hot_group_of_survivors(spark):
+    """A third of all rows are deliveries of one sentence."""
+    n = 6000
+    i = F.col("id")
+    hot = i % 3 == 0
+    df = spark.range(n).select(
+        i.alias("row_id"), F.when(hot, "Hot_page").otherwise(F.concat(F.lit("P"), (i / 2).cast("int"))).alias("page_id"), F.lit(0).alias("sentence_id"),
+        F.when(i == 4242, "the longest text").otherwise("short").alias("text"), F.lit(None).cast("string").alias("raw_line"), F.concat(F.lit("s"), i % 7).alias("source_member"),
+        F.timestamp_add("SECOND", i.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("loaded_at"), F.lit(None).cast("timestamp_ntz").alias("removed_at"),
+    )
+    got = {r.group_row_id: r.text_row_id for r in survivors.wiki_survivors(df).collect()}
+    assert got[0] == 4242 and len(got) > 1 and df.where(hot).count() == 2000
+
+
 def test_trust_of_a_source_is_its_share_of_texts(spark):
     data = [(1, "P", 0, "t", "good", 0), (2, "P", 0, "t", "bad", 0), (3, "Q", 0, " ", "bad", 0), (4, "R", 0, None, "bad", 0), (5, "S", 0, "t", None, 0)]
     rows = wiki(spark, data)
