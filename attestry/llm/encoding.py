@@ -172,15 +172,17 @@ def decode_corpus(encoded: DataFrame, vocab_file: bytes, id_column: str = "doc_i
     U+FFFD; an id the table lacks is an error.
     """
     tokens = token_table(encoded.sparkSession, vocab_file)
-    each = encoded.select(F.col(id_column).alias("id_"), F.col("ids").isNull().alias("none_"), F.posexplode_outer("ids").alias("pos_", "token_id"))
-    joined = each.join(F.broadcast(tokens), "token_id", "left").select("id_", "none_", "pos_", "token_bytes")
+    # A null list is the one mark -1, which has no bytes; an empty list has no position.
+    each = encoded.select(F.col(id_column).alias("id_"), F.posexplode_outer(F.coalesce("ids", F.array(F.lit(-1)))).alias("pos_", "token_id"))
+    known = F.col("token_bytes").isNotNull() | F.col("pos_").isNull() | (F.col("token_id") == -1)
+    data = F.when(known, F.col("token_bytes")).otherwise(F.raise_error(F.lit("an id is not in the token table")).cast("binary"))
+    joined = each.join(F.broadcast(tokens), "token_id", "left").select("id_", "pos_", data.alias("token_bytes"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kind = None, None  # (id, whether null, bytes) of the row that the last batch ended in
         for batch in batches:
             pos, data, kind = batch["pos_"], batch["token_bytes"], batch["id_"].type
-            if pc.sum(pc.and_(pc.is_valid(pos), pc.is_null(data))).as_py():
-                raise ValueError("an id is not in the token table")
+            none = pc.and_(pc.is_valid(pos), pc.is_null(data))
             data = pc.fill_null(data, b"")
             opens = np.flatnonzero(pc.fill_null(pc.equal(pos, 0), True).to_numpy(zero_copy_only=False))
             ends = np.concatenate([opens, [len(pos)]])
@@ -190,7 +192,7 @@ def decode_corpus(encoded: DataFrame, vocab_file: bytes, id_column: str = "doc_i
             if kept is not None:
                 kept = (kept[0], kept[1], kept[2] + whole[at[0] : at[ends[0]]])
             found = [] if kept is None or not len(opens) else [kept]
-            found += list(zip(batch["id_"].take(pa.array(opens)).to_pylist(), batch["none_"].take(pa.array(opens)).to_pylist(), pieces))
+            found += list(zip(batch["id_"].take(pa.array(opens)).to_pylist(), none.take(pa.array(opens)).to_pylist(), pieces))
             if len(opens):
                 kept = found.pop()
             if found:
