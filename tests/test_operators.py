@@ -449,3 +449,19 @@ def test_results_do_not_depend_on_partitioning(spark, folder, parts):
     a = dataset.clean_pairs(pairs).orderBy("example_id").collect()
     b = dataset.clean_pairs(pairs.repartition(parts).orderBy(F.rand())).orderBy("example_id").collect()
     assert a == b
+
+
+def test_sentences_of_large_pages_rank_as_all_candidates_do(spark):
+    """The same rows whether pages are joined with their queries or go through them piece by piece."""
+    rng = random.Random(5)
+    words = ["the", "of", "light", "stands", "tower", *[f"w{i}" for i in range(30)]]
+    s = [(p, i, [rng.choice(words) for _ in range(rng.randint(0, 9))]) for p, n in (("a", 60), ("b", 3), ("c", 25)) for i in range(n)]
+    q = [("1", ["the", "light", "w3", "the"]), ("2", ["of", "w1"]), ("3", ["unseen"]), ("4", [])]
+    pairs = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("3", "a"), ("3", "b"), ("4", "c")], "q string, page string")
+    sentences = spark.createDataFrame(s, "page string, sid int, words array<string>")
+    queries = spark.createDataFrame(q, "q string, asked array<string>")
+    whole = pairs.join(sentences, "page").join(queries, "q").withColumn("text", F.lit("")).withColumn("claim", F.lit(""))
+    want = retrieval.rank_sentences(whole, "q", "claim", ["page", "sid"], "text", 7, words="words", asked="asked").orderBy("q", "rank").collect()
+    for large in (1000, 10):
+        got = retrieval.rank_page_sentences(pairs, queries, sentences, "q", "page", "sid", 7, large=large).orderBy("q", "rank").collect()
+        assert got == want
