@@ -465,3 +465,14 @@ def test_sentences_of_large_pages_rank_as_all_candidates_do(spark):
     for large in (1000, 10):
         got = retrieval.rank_page_sentences(pairs, queries, sentences, "q", "page", "sid", 7, large=large).orderBy("q", "rank").collect()
         assert got == want
+
+
+def test_index_counts_words_where_pages_lie(spark, folder):
+    """Whole pages are shuffled once; pages too large for that give the same index."""
+    from attestry.plans import evidence_catalog
+
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    whole, cut = evidence_catalog._index(spark, folder), evidence_catalog._index(spark, folder, 20)
+    plain = retrieval.page_index(evidence_catalog.d.canonical_sentences(evidence_catalog.table(spark, folder, "wiki_sentences")), "page_id", "text", text.title_words)
+    for x in (whole, cut):
+        assert rows(x.postings) == rows(plain.postings) and rows(x.lengths) == rows(plain.lengths)
