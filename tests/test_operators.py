@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -124,6 +125,22 @@ def test_pruned_search_loses_nothing(spark, seed):
         assert [p for _, p in got.get(q, [])] == [p for _, p in want] and all(abs(x[0] - y[0]) < 2e-6 for x, y in zip(got.get(q, []), want))
 
 
+def test_page_search_lays_pages_out_once(spark, monkeypatch):
+    """Words and lengths are shuffled by page once, to as many tasks as the search is to have."""
+    monkeypatch.setattr(retrieval, "PART_POSTINGS", 1)
+    index = retrieval.page_index(spark.createDataFrame([("a", "red fox"), ("b", "a red dog"), ("c", "dog fox")], "page string, text string"), "page", "text", text.title_words)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = retrieval.search_pages(spark.createDataFrame([("1", "a red fox dog")], "q string, claim string"), "q", "claim", index, "page", {"body": 1.0}, 2)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert [r.page for r in got.orderBy("rank").collect()] == ["b", "a"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_page = re.findall(r"hashpartitioning\(page#\d+, (\d+)\)", plan)
+    assert by_page == ["7", "7"]  # one task a posting
+
+
 def test_dense_fuse_expand(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0])], "id long, v array<float>")
     for block, most in ((1, 100), (10, 100), (1, 0), (2, 0)):
