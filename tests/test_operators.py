@@ -493,3 +493,18 @@ def test_index_counts_words_where_pages_lie(spark, folder):
     plain = retrieval.page_index(evidence_catalog.d.canonical_sentences(evidence_catalog.table(spark, folder, "wiki_sentences")), "page_id", "text", text.title_words)
     for x in (whole, cut):
         assert rows(x.postings) == rows(plain.postings) and rows(x.lengths) == rows(plain.lengths)
+
+
+def test_raw_lines_are_not_shuffled_with_sentences(spark, folder, monkeypatch):
+    """A row is chosen by the length of its raw line; the line itself stays where it was read."""
+    from attestry.plans import evidence_catalog
+
+    d, s = evidence_catalog.d, evidence_catalog.table(spark, folder, "wiki_sentences")
+    slim = d.slim_sentences(s)
+    for f in (d.canonical_sentences, d.stored_sentences):
+        keys = lambda df: sorted(r.row_id for r in df.select("row_id").collect())
+        assert keys(f(slim.repartition("page_id"))) == keys(f(s))
+    seen, whole = [], d.canonical_sentences
+    monkeypatch.setattr(d, "canonical_sentences", lambda x: seen.append(x.columns) or whole(x))
+    evidence_catalog._index(spark, folder)
+    assert seen and all("raw_line" not in x for x in seen)
