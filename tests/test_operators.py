@@ -508,3 +508,15 @@ def test_raw_lines_are_not_shuffled_with_sentences(spark, folder, monkeypatch):
     monkeypatch.setattr(d, "canonical_sentences", lambda x: seen.append(x.columns) or whole(x))
     evidence_catalog._index(spark, folder)
     assert seen and all("raw_line" not in x for x in seen)
+
+
+def test_gold_evidence_lays_out_only_sentences_the_queries_refer_to(spark, folder, monkeypatch):
+    from attestry.plans import dataset_catalog, evidence_catalog
+
+    d, q = evidence_catalog.d, evidence_catalog._queries(spark, folder).select("claim_id", "split")
+    cols = ["claim_id", "split", "evidence_set_id", "evidence_item_position", "wiki_page", "sentence_id", "evidence_text"]
+    rows = lambda df: sorted(map(str, df.join(q, ["claim_id", "split"], "left_semi").select(cols).collect()))
+    want, seen, whole = rows(dataset_catalog._gold(spark, folder)), [], d.canonical_sentences
+    monkeypatch.setattr(d, "canonical_sentences", lambda x: seen.append(x.count()) or whole(x))
+    assert rows(evidence_catalog._gold(spark, folder)) == want and want
+    assert len(seen) == 1 and seen[0] < evidence_catalog.table(spark, folder, "wiki_sentences").count() / 10
