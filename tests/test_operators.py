@@ -520,3 +520,41 @@ def test_gold_evidence_lays_out_only_sentences_the_queries_refer_to(spark, folde
     monkeypatch.setattr(d, "canonical_sentences", lambda x: seen.append(x.count()) or whole(x))
     assert rows(evidence_catalog._gold(spark, folder)) == want and want
     assert len(seen) == 1 and seen[0] < evidence_catalog.table(spark, folder, "wiki_sentences").count() / 10
+
+
+def test_words_of_a_page_are_put_together_before_their_shuffle(spark, monkeypatch):
+    """A row of postings per page and piece, not one per word, goes through the shuffle; no posting is lost."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(rng.choice("abcd"), rng.randint(0, 50), rng.randint(0, 1), rng.randint(1, 9)) for _ in range(300)]
+    schema = pa.schema([("page", pa.string()), ("word", pa.int32()), ("at", pa.int8()), ("tf", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + 50]], schema) for i in range(0, 300, 50)]
+    monkeypatch.setattr(retrieval, "PACK_POSTINGS", 120)
+    packed = list(retrieval._packed(iter(batches)))
+    assert [x.num_rows for x in packed] == [4, 4]
+    assert sorted((r["page"], *x) for b in packed for r in b.to_pylist() for x in zip(r["word"], r["at"], r["tf"])) == sorted(rows)
+    index = retrieval.page_index(spark.createDataFrame([("a", "red fox"), ("b", "a red dog")], "page string, text string"), "page", "text", text.title_words)
+    plan = retrieval.search_pages(spark.createDataFrame([("1", "red dog")], "q string, claim string"), "q", "claim", index, "page", {"body": 1.0}, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # to put together, and to search
+
+
+def test_sentences_are_laid_out_as_numbers_of_the_words_asked_for(spark, monkeypatch):
+    """Neither other words nor texts are shuffled; too many words to broadcast stay as they are, and give the same rows."""
+    rng = random.Random(9)
+    words = ["the", "of", "light", *[f"w{i}" for i in range(20)]]
+    s = [(p, i, [rng.choice(words) for _ in range(rng.randint(0, 9))]) for p, n in (("a", 40), ("b", 5)) for i in range(n)] + [("b", 99, None)]
+    sentences = spark.createDataFrame(s, "page string, sid int, words array<string>")
+    queries = spark.createDataFrame([("1", ["the", "light", "w3", "the"]), ("2", ["unseen"]), ("3", None)], "q string, asked array<string>")
+    pairs = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), ("3", "a")], "q string, page string")
+    seen, write = {}, retrieval.shared_checkpoint
+    monkeypatch.setattr(retrieval, "shared_checkpoint", lambda df, name: seen.setdefault(name, write(df, name)))
+    rank = lambda: retrieval.rank_page_sentences(pairs, queries, sentences, "q", "page", "sid", 7, large=10).orderBy("q", "rank").collect()
+    got, laid = rank(), seen["words"]
+    assert dict(laid.dtypes)["words"] == "array<int>"
+    known = {"the", "light", "w3"}
+    assert sorted((r.page, r.sid, r["_size"], len(r.words)) for r in laid.collect()) == sorted((p, i, len(w or ()), sum(x in known for x in w or ())) for p, i, w in s)
+    seen.clear()
+    monkeypatch.setattr(retrieval, "SMALL_TERMS", 0)
+    assert rank() == got and len(got) == 20
+    assert dict(seen["words"].dtypes)["words"] == "array<string>"
