@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -558,3 +559,25 @@ def test_sentences_are_laid_out_as_numbers_of_the_words_asked_for(spark, monkeyp
     monkeypatch.setattr(retrieval, "SMALL_TERMS", 0)
     assert rank() == got and len(got) == 20
     assert dict(seen["words"].dtypes)["words"] == "array<string>"
+
+
+def test_rows_laid_out_by_claim_are_screened_where_they_lie(spark):
+    """Screening shuffles ranked rows with their texts once, for all of its windows."""
+    s = "qid string, claim string, rank int, page_id string, sentence_id int, text string"
+    rows = spark.createDataFrame([("1", "Red Fox is in Ohio", i, f"Red_Fox-LRB-{x}-RRB-", i, f"text {i % 2}") for i, x in enumerate(("Ohio", "Iowa", "Ohio"))], s)
+    out = verify.screen_windowed(verify.sentence_keys(rows.repartition("qid"), "qid"), "qid", 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert len({r.decision for r in out.collect()}) > 1
+
+
+def test_only_repeated_keys_are_shuffled_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc") + str(i % 40 if i < 60 else i), rng.choice([None, 1, 2]), rng.randint(0, 9), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, s int, o int, v int")
+    order, seen, whole = [F.col("o").desc(), F.col("v")], [], relational.first_rows
+    want = sorted(r.v for r in whole(df, ["k", "s"], order).collect())
+    monkeypatch.setattr(relational, "first_rows", lambda x, *a: seen.append(x.count()) or whole(x, *a))
+    assert sorted(r.v for r in relational.first_rows_of_few(df, ["k", "s"], order).collect()) == want and len(want) < 400
+    assert seen == [400 - sum(n == 1 for n in Counter(r[:2] for r in rows).values())] and seen[0] < 200
+    assert sorted(r.v for r in relational.first_rows_of_few(df, ["k", "s"], order, most=0).collect()) == want
