@@ -581,3 +581,25 @@ def test_only_repeated_keys_are_shuffled_whole(spark, monkeypatch):
     assert sorted(r.v for r in relational.first_rows_of_few(df, ["k", "s"], order).collect()) == want and len(want) < 400
     assert seen == [400 - sum(n == 1 for n in Counter(r[:2] for r in rows).values())] and seen[0] < 200
     assert sorted(r.v for r in relational.first_rows_of_few(df, ["k", "s"], order, most=0).collect()) == want
+
+
+def test_search_without_an_index_finds_the_same(spark, monkeypatch):
+    """As over an index, for pages read in pieces, without a shuffle of texts; also where the words asked for are too many to broadcast."""
+    rng = random.Random(20)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(f"p{rng.randrange(30)} w{rng.randrange(9)}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)))) for _ in range(400)] + [("p0 w0", None), (None, "w1"), ("x", "")]
+    df = spark.createDataFrame(rows, "page string, text string").repartition(3)
+    q = spark.createDataFrame([(str(i), " ".join(rng.choices([*vocabulary[:20], "unseen"], k=5))) for i in range(20)] + [("none", None)], "q string, claim string")
+    monkeypatch.setattr(retrieval, "COUNT_WORDS", 20)
+    index = retrieval.page_index(df, "page", "text", text.title_words)
+    for fields in ({"title": 3.0, "body": 1.0}, {"body": 1.0}):
+        want = retrieval.search_pages(q, "q", "claim", index, "page", fields, 5).orderBy("q", "rank").collect()
+        search = lambda: retrieval.search_sentences(q, "q", "claim", df, "page", "text", text.title_words, fields, 5)
+        got = search()
+        assert got.orderBy("q", "rank").collect() == want and want
+        assert "text" not in got._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "SMALL_TERMS", 3)
+            assert search().orderBy("q", "rank").collect() == want
+    assert retrieval.search_sentences(q, "q", "claim", df.where("false"), "page", "text", text.title_words, {"body": 1.0}).count() == 0
+    assert retrieval.search_sentences(q.where("false"), "q", "claim", df, "page", "text", text.title_words, {"body": 1.0}).count() == 0
