@@ -603,3 +603,25 @@ def test_search_without_an_index_finds_the_same(spark, monkeypatch):
             assert search().orderBy("q", "rank").collect() == want
     assert retrieval.search_sentences(q, "q", "claim", df.where("false"), "page", "text", text.title_words, {"body": 1.0}).count() == 0
     assert retrieval.search_sentences(q.where("false"), "q", "claim", df, "page", "text", text.title_words, {"body": 1.0}).count() == 0
+
+
+def test_texts_of_ranked_sentences_are_not_shuffled_by_claim(spark, folder, monkeypatch):
+    """What goes to the choice of a claim's best sentences is their keys and scores, whatever Spark would broadcast itself."""
+    from attestry.plans import evidence_catalog
+
+    seen, write = {}, evidence_catalog.shared_checkpoint
+    monkeypatch.setattr(evidence_catalog, "shared_checkpoint", lambda df, name: write(seen.setdefault(name, df), name))
+
+    def by_claim(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        mine = [plan.output().toString()] if "Exchange hashpartitioning(qid" in plan.toString().split("\n")[0] else []
+        return mine + [x for p in below for x in by_claim(p)]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert evidence_catalog._best(spark, folder).count()
+        found = by_claim(seen["best"]._jdf.queryExecution().executedPlan().initialPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found and not any("text#" in x or "claim#" in x for x in found)
