@@ -20,7 +20,8 @@ def _words(x: str) -> str:
     return f"array_to_string({_tok(f'replace({_unmark(x)}, {chr(39)}_{chr(39)}, {chr(39)} {chr(39)})')}, ' ')"
 
 
-_Q = f"{_CLAIMS}, q AS (SELECT split || ':' || claim_id AS qid, claim_id, split, claim, label FROM uc WHERE claim_id % 50 = 0)"
+_SOME = " WHERE claim_id % 50 = 0"
+_Q = f"{_CLAIMS}, q AS (SELECT split || ':' || claim_id AS qid, claim_id, split, claim, label FROM uc{_SOME})"
 _PG = f"pg AS (SELECT page_id, {_words('page_id')} AS title, string_agg(text, ' ' ORDER BY sentence_id) AS body FROM cs GROUP BY page_id)"
 
 
@@ -389,3 +390,7 @@ SQL = {
       SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'https://' ELSE 'http://' END || host || CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN ':443' ELSE '' END || '/a/' || doc_id || '?x=1' AS url,
         CASE WHEN doc_id % 2 = 0 THEN host END AS domain FROM h""",
 }
+
+# Queries over all claims.
+WHOLE = ["claim_decisions"]
+SQL |= {x: SQL[x].replace(_SOME, "") for x in WHOLE}
