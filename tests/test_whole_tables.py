@@ -16,3 +16,7 @@ def _claims(spark, folder):
 @pytest.mark.parametrize("name", ["claim_decisions", "evidence_screening"])
 def test_every_claim_has_rows(spark, folder, name):
     assert {r["qid"] for r in registry.queries()[name](spark, folder).select("qid").distinct().collect()} == _claims(spark, folder)[0]
+
+
+def test_verdict_confusion_counts_all_claims(spark, folder):
+    assert sum(r["n"] for r in registry.queries()["verdict_confusion"](spark, folder).collect()) == len(_claims(spark, folder)[1])
