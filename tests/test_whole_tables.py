@@ -20,3 +20,7 @@ def test_every_claim_has_rows(spark, folder, name):
 
 def test_verdict_confusion_counts_all_claims(spark, folder):
     assert sum(r["n"] for r in registry.queries()["verdict_confusion"](spark, folder).collect()) == len(_claims(spark, folder)[1])
+
+
+def test_verdict_selective_counts_all_claims(spark, folder):
+    assert registry.queries()["verdict_selective"](spark, folder).head()["total"] == len(_claims(spark, folder)[1])
