@@ -30,3 +30,7 @@ def test_failure_rows_leave_out_no_claim(spark, folder):
     rows = registry.queries()["failure_rows"](spark, folder).collect()
     right = sum(r["n"] for r in registry.queries()["verdict_confusion"](spark, folder).where("gold = predicted").collect())
     assert len(rows) + right == len(_claims(spark, folder)[1])
+
+
+def test_benchmark_summary_counts_all_claims(spark, folder):
+    assert registry.queries()["benchmark_summary"](spark, folder).head()["total"] == len(_claims(spark, folder)[1])
