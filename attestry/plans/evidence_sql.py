@@ -392,5 +392,5 @@ SQL = {
 }
 
 # Queries over all claims.
-WHOLE = ["claim_decisions", "verdict_confusion", "verdict_selective", "failure_rows", "benchmark_summary"]
+WHOLE = ["claim_decisions", "verdict_confusion", "verdict_selective", "failure_rows", "benchmark_summary", "gold_set_hits"]
 SQL |= {x: SQL[x].replace(_SOME, "") for x in WHOLE}

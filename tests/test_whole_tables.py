@@ -34,3 +34,9 @@ def test_failure_rows_leave_out_no_claim(spark, folder):
 
 def test_benchmark_summary_counts_all_claims(spark, folder):
     assert registry.queries()["benchmark_summary"](spark, folder).head()["total"] == len(_claims(spark, folder)[1])
+
+
+def test_gold_set_hits_of_all_claims_with_evidence(spark, folder):
+    gold = registry.queries()["gold_pages"](spark, folder).selectExpr("split || ':' || claim_id AS qid").distinct().collect()
+    found = registry.queries()["gold_set_hits"](spark, folder).collect()
+    assert {r["qid"] for r in found} == {r["qid"] for r in gold} & _claims(spark, folder)[0]
