@@ -392,5 +392,5 @@ SQL = {
 }
 
 # Queries over all claims.
-WHOLE = ["claim_decisions", "verdict_confusion", "verdict_selective", "failure_rows", "benchmark_summary", "gold_set_hits", "grounded_evidence", "reranked"]
+WHOLE = ["claim_decisions", "verdict_confusion", "verdict_selective", "failure_rows", "benchmark_summary", "gold_set_hits", "grounded_evidence", "reranked", "hybrid_retrieval"]
 SQL |= {x: SQL[x].replace(_SOME, "") for x in WHOLE}

@@ -13,7 +13,7 @@ def _claims(spark, folder):
     return {r["qid"] for r in c}, {r["qid"] for r in c if r["label"] in ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")}
 
 
-@pytest.mark.parametrize("name", ["claim_decisions", "evidence_screening", "grounded_evidence", "reranked"])
+@pytest.mark.parametrize("name", ["claim_decisions", "evidence_screening", "grounded_evidence", "reranked", "hybrid_retrieval"])
 def test_every_claim_has_rows(spark, folder, name):
     assert {r["qid"] for r in registry.queries()[name](spark, folder).select("qid").distinct().collect()} == _claims(spark, folder)[0]
 
